@@ -69,5 +69,18 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, by: By) -> DataFrame:
     return df.select("*", *[packed[c].alias(c) for c in cols])
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used for small intermediate results that several branches of one plan
+    consume, so the fact table behind them is scanned once.  The folder is
+    the session's ``spark.checkpoint.dir`` (a scratch folder only when unset).
+    """
+    from replaylab.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def round6(c: Column) -> Column:
     return F.round(c, 6)

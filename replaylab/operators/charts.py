@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from replaylab.functions import expr as X
 from replaylab.operators._common import (
-    By, attach_group_stats, by_list, key_order, null_safe_join, top_k,
+    By, attach_group_stats, by_list, key_order, materialize, null_safe_join, top_k,
 )
 
 ARTIST = ("artist_name",)
@@ -183,26 +183,55 @@ def lifetime_top(h: DataFrame, keys: Sequence[str], limit: int, by: By = ()) ->
     )
 
 
+def with_lifetime(em: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:
+    """C07 in place: lifetime totals of each entity on every (month, entity) row.
+
+    A window over the month aggregate (at most one row per month and entity),
+    so no second pass over ``history`` and no join is needed.
+    """
+    by, keys = by_list(by), list(keys)
+    w = Window.partitionBy(*[F.col(c) for c in [*by, *keys]])
+    return em.select(
+        "*",
+        F.sum("streams").over(w).cast("bigint").alias("total_streams"),
+        F.coalesce(F.sum("ms").over(w), F.lit(0)).cast("bigint").alias("total_ms"),
+    )
+
+
 class Chart:
-    """The whole monthly chart pipeline for one entity kind, built lazily.
+    """The whole monthly chart pipeline for one entity kind.
 
-    Attributes are DataFrames sharing one plan; nothing is collected.
+    ``history`` is read once: one aggregate by (by, month, entity), lifetime
+    totals by a window on it, then each month's top ``limit``.  That top list
+    (at most months x limit rows per group) is checkpointed, and every later
+    step - spine, carry-forward, featured set, rank matrix - reads only it.
+    Set ``materialize_top=False`` to keep everything lazy (one plan).
     """
 
-    def __init__(self, h: DataFrame, keys: Sequence[str] = ARTIST, limit: int = 10, by: By = ()):
+    def __init__(self, h: DataFrame, keys: Sequence[str] = ARTIST, limit: int = 10, by: By = (),
+                 materialize_top: bool = True):
         if limit < 1:
             raise ValueError("limit must be >= 1")
         self.keys, self.limit, self.by = list(keys), limit, by_list(by)
         self.history = h
         self.entity_months = entity_months(h, self.keys, self.by)
         self.monthly = monthly_totals(self.entity_months)
-        self.top = monthly_top(self.monthly, self.keys, limit, self.by)
+        top = monthly_top(monthly_totals(with_lifetime(self.entity_months, self.keys, self.by)),
+                          self.keys, limit, self.by)
+        self.top = materialize(top) if materialize_top else top
         self.ranges = month_ranges(self.top, self.by)
         self.spine = month_spine(self.ranges, self.by)
         self.chart = carry_forward(self.spine, self.top, self.by)
-        self.featured = featured(self.chart, self.keys, self.by)
-        self.lifetime = lifetime(self.entity_months, self.keys, self.by)
-        self.ranked = rank_featured(self.featured, self.lifetime, self.keys, self.by)
+        feat = featured(self.chart, self.keys, self.by)
+        totals = self.top.groupBy(*self.by, *self.keys).agg(
+            F.max("total_streams").alias("total_streams"), F.max("total_ms").alias("total_ms"))
+        self.featured = feat
+        self.ranked = rank_featured(feat, totals, self.keys, self.by)
+
+    @property
+    def lifetime(self) -> DataFrame:
+        """C07 over every entity (a separate aggregate; the chart itself never needs it)."""
+        return lifetime(self.entity_months, self.keys, self.by)
 
     def long(self) -> DataFrame:
         return rank_long(self.ranked, self.chart, self.ranges, self.keys, self.limit, self.by)
@@ -215,8 +244,11 @@ class Chart:
         top = lifetime_top(self.history, self.keys, self.limit, self.by)
         if self.by:
             return top.join(self.ranges.select(*self.by), on=self.by, how="left_anti")
-        n_dated = self.ranges.agg(F.count(F.lit(1))).scalar()
-        return top.where(n_dated == 0)
+        # One group: the (checkpointed, tiny) range frame says whether any
+        # dated row exists; skip the lifetime scan entirely when it does.
+        if self.ranges.take(1):
+            return top.limit(0)
+        return top
 
     def nested(self) -> DataFrame:
         """C09-C11 response rows: ``rank, keys, total_streams, total_minutes, monthly_ranks``."""

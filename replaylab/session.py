@@ -29,6 +29,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Set our own (a scratch folder) only when the session has none, as in tests.
     """
+    sc = spark.sparkContext
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)

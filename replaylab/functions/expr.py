@@ -198,5 +198,5 @@ def wilson_bounds(k: ColumnOrName, n: ColumnOrName, z: float = Z_95) -> tuple[Co
 
 
 def neg_log10_p(p: ColumnOrName) -> Column:
-    """``-log10(max(p, 1e-300))``."""
-    return -F.log10(F.greatest(_c(p), F.lit(1e-300)))
+    """``-log10(max(p, 1e-300))`` (``0 - x`` so that p = 1 gives +0.0, not -0.0)."""
+    return F.lit(0.0) - F.log10(F.greatest(_c(p), F.lit(1e-300)))

@@ -36,7 +36,11 @@ def register(name: str, sql: str | None = None, source: str = "plays"):
         QUERIES[name] = run
         if sql is not None:
             with_src = PLAYS_SQL if source == "plays" else EVENT_PLAYS_SQL
-            ORACLE[name] = f"WITH history AS ({with_src})\n{sql}"
+            body = sql.lstrip()
+            if body[:4].upper() == "WITH":
+                # Merge the query's own CTE list into the history CTE.
+                body = "," + body[4:]
+            ORACLE[name] = f"WITH history AS ({with_src})\n{body}"
         return fn
 
     return deco

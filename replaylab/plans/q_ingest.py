@@ -1 +1,118 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for ingestion and cleanup.
+
+The JSON reader itself (A01, A02, A07, A16, A17) is exercised by the tests on
+export files written to a scratch folder; here the same normalisation and
+storage path runs over the whole driver tables.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from replaylab.operators import cleanup as CL
+from replaylab.schema import HISTORY, MAPPING
+from replaylab.session import checkpoint_dir
+from replaylab.sources import history_store as HS
+from replaylab.sources.export_json import normalize, present_columns, to_raw
+from replaylab.sources.plays import EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, plays
+from replaylab.plans.catalog import register, register_raw
+
+_TYPES = {f.name: f.dataType.simpleString() for f in HISTORY.fields}
+
+
+@register("a03_present_columns", " UNION ALL ".join(
+    f"SELECT '{src}' AS key, count({tgt}) AS non_null, count({tgt}) > 0 AS present FROM history"
+    for src, tgt, _ in MAPPING), source="events")
+def a03_present_columns(h: DataFrame) -> DataFrame:
+    """Which export keys carry data in the events feed laid out as raw export text."""
+    return present_columns(to_raw(h))
+
+
+_ROUNDTRIP_SQL = """
+SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS total_ms,
+       count(*) FILTER (WHERE skipped) AS skips, count(skipped) AS known_skip,
+       count(*) FILTER (WHERE shuffle) AS shuffles, count(DISTINCT track_uri) AS songs,
+       count(DISTINCT artist_name) AS artists, count(offline_timestamp) AS offline_ts
+FROM history GROUP BY 1"""
+
+
+def _roundtrip_agg(h: DataFrame) -> DataFrame:
+    return h.groupBy(F.year("ts").alias("year")).agg(
+        F.count(F.lit(1)).alias("plays"),
+        F.sum("ms_played").cast("bigint").alias("total_ms"),
+        F.count_if(F.col("skipped")).alias("skips"),
+        F.count("skipped").alias("known_skip"),
+        F.count_if(F.col("shuffle")).alias("shuffles"),
+        F.count_distinct("track_uri").alias("songs"),
+        F.count_distinct("artist_name").alias("artists"),
+        F.count("offline_timestamp").alias("offline_ts"),
+    )
+
+
+@register("a04_normalize_roundtrip", _ROUNDTRIP_SQL)
+def a04_normalize_roundtrip(h: DataFrame) -> DataFrame:
+    """Every play as raw export text, re-typed by the lenient casts."""
+    return _roundtrip_agg(normalize(to_raw(h)))
+
+
+def _store_path(spark: SparkSession, tag: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/history-{tag}-{uuid.uuid4().hex}"
+
+
+@register_raw("a08_history_store_roundtrip", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
+def a08_history_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append the plays to a year-partitioned store, load it back, aggregate."""
+    path = _store_path(spark, "a08")
+    HS.append_history(plays(spark, sf_dir), path)
+    return _roundtrip_agg(HS.load_history(spark, path))
+
+
+@register_raw("a09_ingest_report", f"""
+WITH history AS ({PLAYS_SQL}), ev AS ({EVENT_PLAYS_SQL})
+SELECT 2 AS files_processed, (SELECT count(*) FROM history) + (SELECT count(*) FROM ev) AS total_rows""")
+def a09_ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends (plays, then events) and the report of the total table."""
+    path = _store_path(spark, "a09")
+    HS.append_history(plays(spark, sf_dir), path)
+    HS.append_history(event_plays(spark, sf_dir), path)
+    return HS.ingest_report(spark, path, files_processed=2)
+
+
+@register_raw("a11_concat_parts", f"""
+WITH history AS ({PLAYS_SQL}), ev AS ({EVENT_PLAYS_SQL})
+SELECT username, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS total_ms
+FROM (SELECT username, ms_played FROM history UNION ALL SELECT username, ms_played FROM ev) t
+GROUP BY username""")
+def a11_concat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two export parts concatenated, plays and ms per listener."""
+    both = CL.concat_parts(plays(spark, sf_dir), event_plays(spark, sf_dir))
+    return both.groupBy("username").agg(F.count(F.lit(1)).alias("plays"),
+                                        F.sum("ms_played").cast("bigint").alias("total_ms"))
+
+
+@register("a12_drop_empty_columns", """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, username, ms_played, artist_name FROM history""",
+          source="events")
+def a12_drop_empty_columns(h: DataFrame) -> DataFrame:
+    """The events feed without its all-null columns."""
+    out = CL.drop_empty_columns(h)
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@register("a14_with_minutes", """
+SELECT username, ms_played, ms_played / 60000.0 AS minutes_played FROM history""", source="events")
+def a14_with_minutes(h: DataFrame) -> DataFrame:
+    """Unrounded minutes per play (events feed)."""
+    return CL.with_minutes(h).select("username", "ms_played", "minutes_played")
+
+
+@register("a15_profile", " UNION ALL ".join(
+    f"SELECT (SELECT count(*) FROM history) AS total_rows, {i} AS position, '{f.name}' AS column_name, "
+    f"'{_TYPES[f.name]}' AS dtype, count({f.name}) AS non_null FROM history"
+    for i, f in enumerate(HISTORY.fields)))
+def a15_profile(h: DataFrame) -> DataFrame:
+    """Row count, type and non-null count of every history column."""
+    return CL.profile(h)

@@ -1 +1,84 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming queries.
+
+Each runs its stream to completion with ``trigger(availableNow=True)`` into
+a checkpointed Parquet sink under the shared checkpoint folder, then returns
+the sink as a batch DataFrame.  The oracles model the watermark: only windows
+and sessions the final watermark (max event time - delay) closed are emitted.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from replaylab.plans.catalog import register_raw
+from replaylab.sources.plays import EVENT_PLAYS_SQL, PLAYS_SQL, events_to_history, lineitems_to_plays
+from replaylab.streaming import pipelines as P
+
+
+@register_raw("s01_incremental_ingest", f"""
+WITH history AS ({EVENT_PLAYS_SQL})
+SELECT username, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS total_ms FROM history GROUP BY username""")
+def s01_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental append of new source files, exactly once (run twice, no doubling)."""
+    sink, ckpt = P.scratch(spark, "s01")
+    for _ in range(2):  # the second run finds no new file in the checkpoint's log
+        stream = events_to_history(P.table_stream(spark, sf_dir, "events")).withColumn("year", F.year("ts"))
+        P.run_available_now(stream, sink, ckpt, partition_by=("year",))
+    out = spark.read.parquet(sink)
+    return out.groupBy("username").agg(F.count(F.lit(1)).alias("plays"),
+                                       F.sum("ms_played").cast("bigint").alias("total_ms"))
+
+
+@register_raw("s02_stream_dedup", f"""
+WITH history AS ({PLAYS_SQL})
+SELECT username, count(*) AS rows_after_dedup FROM (
+  SELECT DISTINCT username, ts, coalesce(track_uri, episode_uri) AS item FROM history) t
+GROUP BY username""")
+def s02_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed line items (stream-static joins) de-duplicated within the watermark."""
+    sink, ckpt = P.scratch(spark, "s02")
+    stream = lineitems_to_plays(spark, sf_dir, P.table_stream(spark, sf_dir, "lineitem"))
+    P.run_available_now(P.dedup_stream(stream, delay="30 days"), sink, ckpt)
+    return spark.read.parquet(sink).groupBy("username").agg(F.count(F.lit(1)).alias("rows_after_dedup"))
+
+
+@register_raw("s03_daily_windows", f"""
+WITH history AS ({EVENT_PLAYS_SQL}),
+wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM history)
+SELECT CAST(ts AS DATE) AS day, count(*) AS streams, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms
+FROM history WHERE ts IS NOT NULL GROUP BY 1
+HAVING CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= (SELECT w FROM wm)""")
+def s03_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily tumbling windows over the events stream, watermark 1 hour."""
+    sink, ckpt = P.scratch(spark, "s03")
+    stream = events_to_history(P.table_stream(spark, sf_dir, "events"))
+    P.run_available_now(P.daily_windows(stream, delay="1 hour"), sink, ckpt)
+    return spark.read.parquet(sink)
+
+
+@register_raw("s04_sessions", f"""
+WITH history AS ({EVENT_PLAYS_SQL}),
+wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM history),
+o AS (SELECT username, ts, ms_played,
+             CASE WHEN lag(ts) OVER (PARTITION BY username ORDER BY ts) IS NULL
+                    OR ts >= lag(ts) OVER (PARTITION BY username ORDER BY ts) + INTERVAL 30 MINUTE
+                  THEN 1 ELSE 0 END AS new_session
+      FROM history WHERE username IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, sum(new_session) OVER (PARTITION BY username ORDER BY ts
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM o),
+g AS (SELECT username, min(ts) AS s_start, max(ts) + INTERVAL 30 MINUTE AS s_end, count(*) AS plays,
+             CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms
+      FROM s GROUP BY username, sid)
+SELECT username, strftime(s_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(s_end, '%Y-%m-%d %H:%M:%S.%f') AS session_end, plays, total_ms
+FROM g WHERE s_end <= (SELECT w FROM wm)""")
+def s04_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30-minute-gap listening sessions per user over the events stream."""
+    sink, ckpt = P.scratch(spark, "s04")
+    stream = events_to_history(P.table_stream(spark, sf_dir, "events"))
+    P.run_available_now(P.sessions(stream, gap="30 minutes", delay="1 hour"), sink, ckpt)
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return spark.read.parquet(sink).select(
+        "username", F.date_format("session_start", fmt).alias("session_start"),
+        F.date_format("session_end", fmt).alias("session_end"), "plays", "total_ms")

@@ -20,7 +20,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``history`` row per line item (see FIXTURES.md §3)."""
-    li = _table(spark, sf_dir, "lineitem")
+    return lineitems_to_plays(spark, sf_dir, _table(spark, sf_dir, "lineitem"))
+
+
+def lineitems_to_plays(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataFrame:
+    """The plays projection for a (batch or streaming) frame of line items.
+
+    The dimension tables are read as static frames, so a streaming ``li``
+    becomes a stream-static join.
+    """
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -67,7 +75,11 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``history`` row per event, microsecond times (intra-day cases)."""
-    ev = _table(spark, sf_dir, "events")
+    return events_to_history(_table(spark, sf_dir, "events"))
+
+
+def events_to_history(ev: DataFrame) -> DataFrame:
+    """The events projection for a (batch or streaming) frame of events."""
     cols = {
         "ts": F.col("ts").cast("timestamp"),
         "username": F.concat(F.lit("user"), F.col("user_id").cast("string")),

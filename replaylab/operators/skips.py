@@ -63,8 +63,8 @@ def skip_surprise(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
 
     Needs ``global_rate`` on every row (see :func:`with_global_rate`).
     """
-    p = X.binom_sf("skips", "total_plays", "global_rate")
-    out = stats.withColumn("p_value", F.when(F.col("total_plays") > 0, p))
+    out = X.with_binom_sf(stats, "skips", "total_plays", "global_rate", out="p_value")
+    out = out.withColumn("p_value", F.when(F.col("total_plays") > 0, F.col("p_value")))
     return out.withColumns({
         "neg_log_p": X.neg_log10_p("p_value"),
         "significant": F.col("p_value") < F.lit(alpha),

@@ -19,6 +19,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+# name -> (fn(history) -> DataFrame, source table) for queries over ``history``;
+# lets the bench run the same operators over a stored history table.
+HISTORY_QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {}
 
 
 def register(name: str, sql: str | None = None, source: str = "plays"):
@@ -34,6 +37,7 @@ def register(name: str, sql: str | None = None, source: str = "plays"):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        HISTORY_QUERIES[name] = (fn, source)
         if sql is not None:
             with_src = PLAYS_SQL if source == "plays" else EVENT_PLAYS_SQL
             body = sql.lstrip()

@@ -180,7 +180,13 @@ def with_binom_sf(df: "DataFrame", k: str, n: str, p: str, out: str = "p_value")
     """
     kk, nn, pp = F.col(k).cast("double"), F.col(n).cast("double"), F.col(p).cast("double")
     a, b, x = F.col("__a"), F.col("__b"), F.col("__x")
-    s1 = df.withColumns({"__a": kk, "__b": nn - kk + F.lit(1.0), "__x": pp})
+    # Clamp to the domain: rows outside it take an exact branch below, but
+    # every staged column is still evaluated (ANSI division must not fail).
+    s1 = df.withColumns({
+        "__a": F.greatest(kk, F.lit(1.0)),
+        "__b": F.greatest(nn - kk + F.lit(1.0), F.lit(1.0)),
+        "__x": F.least(F.greatest(pp, F.lit(0.0)), F.lit(1.0)),
+    })
     direct = x < (a + F.lit(1.0)) / (a + b + F.lit(2.0))
     s2 = s1.withColumns({
         "__dir": direct,
@@ -221,7 +227,7 @@ def binom_sf(k: ColumnOrName, n: ColumnOrName, p: ColumnOrName) -> Column:
         .when(k > n, F.lit(0.0))
         .when(p <= F.lit(0.0), F.lit(0.0))
         .when(p >= F.lit(1.0), F.lit(1.0))
-        .otherwise(betainc(k, n - k + F.lit(1.0), p))
+        .otherwise(betainc(F.greatest(k, F.lit(1.0)), F.greatest(n - k + F.lit(1.0), F.lit(1.0)), p))
     )
 
 

@@ -1,8 +1,10 @@
-"""Registered queries for ingestion and cleanup.
+"""Registered queries for ingestion and cleanup.
 
-The JSON reader itself (A01, A02, A07, A16, A17) is exercised by the tests on
-export files written to a scratch folder; here the same normalisation and
-storage path runs over the whole driver tables.
+The whole driver tables go through the real paths: written as export JSON
+arrays and scanned back (A01), re-typed from export text (A04-A06), appended
+to the year-partitioned store and loaded (A08-A10).  Upload validation, the
+private-key exclusion, the audio-only rule and the new-file anti join (A02,
+A07, A16, A17) are tested on export files written to a scratch folder.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from replaylab.operators import cleanup as CL
 from replaylab.schema import HISTORY, MAPPING
 from replaylab.session import checkpoint_dir
 from replaylab.sources import history_store as HS
-from replaylab.sources.export_json import normalize, present_columns, to_raw
+from replaylab.sources.export_json import normalize, present_columns, read_export, to_raw, write_export
 from replaylab.sources.plays import EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, plays
 from replaylab.plans.catalog import register, register_raw
 
@@ -70,6 +72,14 @@ def a08_history_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip_agg(HS.load_history(spark, path))
 
 
+@register_raw("a01_export_json_roundtrip", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
+def a01_export_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays written as export JSON arrays, then scanned and normalised."""
+    path = _store_path(spark, "a01-export")
+    write_export(plays(spark, sf_dir), path, rows_per_file=10_000)
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob="*.txt")))
+
+
 @register_raw("a09_ingest_report", f"""
 WITH history AS ({PLAYS_SQL}), ev AS ({EVENT_PLAYS_SQL})
 SELECT 2 AS files_processed, (SELECT count(*) FROM history) + (SELECT count(*) FROM ev) AS total_rows""")

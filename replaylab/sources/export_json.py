@@ -48,7 +48,7 @@ def validate_paths(paths: Sequence[str] | str) -> list[str]:
 
 
 def read_export(spark: SparkSession, paths: Sequence[str] | str, audio_only: bool = False,
-                validate: bool = True) -> DataFrame:
+                validate: bool = True, glob: str = "*.json") -> DataFrame:
     """Scan export files as one raw table (all-string columns).
 
     ``audio_only`` keeps rows from ``Streaming_History_Audio_*.json`` files
@@ -61,7 +61,7 @@ def read_export(spark: SparkSession, paths: Sequence[str] | str, audio_only: boo
         paths = validate_paths(paths)
     reader = spark.read.schema(RAW).option("multiLine", True).option("mode", "PERMISSIVE")
     if not validate:
-        reader = reader.option("pathGlobFilter", "*.json")
+        reader = reader.option("pathGlobFilter", glob)
     raw = reader.json(list(paths))
     if audio_only:
         raw = raw.where(F.col("_metadata.file_name").rlike(AUDIO_FILE.pattern))
@@ -161,6 +161,38 @@ def to_raw(history: DataFrame) -> DataFrame:
     return history.select(*cols)
 
 
+def to_export(history: DataFrame) -> DataFrame:
+    """A history frame with the export's key names and JSON value types."""
+    cols = []
+    for (src, tgt, sql_type) in MAPPING:
+        c = F.col(tgt)
+        if tgt == "ts":
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        elif tgt == "offline_timestamp":
+            c = F.unix_timestamp(c)
+        cols.append(c.alias(src))
+    return history.select(*cols)
+
+
+def write_export(history: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """Sink: write plays as export files, each ONE JSON array of <= ``rows_per_file`` plays.
+
+    Chunks never cross input partitions (``monotonically_increasing_id`` is
+    contiguous within a partition), so every group is bounded by
+    ``rows_per_file``; one record per output file makes each file a single
+    JSON document, as the export format requires.
+    """
+    chunk = F.floor(F.monotonically_increasing_id() / F.lit(rows_per_file))
+    ex = to_export(history)
+    arrays = (
+        ex.withColumn("__chunk", chunk)
+        .groupBy("__chunk")
+        .agg(F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in ex.columns]))).alias("value"))
+        .select("value")
+    )
+    arrays.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+
+
 def union_parts(parts: Iterable[DataFrame]) -> DataFrame:
     """Concatenate raw or normalised frames by column name."""
     it = iter(parts)

@@ -88,44 +88,49 @@ def month_spine(ranges: DataFrame, by: By = ()) -> DataFrame:
     return ranges.select(*by, F.explode(_month_seq("range_start", "range_end")).alias("month_start"))
 
 
-def carry_forward(spine: DataFrame, top: DataFrame, by: By = ()) -> DataFrame:
-    """Months without data repeat the latest earlier month's list.
+def carry_lists(top: DataFrame, by: By = ()) -> DataFrame:
+    """C05 without a spine join: each data month's list holds until the next data month.
 
-    Works on months, not lists: ``src`` = last month with data at or before
-    each spine month (a backward as-of on the spine), then one equi-join.
+    ``next`` = the first later month with data, from ONE range window over the
+    top list (integer month index, ``RANGE 1 FOLLOWING``); each list row is then
+    exploded over [month, next - 1 month].  Gap months repeat the latest list.
     """
     by = by_list(by)
-    data_months = top.select(*by, "month_start").distinct().withColumn("src", F.col("month_start"))
-    w = (Window.partitionBy(*[F.col(b) for b in by]).orderBy("month_start")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = (
-        spine.join(data_months, on=[*by, "month_start"], how="left")
-        .withColumn("src", F.last("src", ignorenulls=True).over(w))
-    )
-    lists = top.withColumnRenamed("month_start", "src")
-    return marked.join(lists, on=[*by, "src"], how="inner").withColumn(
-        "carried", F.col("src") != F.col("month_start")
-    )
+    idx = F.year("month_start") * 12 + F.month("month_start")
+    w = (Window.partitionBy(*[F.col(b) for b in by]).orderBy(idx)
+         .rangeBetween(1, Window.unboundedFollowing))
+    nxt = F.min("month_start").over(w)
+    last = F.coalesce(F.add_months(nxt, -1), F.col("month_start"))
+    rows = top.withColumn("src", F.col("month_start")).withColumn("__last", last)
+    return rows.withColumn(
+        "month_start", F.explode(F.sequence(F.col("src"), F.col("__last"), F.expr("INTERVAL 1 MONTH")))
+    ).drop("__last").withColumn("carried", F.col("src") != F.col("month_start"))
 
 
 def featured(chart: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:
-    """Every entity that ever charted, with chart months (carried included)."""
+    """Every entity that ever charted, with chart months (carried included).
+
+    Lifetime totals ride along when the chart rows carry them (one aggregate).
+    """
     by, keys = by_list(by), list(keys)
+    extra = []
+    if "total_ms" in chart.columns:
+        extra = [F.max("total_streams").alias("total_streams"), F.max("total_ms").alias("total_ms")]
     return chart.groupBy(*by, *keys).agg(
         F.count(F.lit(1)).alias("chart_months"),
         F.min("month_start").alias("first_month"),
         F.min_by("rank", "month_start").alias("first_rank"),
+        *extra,
     )
 
 
-def rank_featured(feat: DataFrame, life: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:
-    """C07+C08: lifetime totals, global order by ms; ties keep first appearance."""
-    by, keys = by_list(by), list(keys)
-    joined = null_safe_join(feat, life, [*by, *keys], how="inner")
+def order_featured(feat: DataFrame, by: By = ()) -> DataFrame:
+    """Global order by lifetime ms DESC; ties keep first-appearance order."""
+    by = by_list(by)
     w = Window.partitionBy(*[F.col(b) for b in by]).orderBy(
         F.col("total_ms").desc(), F.col("first_month").asc(), F.col("first_rank").asc()
     )
-    return joined.withColumn("rank", F.row_number().over(w))
+    return feat.withColumn("rank", F.row_number().over(w))
 
 
 # ------------------------------------------------------------------ C09-C12
@@ -221,12 +226,9 @@ class Chart:
         self.top = materialize(top) if materialize_top else top
         self.ranges = month_ranges(self.top, self.by)
         self.spine = month_spine(self.ranges, self.by)
-        self.chart = carry_forward(self.spine, self.top, self.by)
-        feat = featured(self.chart, self.keys, self.by)
-        totals = self.top.groupBy(*self.by, *self.keys).agg(
-            F.max("total_streams").alias("total_streams"), F.max("total_ms").alias("total_ms"))
-        self.featured = feat
-        self.ranked = rank_featured(feat, totals, self.keys, self.by)
+        self.chart = carry_lists(self.top, self.by)
+        self.featured = featured(self.chart, self.keys, self.by)
+        self.ranked = order_featured(self.featured, self.by)
 
     @property
     def lifetime(self) -> DataFrame:

@@ -27,7 +27,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut folder named by ``spark.checkpoint.dir``.
 
-    Set our own (a scratch folder) only when the session has none, as in tests.
+    Set our own (a scratch folder) only when the session has none AND runs in
+    local mode, as in tests; on a cluster a machine-local folder would not
+    survive a lost executor, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     existing = sc.getCheckpointDir()
@@ -37,6 +39,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: point it at a shared folder (HDFS, object store) "
+            "that every executor can reach."
+        )
     local = tempfile.mkdtemp(prefix="replaylab-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -47,6 +47,29 @@ def row_count(h: DataFrame, by: By = ()) -> DataFrame:
     return h.groupBy(*by).agg(F.count(F.lit(1)).alias("total_rows"))
 
 
+def overview_cards(h: DataFrame, by: By = (), approx: bool = False) -> DataFrame:
+    """B01+B08+F01+F02 in ONE scan: total time, plays, unique songs, active days.
+
+    The overview page shows these cards together; one aggregate serves them
+    all (the distinct counts share a single Expand, or use HyperLogLog++
+    sketches with ``approx`` so no distinct values are shuffled).
+    """
+    by = by_list(by)
+    day = F.to_date("ts")
+    if approx:
+        songs, days_ = F.approx_count_distinct("track_uri"), F.approx_count_distinct(day)
+    else:
+        songs, days_ = F.count_distinct("track_uri"), F.count_distinct(day)
+    agg = h.groupBy(*by).agg(
+        _sum_ms().alias("total_ms"),
+        F.count(F.lit(1)).alias("total_rows"),
+        songs.alias("unique_songs"),
+        days_.alias("active_days"),
+    )
+    return agg.select(*by, "total_ms", X.minutes("total_ms").alias("total_minutes"),
+                      "total_rows", "unique_songs", "active_days")
+
+
 # ------------------------------------------------------------------ B03-B07, B09
 
 def entity_totals(h: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:

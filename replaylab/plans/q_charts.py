@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from replaylab.functions import expr as X
 from replaylab.operators import charts as C
 from replaylab.plans.catalog import minutes_sql, register
 
@@ -58,19 +59,6 @@ cells AS (SELECT {''.join(f'r.{b}, ' for b in by)}r.rank, {', '.join('r.' + x fo
           LEFT JOIN chart c ON {eq('c', 'r', [*by, *keys])} AND c.month_start = sp.month_start)"""
 
 
-def long_sql(keys: list[str], limit: int, by: list[str] | None = None) -> str:
-    by = by or []
-    bc = "".join(f"{b}, " for b in by)
-    return f"""WITH history AS (SELECT * FROM history), {chart_ctes(keys, limit, by)}
-SELECT {bc}CAST(rank AS INTEGER) AS rank, {', '.join(keys)}, total_streams,
-       {minutes_sql('total_ms')} AS total_minutes, month, month_rank
-FROM cells"""
-
-
-def _sql(keys: list[str], limit: int, body: str, by: list[str] | None = None) -> str:
-    return f"WITH {chart_ctes(keys, limit, by)}\n{body}"
-
-
 # Registered SQL strings are wrapped in "WITH history AS (...)" by the catalog,
 # so the chart CTEs follow it with a comma.
 def _q(keys: list[str], limit: int, body: str, by: list[str] | None = None) -> str:
@@ -142,9 +130,7 @@ FROM ranked"""))
 def c08_featured_artist_order(h: DataFrame) -> DataFrame:
     """Featured artists in lifetime-ms order."""
     ch = C.Chart(h, C.ARTIST, 8)
-    return ch.ranked.select("rank", "artist_name", "total_streams",
-                            F.call_function("div", F.col("total_ms") + 300, F.lit(600)).__truediv__(100)
-                            .alias("total_minutes"))
+    return ch.ranked.select("rank", "artist_name", "total_streams", X.minutes("total_ms").alias("total_minutes"))
 
 
 @register("c09_artist_rank_long", _q(ARTIST, 8, f"""

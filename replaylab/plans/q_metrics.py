@@ -43,6 +43,28 @@ def b01_total_time_by_user(h: DataFrame) -> DataFrame:
     return M.total_time(h, by=("username",))
 
 
+@register("b00_overview_cards", f"""
+SELECT CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms,
+       {minutes_sql('CAST(coalesce(sum(ms_played), 0) AS BIGINT)')} AS total_minutes,
+       count(*) AS total_rows, count(DISTINCT track_uri) AS unique_songs,
+       count(DISTINCT CAST(ts AS DATE)) AS active_days
+FROM history""")
+def b00_overview_cards(h: DataFrame) -> DataFrame:
+    """B01/B08/F01/F02 cards from one scan."""
+    return M.overview_cards(h)
+
+
+@register("b00_overview_cards_by_user", f"""
+SELECT username, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms,
+       {minutes_sql('CAST(coalesce(sum(ms_played), 0) AS BIGINT)')} AS total_minutes,
+       count(*) AS total_rows, count(DISTINCT track_uri) AS unique_songs,
+       count(DISTINCT CAST(ts AS DATE)) AS active_days
+FROM history GROUP BY username""")
+def b00_overview_cards_by_user(h: DataFrame) -> DataFrame:
+    """The overview cards of every listener in one job."""
+    return M.overview_cards(h, by=("username",))
+
+
 @register("b03_top_artist", _top_sql(["artist_name"], 1))
 def b03_top_artist(h: DataFrame) -> DataFrame:
     """Top artist by stream count."""

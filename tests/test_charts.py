@@ -216,3 +216,20 @@ def test_chart_plan_has_no_nested_loop_join(spark):
     for keys in (C.ARTIST, C.TRACK):
         plan = C.Chart(h, keys, 8).long()._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_by_user_chart_matches_per_user_brute_force(spark):
+    h = plays(spark, SF_SMALL)
+    rows = [r.asDict() for r in h.select("username", "ts", "artist_name", "ms_played").collect()]
+    per_user = {}
+    for r in rows:
+        per_user.setdefault(r["username"], []).append(r)
+    nested = C.Chart(h, C.ARTIST, 2, by=("username",)).nested().collect()
+    got = {}
+    for r in nested:
+        got.setdefault(r["username"], {})[(r["artist_name"],)] = (
+            r["rank"], r["total_streams"], r["total_minutes"], list(r["monthly_ranks"]))
+    assert set(got) == set(per_user)
+    for user, urows in per_user.items():
+        want, _ = brute_chart(urows, ["artist_name"], 2)
+        assert got[user] == {e: (rk, s, _minutes(ms), rr) for e, (rk, s, ms, rr) in want.items()}, user

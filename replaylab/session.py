@@ -51,8 +51,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "replaylab") -> SparkSession:
-    """A local[N] session configured like the tests and bench expect."""
+                  app: str = "replaylab", event_log_dir: str | None = None) -> SparkSession:
+    """A local[N] session configured like the tests and bench expect.
+
+    ``event_log_dir`` turns on Spark's event log there (stage and task times
+    without the UI; summarise with ``tools/stage_times.py``).
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -66,6 +70,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", os.environ.get("REPLAYLAB_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)

@@ -242,8 +242,14 @@ class Chart:
         return rank_range(self.ranges, self.by)
 
     def fallback(self) -> DataFrame:
-        """C11 rows for groups that have no dated row at all."""
-        top = lifetime_top(self.history, self.keys, self.limit, self.by)
+        """C11 rows for groups that have no dated row at all.
+
+        Such a group's entity rows are ALL undated, so only ``ts IS NULL`` rows
+        can contribute: the filter reaches the Parquet scan (row groups without
+        nulls are skipped by their statistics) and the result is exact.
+        """
+        undated = self.history.where(F.col("ts").isNull())
+        top = lifetime_top(undated, self.keys, self.limit, self.by)
         if self.by:
             return top.join(self.ranges.select(*self.by), on=self.by, how="left_anti")
         # One group: the (checkpointed, tiny) range frame says whether any

@@ -233,3 +233,13 @@ def test_by_user_chart_matches_per_user_brute_force(spark):
     for user, urows in per_user.items():
         want, _ = brute_chart(urows, ["artist_name"], 2)
         assert got[user] == {e: (rk, s, _minutes(ms), rr) for e, (rk, s, ms, rr) in want.items()}, user
+
+
+def test_by_user_fallback_only_for_undated_listeners(spark, make_history):
+    h = make_history([
+        play(None, "A", ms=10, username="u1"), play(None, "B", ms=30, username="u1"),
+        play("2024-01-01T00:00:00", "C", ms=5, username="u2"), play(None, "D", ms=99, username="u2"),
+    ])
+    got = sorted((r["username"], r["rank"], r["artist_name"], list(r["monthly_ranks"]))
+                 for r in C.Chart(h, C.ARTIST, 2, by=("username",)).nested().collect())
+    assert got == [("u1", 1, "B", []), ("u1", 2, "A", []), ("u2", 1, "C", [1])]

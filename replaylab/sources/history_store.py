@@ -22,9 +22,18 @@ class HistoryNotFound(FileNotFoundError):
 STORED = T.StructType([*HISTORY.fields, T.StructField("year", T.IntegerType(), True)])
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Create-if-absent and append normalised rows, partitioned by ``year(ts)``."""
+def append_history(df: DataFrame, path: str, rebalance: bool = True) -> None:
+    """Create-if-absent and append normalised rows, partitioned by ``year(ts)``.
+
+    ``rebalance`` (default) adds Spark's REBALANCE on ``year`` before the write:
+    one shuffle after which AQE coalesces small partitions and splits skewed
+    ones (a year holding a third of all plays) to the advisory size, so each
+    year folder gets a few right-sized files instead of one file per input
+    task, and no single task writes a hot year alone.
+    """
     out = df.select(*HISTORY_COLUMNS, F.year("ts").alias("year"))
+    if rebalance:
+        out = out.hint("rebalance", "year")
     out.write.mode("append").partitionBy("year").parquet(path)
 
 

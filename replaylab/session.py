@@ -31,7 +31,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local mode, as in tests; on a cluster a machine-local folder would not
     survive a lost executor, so an unset folder is an error there.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext; the server's setting applies
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            raise RuntimeError("spark.checkpoint.dir must be set on the Spark Connect server") from None
+        return current
     existing = sc.getCheckpointDir()
     if existing:
         return existing

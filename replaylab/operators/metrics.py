@@ -225,6 +225,18 @@ def reason_breakdown(h: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
+def reason_matrix(h: DataFrame, by: By = (), values: Sequence[str] | None = None) -> DataFrame:
+    """F11 (pivot): plays per start reason (rows) x end reason (columns).
+
+    Pass ``values`` (the end reasons) to skip the extra job Spark runs to find
+    the distinct pivot values; either way the pivot is one aggregate.
+    """
+    by = by_list(by)
+    g = h.groupBy(*by, "reason_start")
+    piv = g.pivot("reason_end", list(values)) if values is not None else g.pivot("reason_end")
+    return piv.agg(F.count(F.lit(1)))
+
+
 def habit_shares(h: DataFrame, by: By = ()) -> DataFrame:
     """share of plays in shuffle, offline and incognito mode (nulls excluded)."""
     by = by_list(by)

@@ -207,6 +207,16 @@ def f11_reason_breakdown(h: DataFrame) -> DataFrame:
     return M.reason_breakdown(h)
 
 
+@register("f11_reason_matrix", """
+SELECT reason_start, count(*) FILTER (WHERE reason_end = 'F') AS F,
+       count(*) FILTER (WHERE reason_end = 'O') AS O
+FROM history GROUP BY reason_start""")
+def f11_reason_matrix(h: DataFrame) -> DataFrame:
+    """F11 pivot: start reason x end reason counts (end reasons given)."""
+    out = M.reason_matrix(h, values=["F", "O"])
+    return out.select("reason_start", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("F", "O")])
+
+
 @register("f12_habit_shares", """
 SELECT round(avg(CAST(shuffle AS DOUBLE)), 6) AS shuffle_share,
        round(avg(CAST(offline AS DOUBLE)), 6) AS offline_share,

@@ -21,19 +21,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replaylab.schema import HISTORY_COLUMNS, RAW
+from replaylab.schema import HISTORY_COLUMNS
 from replaylab.session import checkpoint_dir
-from replaylab.sources.export_json import normalize
+from replaylab.sources.export_json import normalize, parse_export_text
 
 
 def read_export_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
                        audio_only: bool = False) -> DataFrame:
-    """S01 source: export files (JSON arrays) appearing in ``directory``."""
-    reader = (spark.readStream.schema(RAW).option("multiLine", True)
-              .option("pathGlobFilter", "Streaming_History_Audio_*.json" if audio_only else "*.json"))
+    """S01 source: export files (JSON arrays) appearing in ``directory``, one raw row per play."""
+    reader = spark.readStream.option("pathGlobFilter",
+                                     "Streaming_History_Audio_*.json" if audio_only else "*.json")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(directory)
+    return parse_export_text(reader.text(directory, wholetext=True))
 
 
 def ingest_stream(spark: SparkSession, directory: str, **kw) -> DataFrame:

@@ -54,7 +54,7 @@ def e02_artist_skip_stats(h: DataFrame) -> DataFrame:
 @register("e03_track_skip_stats", f"""
 SELECT track_name, total_plays, skips, round(skip_rate, 6) AS skip_rate FROM ({_stats_sql(['track_name'])}) t""")
 def e03_track_skip_stats(h: DataFrame) -> DataFrame:
-    """Skip stats per track name (notebook key)."""
+    """Skip stats keyed by track name only."""
     return S.rounded(S.skip_stats(h, S.TRACK_NAME), ["skip_rate"])
 
 

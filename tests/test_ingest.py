@@ -130,3 +130,23 @@ def test_cleanup_helpers(spark, folder):
     assert m.minutes_played == pytest.approx(1234 / 60000)
     both = CL.concat_parts(raw, raw.drop("platform"))
     assert both.count() == 2 and "platform" in both.columns
+
+
+def test_export_sink_files_are_bounded_arrays(spark, folder):
+    from conftest import SF_SMALL
+    from replaylab.sources.plays import plays
+
+    h = plays(spark, SF_SMALL)
+    out = str(folder / "export")
+    X.write_export(h, out, rows_per_file=1000)
+    files = sorted(Path(out).glob("*.txt"))
+    sizes = []
+    for f in files:
+        doc = json.loads(f.read_text())
+        assert isinstance(doc, list) and 0 < len(doc) <= 1000
+        assert not {"ip_addr", "ip_addr_decrypted", "user_agent_decrypted"} & set(doc[0])
+        sizes.append(len(doc))
+    assert sum(sizes) == h.count()
+    back = X.normalize(X.read_export(spark, [out], validate=False, glob="*.txt"))
+    assert back.count() == h.count()
+    assert back.agg(F.sum("ms_played")).first()[0] == h.agg(F.sum("ms_played")).first()[0]

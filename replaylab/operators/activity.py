@@ -167,3 +167,42 @@ def top_weekday(h: DataFrame, by: By = ()) -> DataFrame:
     by = by_list(by)
     prof = weekday_profile(h, by)
     return top_k(prof, by, [F.col("avg_hours").desc(), F.col("dow").asc()], 1).drop("rank")
+
+
+def listening_sessions(h: DataFrame, gap_minutes: int = 30, by: By = ("username",)) -> DataFrame:
+    """S04 in batch: gap-based sessions per group, skew-aware.
+
+    A session is a run of plays where each play starts less than ``gap``
+    after the previous one; it ends ``gap`` after its last play (the same
+    rule as a streaming ``session_window``).
+
+    Phase 1 sessionises inside (group, UTC day) buckets, so one listener's
+    plays are spread over many tasks.  Phase 2 merges sessions that continue
+    across a bucket boundary with a window over the SESSIONS of a group, whose
+    count is bounded by time span / gap, not by data volume.
+    """
+    by = by_list(by)
+    gap = F.lit(gap_minutes * 60_000_000)
+    keep = F.col("ts").isNotNull()
+    for b in by:
+        keep = keep & F.col(b).isNotNull()
+    ev = h.where(keep).select(*by, F.unix_micros("ts").alias("t"), "ms_played",
+                              F.to_date("ts").alias("bucket"))
+    w1 = Window.partitionBy(*[F.col(b) for b in by], "bucket").orderBy("t")
+    new1 = F.coalesce((F.col("t") - F.lag("t").over(w1)) >= gap, F.lit(True)).cast("int")
+    run1 = F.sum("new1").over(w1.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    part = (ev.withColumn("new1", new1).withColumn("sid", run1)
+            .groupBy(*by, "bucket", "sid")
+            .agg(F.min("t").alias("start"), (F.max("t") + gap).alias("end"),
+                 F.count(F.lit(1)).alias("plays"),
+                 F.coalesce(F.sum("ms_played"), F.lit(0)).cast("bigint").alias("total_ms")))
+    w2 = Window.partitionBy(*[F.col(b) for b in by]).orderBy("start")
+    new2 = F.coalesce(F.col("start") >= F.lag("end").over(w2), F.lit(True)).cast("int")
+    run2 = F.sum("new2").over(w2.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = (part.withColumn("new2", new2).withColumn("gid", run2)
+              .groupBy(*by, "gid")
+              .agg(F.min("start").alias("start"), F.max("end").alias("end"),
+                   F.sum("plays").cast("bigint").alias("plays"),
+                   F.sum("total_ms").cast("bigint").alias("total_ms")))
+    return merged.select(*by, F.timestamp_micros("start").alias("session_start"),
+                         F.timestamp_micros("end").alias("session_end"), "plays", "total_ms")

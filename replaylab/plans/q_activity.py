@@ -169,3 +169,23 @@ def f05_top_weekday_by_user(h: DataFrame) -> DataFrame:
     """each listener's most active weekday."""
     t = A.top_weekday(h, by=("username",))
     return t.select("username", "dow", "active_days", "avg_hours", "weekday")
+
+
+@register("s04_sessions_batch", """
+WITH o AS (SELECT username, ts, ms_played,
+                  CASE WHEN lag(ts) OVER (PARTITION BY username ORDER BY ts) IS NULL
+                         OR ts >= lag(ts) OVER (PARTITION BY username ORDER BY ts) + INTERVAL 30 MINUTE
+                       THEN 1 ELSE 0 END AS new_session
+           FROM history WHERE username IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, sum(new_session) OVER (PARTITION BY username ORDER BY ts
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM o)
+SELECT username, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+       count(*) AS plays, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms
+FROM s GROUP BY username, sid""", source="events")
+def s04_sessions_batch(h: DataFrame) -> DataFrame:
+    """S04 in batch over the whole events feed: 30-minute-gap sessions per listener."""
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    out = A.listening_sessions(h, 30)
+    return out.select("username", F.date_format("session_start", fmt).alias("session_start"),
+                      F.date_format("session_end", fmt).alias("session_end"), "plays", "total_ms")

@@ -59,3 +59,18 @@ def test_streaks_and_weekday(spark, make_history):
     prof = {r.weekday: (r.active_days, r.avg_hours) for r in A.weekday_profile(h).collect()}
     assert prof["Monday"] == (1, 1.0) and prof["Saturday"] == (1, 1.0)
     assert A.top_weekday(h).collect()[0].weekday == "Monday"
+
+
+def test_sessions_merge_across_day_buckets(spark, make_history):
+    # plays every 20 minutes from 22:00 on Jan 1 to 02:00 on Jan 3: ONE session across two midnights,
+    # then a play 40 minutes later starts a new one.
+    start = dt.datetime(2024, 1, 1, 22, 0)
+    times = [start + dt.timedelta(minutes=20 * i) for i in range(0, 85)]
+    rows = [play(t.isoformat(), "A", ms=1000) for t in times]
+    rows.append(play((times[-1] + dt.timedelta(minutes=40)).isoformat(), "A", ms=1000))
+    rows.append(play("2024-01-01T22:10:00", "A", ms=1000, username="u2"))
+    s = sorted((r.username, r.session_start, r.plays) for r in A.listening_sessions(make_history(rows)).collect())
+    assert s == [("u1", times[0], 85), ("u1", times[-1] + dt.timedelta(minutes=40), 1),
+                 ("u2", dt.datetime(2024, 1, 1, 22, 10), 1)]
+    first = [r for r in A.listening_sessions(make_history(rows)).collect() if r.plays == 85][0]
+    assert first.session_end == times[-1] + dt.timedelta(minutes=30)

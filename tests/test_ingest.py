@@ -150,3 +150,13 @@ def test_export_sink_files_are_bounded_arrays(spark, folder):
     back = X.normalize(X.read_export(spark, [out], validate=False, glob="*.txt"))
     assert back.count() == h.count()
     assert back.agg(F.sum("ms_played")).first()[0] == h.agg(F.sum("ms_played")).first()[0]
+
+
+def test_corrupt_file_fails_the_upload(spark, folder):
+    good = write(folder, "good.json", [REC])
+    bad = folder / "bad.json"
+    bad.write_text("{not json")
+    with pytest.raises(Exception, match="Not a JSON array of plays: bad.json"):
+        X.ingest(spark, [good, str(bad)]).collect()
+    lenient = X.normalize(X.read_export(spark, [good, str(bad)], strict=False)).count()
+    assert lenient == 1

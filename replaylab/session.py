@@ -50,10 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set: point it at a shared folder (HDFS, object store) "
             "that every executor can reach."
         )
+    # spark.checkpoint.dir is a static config: set the context's folder instead.
     local = tempfile.mkdtemp(prefix="replaylab-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir() or local
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,

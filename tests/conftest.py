@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from replaylab.schema import HISTORY, HISTORY_COLUMNS  # noqa: E402
-from replaylab.session import local_session  # noqa: E402
+from replaylab.session import checkpoint_dir, local_session  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
@@ -21,8 +20,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("4", shuffle_partitions=8, app="replaylab-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="replaylab-test-ckpt-"))
+    checkpoint_dir(s)  # the session's shared folder, or a scratch one when unset (local only)
     yield s
 
 

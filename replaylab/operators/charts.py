@@ -3,15 +3,17 @@
 Plan shape (one user or ``by=("username",)`` for many):
 
 1. ``entity_months``: ONE aggregate of ``history`` by (by, month, entity);
-   month is NULL for undated rows.  It feeds both the monthly totals (C01)
-   and the lifetime totals (C07), so the fact table is scanned and shuffled
-   once.  Partial aggregation absorbs hot entities map-side.
+   month is NULL for undated rows.  Partial aggregation absorbs hot
+   entities map-side.  Lifetime totals (C07) are a window over it
+   (``with_lifetime``), so the fact table is scanned and shuffled once.
 2. ``monthly_top``: ``row_number() <= limit`` per (by, month), planned as
-   ``WindowGroupLimit`` (partial, before the shuffle).
-3. Everything after step 2 has at most ``months x limit`` rows per group:
-   the month spine, carry-forward, the featured set and the rank matrix.
-   The rank matrix explodes each featured entity's own month range and
-   equi-joins the chart; no cross join is planned.
+   ``WindowGroupLimit`` (partial before the shuffle, final after).  This top
+   list - at most months x limit rows per group - is checkpointed.
+3. Everything after reads only the checkpoint: ``carry_lists`` explodes each
+   data month's list up to the month before the next data month (one range
+   window), ``featured`` and ``order_featured`` aggregate and rank the
+   carried rows, and the rank matrix explodes each featured entity's month
+   range and equi-joins the carried rows (null-safe keys).  No cross join.
 """
 
 from __future__ import annotations

@@ -160,3 +160,20 @@ def test_corrupt_file_fails_the_upload(spark, folder):
         X.ingest(spark, [good, str(bad)]).collect()
     lenient = X.normalize(X.read_export(spark, [good, str(bad)], strict=False)).count()
     assert lenient == 1
+
+
+def test_store_is_clustered_for_one_listener(spark, folder):
+    import pyarrow.parquet as pq
+
+    from conftest import SF_SMALL
+    from replaylab.sources.plays import plays
+
+    store = str(folder / "clustered")
+    HS.append_history(plays(spark, SF_SMALL), store)
+    h = HS.load_history(spark, store)
+    one = h.where((F.col("username") == "user7") & (F.col("year") == 1996))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(username,user7)" in plan and "PartitionFilters: [isnotnull(year" in plan
+    for f in Path(store).rglob("*.parquet"):
+        users = pq.read_table(f, columns=["username"]).column("username").to_pylist()
+        assert users == sorted(users)      # clustered: row-group min/max on username prune

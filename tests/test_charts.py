@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,55 +13,50 @@ from replaylab.sources.plays import plays
 
 
 def brute_chart(rows, keys, limit):
-    """Plain-Python monthly chart: returns {entity: (rank, streams, ms, [ranks])}, months."""
-    def key_of(r):
+    """Independent oracle: {entity: (rank, streams, ms, [ranks])}, months.
+
+    Formulated as lookups: a month index m -> its source month (latest month
+    with data at or before m) -> that month's sorted top list.  Featured
+    entities are ordered by (-lifetime ms, first month, first rank).
+    """
+    def ent(r):
         return tuple(r[k] for k in keys)
 
-    per_month = defaultdict(lambda: defaultdict(lambda: [None, 0]))
-    life = defaultdict(lambda: [0, 0])
-    for r in rows:
-        if r[keys[0]] is None:
-            continue
-        e = key_of(r)
-        life[e][0] += 1
-        life[e][1] += r["ms_played"] or 0
-        if r["ts"] is None:
-            continue
-        m = r["ts"].strftime("%Y-%m")
-        cell = per_month[m][e]
+    def midx(ts):
+        return ts.year * 12 + ts.month - 1
+
+    named = [r for r in rows if r[keys[0]] is not None]
+    life_n, life_ms = Counter(), Counter()
+    for r in named:
+        life_n[ent(r)] += 1
+        life_ms[ent(r)] += r["ms_played"] or 0
+    sums, counts = {}, Counter()
+    for r in (r for r in named if r["ts"] is not None):
+        cell = (midx(r["ts"]), ent(r))
+        counts[cell] += 1
         if r["ms_played"] is not None:
-            cell[0] = (cell[0] or 0) + r["ms_played"]
-        cell[1] += 1
-    if not per_month:
+            sums[cell] = sums.get(cell, 0) + r["ms_played"]
+    data_months = sorted({m for m, _ in counts})
+    if not data_months:
         return None, []
 
-    def sort_key(item):
-        e, (ms, n) = item
-        name_key = tuple((v is None, v or "") for v in e)
-        return (ms is None, -(ms or 0), -n, name_key)
-
-    tops = {m: [e for e, _ in sorted(d.items(), key=sort_key)[:limit]] for m, d in per_month.items()}
-    first, last = min(tops), max(tops)
-    months, (y, mo) = [], (int(first[:4]), int(first[5:]))
-    while f"{y:04d}-{mo:02d}" <= last:
-        months.append(f"{y:04d}-{mo:02d}")
-        mo += 1
-        if mo == 13:
-            y, mo = y + 1, 1
-    chart, prev = {}, []
-    for m in months:
-        prev = tops.get(m, prev)
-        chart[m] = prev
-    order = []
-    for m in months:
-        for e in chart[m]:
-            if e not in order:
-                order.append(e)
-    order.sort(key=lambda e: -life[e][1])  # stable: ties keep first appearance
-    out = {}
-    for i, e in enumerate(order, start=1):
-        ranks = [chart[m].index(e) + 1 if e in chart[m] else limit + 1 for m in months]
-        out[e] = (i, life[e][0], life[e][1], ranks)
+    def order_key(m, e):
+        ms = sums.get((m, e))
+        return (ms is None, -(ms or 0), -counts[(m, e)], tuple((v is None, v or "") for v in e))
+
+    tops = {m: sorted((e for mm, e in counts if mm == m), key=lambda e: order_key(m, e))[:limit]
+            for m in data_months}
+    span = range(data_months[0], data_months[-1] + 1)
+    listed = {m: tops[max(d for d in data_months if d <= m)] for m in span}
+
+    def rank_at(e, m):
+        return listed[m].index(e) + 1 if e in listed[m] else limit + 1
+
+    feat = {e for m in span for e in listed[m]}
+    first = {e: min(m for m in span if e in listed[m]) for e in feat}
+    ordered = sorted(feat, key=lambda e: (-life_ms[e], first[e], rank_at(e, first[e])))
+    months = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in span]
+    out = {e: (i, life_n[e], life_ms[e], [rank_at(e, m) for m in span]) for i, e in enumerate(ordered, 1)}
     return out, months
 
 

@@ -40,11 +40,11 @@ def validate_paths(paths: Sequence[str] | str) -> list[str]:
         paths = [paths]
     paths = [p for p in paths if p is not None]
     if not paths:
-        raise ExportError("No files provided for upload.")
+        raise ExportError("empty batch: at least one export file is required")
     for p in paths:
         name = p.rstrip("/").rsplit("/", 1)[-1]
         if not name.endswith(".json"):
-            raise ExportError(f"File '{name}' is not a supported JSON file.")
+            raise ExportError(f"{name}: only .json export files can be ingested")
     return list(paths)
 
 

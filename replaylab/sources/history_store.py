@@ -51,9 +51,7 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.schema(STORED).parquet(path)
         df.limit(0).collect()  # resolve the path now: a clear error instead of a late one
     except AnalysisException as e:
-        raise HistoryNotFound(
-            f"No listening history found at {path}. Please upload your data first."
-        ) from e
+        raise HistoryNotFound(f"{path}: no history stored here yet (append an upload first)") from e
     return df.select(*HISTORY_COLUMNS, "year")
 
 

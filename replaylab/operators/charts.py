@@ -299,6 +299,29 @@ def resample_ranks(long: DataFrame, keys: Sequence[str], steps: int = 4, by: By
     )
 
 
+def rank_at(ranks: Column | str, position: float, slots: int = 8) -> Column:
+    """C13 at one moment: the rank a ``monthly_ranks`` array shows at ``position``.
+
+    Clamped to the first / last month outside [0, len - 1], cosine-eased
+    between the two neighbouring months inside, and ``slots`` for an empty
+    series (an undated fallback entity).
+    """
+    r = F.col(ranks) if isinstance(ranks, str) else ranks
+    n = F.size(r)
+    i = int(math.floor(position))
+    frac = position - i
+    eased = (1 - math.cos(frac * math.pi)) / 2
+    r1 = F.element_at(r, F.lit(i + 1)).cast("double") if position > 0 else None
+    r2 = F.element_at(r, F.lit(i + 2)).cast("double") if position > 0 else None
+    inside = (r1 + (r2 - r1) * F.lit(eased)) if position > 0 else F.lit(None).cast("double")
+    return (
+        F.when(n == 0, F.lit(float(slots)))
+        .when(F.lit(position <= 0), F.element_at(r, 1).cast("double"))
+        .when(F.lit(float(position)) >= (n - 1).cast("double"), F.element_at(r, n).cast("double"))
+        .otherwise(inside)
+    )
+
+
 def on_chart(df: DataFrame, rank_col: str = "rank_at", slots: int = 8) -> DataFrame:
     """C14: entities visible at a moment (``round(rank) <= slots``), leader flagged."""
     shown = F.floor(F.col(rank_col) + F.lit(0.5))

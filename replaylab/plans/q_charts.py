@@ -244,6 +244,21 @@ def c14_on_chart_artists(h: DataFrame) -> DataFrame:
                       F.round("rank_at", 6).alias("rank_at"), "is_leader")
 
 
+@register("c13_rank_at_position", _q(ARTIST, 8, """
+SELECT artist_name, round(CASE WHEN n = 0 THEN 8.0
+            WHEN 10.5 >= n - 1 THEN CAST(ranks[n] AS DOUBLE)
+            ELSE ranks[11] + (ranks[12] - ranks[11]) * ((1 - cos(0.5 * pi())) / 2) END, 6) AS rank_at,
+       floor(CASE WHEN n = 0 THEN 8.0 WHEN 10.5 >= n - 1 THEN CAST(ranks[n] AS DOUBLE)
+            ELSE ranks[11] + (ranks[12] - ranks[11]) * ((1 - cos(0.5 * pi())) / 2) END + 0.5) <= 8 AS on_chart
+FROM (SELECT artist_name, list(month_rank ORDER BY month) AS ranks, count(*) AS n FROM cells GROUP BY artist_name) t"""))
+def c13_rank_at_position(h: DataFrame) -> DataFrame:
+    """C13/C14 at one moment (month index 10.5): each artist's eased rank and visibility."""
+    nested = C.Chart(h, C.ARTIST, 8).nested()
+    r = C.rank_at("monthly_ranks", 10.5, slots=8)
+    return nested.select("artist_name", F.round(r, 6).alias("rank_at"),
+                         (F.floor(r + F.lit(0.5)) <= 8).alias("on_chart"))
+
+
 @register("c15_month_labels", _q(TRACK, 8, """
 SELECT strftime(month_start, '%Y-%m') AS month, strftime(month_start, '%B %Y') AS label_long,
        upper(strftime(month_start, '%b ''%y')) AS label_short, month(month_start) = 1 AS is_january

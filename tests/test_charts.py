@@ -238,3 +238,13 @@ def test_by_user_fallback_only_for_undated_listeners(spark, make_history):
     got = sorted((r["username"], r["rank"], r["artist_name"], list(r["monthly_ranks"]))
                  for r in C.Chart(h, C.ARTIST, 2, by=("username",)).nested().collect())
     assert got == [("u1", 1, "B", []), ("u1", 2, "A", []), ("u2", 1, "C", [1])]
+
+
+def test_rank_at_clamps_eases_and_defaults(spark):
+    df = spark.createDataFrame([([1, 3, 9],), ([],), ([2],)], "r array<int>")
+    def at(p):
+        return [x[0] for x in df.select(C.rank_at("r", p)).collect()]
+    assert at(-1.0) == [1.0, 8.0, 2.0]
+    assert at(0.5) == [pytest.approx(2.0), 8.0, 2.0]
+    assert at(1.25)[0] == pytest.approx(3 + 6 * (1 - 0.7071067811865476) / 2)
+    assert at(2.0) == [9.0, 8.0, 2.0] and at(7.0) == [9.0, 8.0, 2.0]

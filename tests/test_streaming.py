@@ -52,3 +52,17 @@ def test_dedup_windows_sessions(spark):
     P.run_available_now(P.sessions(h, "30 minutes", "1 hour"), sink, ckpt)
     s = sorted((r.session_start.isoformat(), r.plays) for r in spark.read.parquet(sink).collect())
     assert s == [("2024-01-01T10:00:00", 3), ("2024-01-01T12:00:00", 1)]
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark):
+    d = Path(tempfile.mkdtemp(prefix="drop-"))
+    sink, ckpt = P.scratch(spark, "test-late")
+    (d / "a.json").write_text(json.dumps([_rec("2024-01-01T10:00:00Z"), _rec("2024-01-03T10:00:00Z")]))
+    P.run_available_now(P.daily_windows(P.ingest_stream(spark, str(d)), "1 hour"), sink, ckpt)
+    # watermark is now 2024-01-03 09:00: Jan 1 was emitted; a new Jan 1 play is late and dropped,
+    # a Jan 2 play is late too (its window ended before the watermark), Jan 4 advances the watermark.
+    (d / "b.json").write_text(json.dumps([_rec("2024-01-01T23:00:00Z"), _rec("2024-01-02T12:00:00Z"),
+                                          _rec("2024-01-04T12:00:00Z")]))
+    P.run_available_now(P.daily_windows(P.ingest_stream(spark, str(d)), "1 hour"), sink, ckpt)
+    days = {r.day.isoformat(): r.streams for r in spark.read.parquet(sink).collect()}
+    assert days == {"2024-01-01": 1, "2024-01-03": 1}

@@ -40,10 +40,25 @@ def dashboard_tables(h: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
     }
 
 
-def precompute_dashboards(spark: SparkSession, store: str, out: str, limit: int = 8) -> list[str]:
-    """Read the history store, write every per-listener table under ``out``; returns the table names."""
+def precompute_dashboards(spark: SparkSession, store: str, out: str, limit: int = 8,
+                          concurrent_jobs: int = 4) -> list[str]:
+    """Read the history store, write every per-listener table under ``out``; returns the table names.
+
+    The tables are independent Spark jobs; up to ``concurrent_jobs`` are
+    submitted at once (Spark runs jobs from several driver threads
+    concurrently), so small stages of one table overlap with another's
+    instead of leaving executors idle.  Each scan reads only its own columns.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     h = HS.load_history(spark, store).drop("year")
     tables = dashboard_tables(h, limit)
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{name}")
-    return list(tables)
+    root = out.rstrip("/")
+
+    def write(item: tuple[str, DataFrame]) -> str:
+        name, df = item
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return name
+
+    with ThreadPoolExecutor(max_workers=max(1, concurrent_jobs)) as pool:
+        return list(pool.map(write, tables.items()))

@@ -16,6 +16,7 @@ from replaylab.operators import activity as A
 from replaylab.operators import charts as C
 from replaylab.operators import metrics as M
 from replaylab.operators import skips as S
+from replaylab.operators._common import materialize
 from replaylab.sources import history_store as HS
 
 BY = ("username",)
@@ -24,6 +25,8 @@ BY = ("username",)
 def dashboard_tables(h: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
     """The per-listener tables (lazy; the chart checkpoints its top lists)."""
     h = h.where(h.username.isNotNull())
+    # One (listener, day) aggregate, checkpointed, serves daily, streaks and weekday.
+    daily = materialize(A.daily_counts(h, by=BY))
     return {
         "cards": M.overview_cards(h, by=BY),
         "total_time": M.total_time(h, by=BY),
@@ -33,9 +36,9 @@ def dashboard_tables(h: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
         "artist_chart": C.Chart(h, C.ARTIST, limit, by=BY).long(),
         "track_chart": C.Chart(h, C.TRACK, limit, by=BY).long(),
         "most_hated": S.most_hated(h, S.ARTIST, n=10, min_plays=20, by=BY),
-        "daily": A.daily_counts(h, by=BY),
-        "streaks": A.longest_streak(h, by=BY),
-        "weekday": A.top_weekday(h, by=BY),
+        "daily": daily,
+        "streaks": A.longest_of(A.streaks_from_days(daily, by=BY), by=BY),
+        "weekday": A.top_weekday_of(A.weekday_from_days(daily, by=BY, ms_col="total_ms"), by=BY),
         "platforms": M.breakdown(h, "platform", by=BY),
     }
 

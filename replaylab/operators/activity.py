@@ -127,24 +127,46 @@ def ts_histogram(h: DataFrame, bins: int = 100, by: By = ()) -> DataFrame:
     )
 
 
-def streaks(h: DataFrame, by: By = ()) -> DataFrame:
-    """runs of consecutive active days (gaps and islands)."""
+def streaks_from_days(days: DataFrame, by: By = ()) -> DataFrame:
+    """F04 on a frame of distinct active (by, day) rows: gaps and islands."""
     by = by_list(by)
-    days = h.where(F.col("ts").isNotNull()).select(*by, F.to_date("ts").alias("day")).distinct()
     w = Window.partitionBy(*[F.col(b) for b in by]).orderBy("day")
     island = F.date_sub(F.col("day"), F.row_number().over(w))
-    runs = days.withColumn("island", island).groupBy(*by, "island").agg(
+    runs = days.select(*by, "day").withColumn("island", island).groupBy(*by, "island").agg(
         F.min("day").alias("start_day"), F.max("day").alias("end_day"),
         F.count(F.lit(1)).alias("length"),
     )
     return runs.drop("island")
 
 
+def streaks(h: DataFrame, by: By = ()) -> DataFrame:
+    """runs of consecutive active days (gaps and islands)."""
+    by = by_list(by)
+    days = h.where(F.col("ts").isNotNull()).select(*by, F.to_date("ts").alias("day")).distinct()
+    return streaks_from_days(days, by)
+
+
+def longest_of(runs: DataFrame, by: By = ()) -> DataFrame:
+    """the longest run per group (earliest on ties)."""
+    by = by_list(by)
+    return top_k(runs, by, [F.col("length").desc(), F.col("start_day").asc()], 1).drop("rank")
+
+
 def longest_streak(h: DataFrame, by: By = ()) -> DataFrame:
     """the longest streak per group (earliest on ties)."""
+    return longest_of(streaks(h, by), by)
+
+
+def weekday_from_days(per_day: DataFrame, by: By = (), ms_col: str = "ms") -> DataFrame:
+    """F05 on a (by, day, ms) frame of active days."""
     by = by_list(by)
-    s = streaks(h, by)
-    return top_k(s, by, [F.col("length").desc(), F.col("start_day").asc()], 1).drop("rank")
+    return per_day.groupBy(*by, F.dayofweek("day").alias("dow")).agg(
+        F.count(F.lit(1)).alias("active_days"),
+        F.sum(ms_col).cast("bigint").alias("total_ms"),
+        # sum / count / 3.6e6: exact integer sum, then plain IEEE divisions.
+        (F.sum(ms_col) / F.count(F.lit(1)) / F.lit(3_600_000.0)).alias("avg_hours"),
+    ).withColumn("weekday", F.date_format(F.date_add(F.lit("2023-12-31").cast("date"),
+                                                     F.col("dow") - 1), "EEEE"))
 
 
 def weekday_profile(h: DataFrame, by: By = ()) -> DataFrame:
@@ -153,20 +175,17 @@ def weekday_profile(h: DataFrame, by: By = ()) -> DataFrame:
     per_day = h.where(F.col("ts").isNotNull()).groupBy(*by, F.to_date("ts").alias("day")).agg(
         F.coalesce(F.sum("ms_played"), F.lit(0)).cast("bigint").alias("ms")
     )
-    return per_day.groupBy(*by, F.dayofweek("day").alias("dow")).agg(
-        F.count(F.lit(1)).alias("active_days"),
-        F.sum("ms").cast("bigint").alias("total_ms"),
-        # sum / count / 3.6e6: exact integer sum, then plain IEEE divisions.
-        (F.sum("ms") / F.count(F.lit(1)) / F.lit(3_600_000.0)).alias("avg_hours"),
-    ).withColumn("weekday", F.date_format(F.date_add(F.lit("2023-12-31").cast("date"),
-                                                     F.col("dow") - 1), "EEEE"))
+    return weekday_from_days(per_day, by)
+
+
+def top_weekday_of(profile: DataFrame, by: By = ()) -> DataFrame:
+    """the weekday with the highest mean hours per active day."""
+    return top_k(profile, by_list(by), [F.col("avg_hours").desc(), F.col("dow").asc()], 1).drop("rank")
 
 
 def top_weekday(h: DataFrame, by: By = ()) -> DataFrame:
     """the weekday with the highest mean hours per active day."""
-    by = by_list(by)
-    prof = weekday_profile(h, by)
-    return top_k(prof, by, [F.col("avg_hours").desc(), F.col("dow").asc()], 1).drop("rank")
+    return top_weekday_of(weekday_profile(h, by), by)
 
 
 def listening_sessions(h: DataFrame, gap_minutes: int = 30, by: By = ("username",)) -> DataFrame:

@@ -27,3 +27,15 @@ def test_precompute_dashboards(spark):
     chart = spark.read.parquet(f"{base}/out/artist_chart").where("username = 'user3'")
     live_chart = api.artist_rank(me, limit=3)
     assert chart.select("month").distinct().count() == live_chart["total_months"]
+
+
+def test_shared_day_aggregate_equals_direct_operators(spark):
+    from replaylab.operators import activity as A
+    from replaylab.sources.plays import event_plays
+
+    h = event_plays(spark, SF_SMALL)
+    tables = jobs.dashboard_tables(h, limit=2)
+    by = ("username",)
+    for name, direct in (("streaks", A.longest_streak(h, by=by)), ("weekday", A.top_weekday(h, by=by))):
+        got = sorted(tuple(r) for r in tables[name].select(*direct.columns).collect())
+        assert got == sorted(tuple(r) for r in direct.collect()), name

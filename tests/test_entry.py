@@ -11,6 +11,9 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from replaylab.plans import catalog
+
+catalog._load_all()  # these tests cover the registry of plans/; the training-data operators have tests of their own
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -52,11 +55,13 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_id_and_most_have_oracles():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
+    assert set(catalog.QUERIES) <= set(qs)
+    qs = catalog.QUERIES
     assert len(qs) >= 80
     assert all(name[0] in "abcdefs" and name[1:3].isdigit() for name in qs)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_oracle_agreement_small(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in df.collect()]

@@ -284,7 +284,7 @@ def load(path: str) -> TrieBPE:
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
            decoded: bool = False) -> DataFrame:
     """``keep`` columns, ``n_tokens`` long, ``ids`` array<int> and, if asked for, ``decoded`` string."""
-    schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", "long").add("ids", "array<int>")
+    schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
     if decoded:
         schema = schema.add("decoded", "string")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from replaylab.llm import bpe
+from replaylab.llm import bpe, simhash
 from replaylab.llm._common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,8 +19,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, decoded=True))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and near-duplicate component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe,)
+    f.__name__: f for f in (op2_bpe, op5_simhash)
 }
 
 ORACLE: dict[str, str] = {}

@@ -200,7 +200,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     named = linked.join(classes, linked.node == classes.fp).select("node", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    whole = classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Stored, so that the join below stands alone and Spark can split a fingerprint that a third of all rows share.
+    whole = stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-whole")
     return docs.join(whole, "fp", "left").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

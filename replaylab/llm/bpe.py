@@ -282,9 +282,11 @@ def load(path: str) -> TrieBPE:
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
-           decoded: bool = False) -> DataFrame:
-    """``keep`` columns, ``n_tokens`` long, ``ids`` array<int> and, if asked for, ``decoded`` string."""
-    schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
+           decoded: bool = False, with_ids: bool = True) -> DataFrame:
+    """``keep`` columns, ``n_tokens`` long and, if asked for, ``ids`` array<int> and ``decoded`` string."""
+    schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", "long")
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     if decoded:
         schema = schema.add("decoded", "string")
 
@@ -293,9 +295,10 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequenc
         for batch in slices(batches, text):
             rows = bpe.encode_batch([t or "" for t in batch.column(text).to_pylist()])
             sizes = np.array([len(r) for r in rows], dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
-            columns = [*(batch.column(c) for c in keep), pa.array(sizes), ids]
+            columns = [*(batch.column(c) for c in keep), pa.array(sizes)]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows))))
             if decoded:
                 columns.append(pa.array([bpe.decode(r) for r in rows], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from replaylab.operators import activity as A
 from replaylab.operators import charts as C
 from replaylab.operators import metrics as M
+from replaylab.operators import skips as S
 from replaylab.sources import history_store as HS
 
 
@@ -57,6 +59,30 @@ def _rank(h: DataFrame, keys, limit: int) -> dict:
             "total_months": header["total_months"], "months": list(header["months"]), "data": data}
 
 
+def unique_songs(h: DataFrame) -> dict:
+    return {"status": "ok", "unique_songs": M.unique_songs(h).first()["unique_songs"]}
+
+
+def active_days(h: DataFrame) -> dict:
+    return {"status": "ok", "active_days": M.active_days(h).first()["active_days"]}
+
+
+def heatmap(h: DataFrame, year: int, tz: str | None = None, as_of: str | None = None) -> dict:
+    """The calendar grid of one year: at most 378 cells, up to today in the current year."""
+    grid = A.calendar_grid(A.daily_counts(h, year, tz=tz), year, as_of)
+    cells = sorted(grid.collect(), key=lambda r: r["day"])
+    return {"status": "ok", "year": year, "active_days": sum(r["count"] > 0 for r in cells),
+            "total_streams": sum(r["count"] for r in cells),
+            "cells": [{"day": r["day"].isoformat(), "count": r["count"], "level": r["level"], "in_range": r["in_range"],
+                       "week": r["week"], "dow": r["dow"], "month_label": r["month_label"]} for r in cells]}
+
+
+def most_hated(h: DataFrame, limit: int = 10, min_plays: int = 20) -> dict:
+    rows = sorted(S.most_hated(h, S.ARTIST, n=limit, min_plays=min_plays).collect(), key=lambda r: r["rank"])
+    return {"status": "ok", "data": [{k: r[k] for k in ("rank", "artist_name", "total_plays", "skips", "skip_rate", "low", "high")}
+                                     for r in rows]}
+
+
 def artist_rank(h: DataFrame, limit: int = 10) -> dict:
     return _rank(h, C.ARTIST, limit)
 

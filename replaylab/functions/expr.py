@@ -5,6 +5,7 @@ Everything here is a JVM-side expression; nothing calls back into Python.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -63,8 +64,55 @@ def activity_level(count: ColumnOrName) -> Column:
     ).cast("int")
 
 
+DAY_US = 86_400_000_000
+
+
+def day(ts: ColumnOrName, tz: str | None = None) -> Column:
+    """Calendar day of an instant in UTC, or in ``tz``; the session's time zone has no say."""
+    t = _c(ts) if tz is None else F.from_utc_timestamp(_c(ts), tz)
+    us = F.unix_micros(t)
+    # Floor division (instants before 1970 too).
+    whole = F.call_function("div", us - F.pmod(us, F.lit(DAY_US)), F.lit(DAY_US))
+    return F.date_from_unix_date(whole.cast("int"))
+
+
+def year(ts: ColumnOrName, tz: str | None = None) -> Column:
+    """Calendar year of an instant in UTC, or in ``tz``."""
+    return F.year(day(ts, tz))
+
+
+def iso_text(ts: ColumnOrName) -> Column:
+    """``2024-01-31T10:00:00.000000Z`` of an instant, whatever the session's time zone."""
+    t = F.pmod(F.unix_micros(_c(ts)), F.lit(DAY_US))
+
+    def part(unit_us: int, size: int) -> Column:
+        return F.pmod(F.call_function("div", t, F.lit(unit_us)), F.lit(size))
+
+    return F.when(_c(ts).isNotNull(), F.format_string(
+        "%sT%02d:%02d:%02d.%06dZ", day(ts).cast("string"), part(3_600_000_000, 24), part(60_000_000, 60),
+        part(1_000_000, 60), part(1, 1_000_000)))
+
+
+def instant(text: str) -> Column:
+    """An ISO date or date-time as a foldable timestamp literal; without an offset it is UTC."""
+    t = dt.datetime.fromisoformat(text)
+    t = t.replace(tzinfo=dt.UTC) if t.tzinfo is None else t
+    return F.timestamp_micros(F.lit((t - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)) // dt.timedelta(microseconds=1)))
+
+
+def months_before(ts: ColumnOrName, months: int) -> Column:
+    """The instant ``months`` calendar months (UTC) earlier at the same time of day."""
+    us = F.unix_micros(_c(ts))
+    return F.timestamp_micros(F.unix_date(F.add_months(day(ts), -months)).cast("bigint") * F.lit(DAY_US) + F.pmod(us, F.lit(DAY_US)))
+
+
+def days_before(ts: ColumnOrName, days_: int) -> Column:
+    """The instant ``days_`` days of 24 hours earlier."""
+    return F.timestamp_micros(F.unix_micros(_c(ts)) - F.lit(days_ * DAY_US))
+
+
 def month_key(ts: ColumnOrName) -> Column:
-    """``YYYY-MM`` of a timestamp or date."""
+    """``YYYY-MM`` of a date."""
     return F.date_format(_c(ts), "yyyy-MM")
 
 
@@ -115,6 +163,30 @@ def lgamma(x: ColumnOrName) -> Column:
 _TINY = 1e-300
 
 
+def _stirling_rest(z: Column) -> Column:
+    """log Gamma(z) less Stirling's (z - 1/2) log z - z + log(2 pi)/2; the series from z = 16, the difference below."""
+    r = F.lit(1.0) / (z * z)
+    series = (F.lit(1 / 12) - r * (F.lit(1 / 360) - r * (F.lit(1 / 1260) - r * (F.lit(1 / 1680) - r * F.lit(1 / 1188))))) / z
+    small = F.least(z, F.lit(16.0))
+    return F.when(z >= F.lit(16.0), series).otherwise(
+        lgamma(small) - (small - F.lit(0.5)) * F.log(small) + small - F.lit(_HALF_LOG_2PI))
+
+
+def log_beta_front(a: Column, b: Column, x: Column) -> Column:
+    """log of x^a (1 - x)^b / B(a, b) for 0 < x < 1, without the cancellation of three large log Gammas.
+
+    With n = a + b and d = x n - a it is a log(1 + d/a) + b log(1 - d/b) + log(a b / (2 pi n)) / 2
+    plus the Stirling rests: every large term is gone before the logarithms.
+    """
+    n = a + b
+    d = x * n - a
+    tiny = F.lit(-1.0 + 1e-16)
+    return (a * F.log1p(F.greatest(d / a, tiny)) + b * F.log1p(F.greatest(-d / b, tiny))
+            + F.lit(0.5) * F.log(a / n * b) - F.lit(_HALF_LOG_2PI)
+            + _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b))
+
+
+
 def _betacf(a: Column, b: Column, x: Column, iterations: Column) -> Column:
     """Continued fraction of the incomplete beta (modified Lentz), as a fold."""
     qab, qap, qam = a + b, a + F.lit(1.0), a - F.lit(1.0)
@@ -156,11 +228,7 @@ def betainc(a: ColumnOrName, b: ColumnOrName, x: ColumnOrName) -> Column:
     bb = F.when(direct, b).otherwise(a)
     xx = F.when(direct, x).otherwise(F.lit(1.0) - x)
     iterations = (F.lit(60.0) + F.lit(6.0) * F.sqrt(F.greatest(a, b))).cast("int")
-    log_front = (
-        lgamma(a + b) - lgamma(a) - lgamma(b)
-        + a * F.log(F.greatest(x, F.lit(_TINY)))
-        + b * F.log(F.greatest(F.lit(1.0) - x, F.lit(_TINY)))
-    )
+    log_front = log_beta_front(a, b, x)
     part = F.exp(log_front) * _betacf(aa, bb, xx, iterations) / aa
     value = F.when(direct, part).otherwise(F.lit(1.0) - part)
     return (
@@ -194,9 +262,7 @@ def with_binom_sf(df: "DataFrame", k: str, n: str, p: str, out: str = "p_value")
         "__bb": F.when(direct, b).otherwise(a),
         "__xx": F.when(direct, x).otherwise(F.lit(1.0) - x),
         "__it": (F.lit(60.0) + F.lit(6.0) * F.sqrt(F.greatest(a, b))).cast("int"),
-        "__lf": lgamma(a + b) - lgamma(a) - lgamma(b)
-        + a * F.log(F.greatest(x, F.lit(_TINY)))
-        + b * F.log(F.greatest(F.lit(1.0) - x, F.lit(_TINY))),
+        "__lf": log_beta_front(a, b, x),
     })
     usable = (kk >= F.lit(1.0)) & (kk <= nn) & (pp > F.lit(0.0)) & (pp < F.lit(1.0))
     s3 = s2.withColumn(

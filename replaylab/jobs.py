@@ -24,7 +24,7 @@ BY = ("username",)
 
 def dashboard_tables(h: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
     """The per-listener tables (lazy; the chart checkpoints its top lists)."""
-    h = h.where(h.username.isNotNull())
+    # Plays without a listener are a group of their own (username NULL) in every table.
     # One (listener, day) aggregate, checkpointed, serves daily, streaks and weekday.
     daily = materialize(A.daily_counts(h, by=BY))
     return {
@@ -33,8 +33,8 @@ def dashboard_tables(h: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
         "top_artists": M.top_artist(h, n=10, by=BY),
         "top_albums": M.top_album(h, n=10, by=BY),
         "top_tracks": M.top_track(h, n=10, by=BY),
-        "artist_chart": C.Chart(h, C.ARTIST, limit, by=BY).long(),
-        "track_chart": C.Chart(h, C.TRACK, limit, by=BY).long(),
+        "artist_chart": C.Chart(h, C.ARTIST, limit, by=BY).nested(),
+        "track_chart": C.Chart(h, C.TRACK, limit, by=BY).nested(),
         "most_hated": S.most_hated(h, S.ARTIST, n=10, min_plays=20, by=BY),
         "daily": daily,
         "streaks": A.longest_of(A.streaks_from_days(daily, by=BY), by=BY),
@@ -54,7 +54,7 @@ def precompute_dashboards(spark: SparkSession, store: str, out: str, limit: int
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    h = HS.load_history(spark, store).drop("year")
+    h = HS.load_history(spark, store)
     tables = dashboard_tables(h, limit)
     root = out.rstrip("/")
 

@@ -57,13 +57,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str],
 def attach_group_stats(df: DataFrame, stats: DataFrame, by: By) -> DataFrame:
     """Attach per-``by`` statistics (one row per group) to every row of ``df``.
 
-    With grouping keys this is an equi-join on them.  Without keys ``stats`` is
+    With grouping keys this is an equi-join on them (NULL is a group too).  Without keys ``stats`` is
     a global aggregate (exactly one row) and is attached as scalar subqueries,
     which Spark evaluates once and inlines: no join at all.
     """
     by = list(by)
     if by:
-        return df.join(stats, on=by, how="left")
+        return null_safe_join(df, stats, by, how="left")
     cols = [c for c in stats.columns]
     packed = stats.select(F.struct(*cols).alias("s")).scalar()
     return df.select("*", *[packed[c].alias(c) for c in cols])

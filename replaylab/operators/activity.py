@@ -11,22 +11,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from replaylab.functions import expr as X
-from replaylab.operators._common import By, attach_group_stats, by_list, top_k
+from replaylab.operators._common import By, attach_group_stats, by_list, null_safe_join, top_k
+from replaylab.operators.metrics import date_range
 
 
-def year_filter(h: DataFrame, year: int) -> DataFrame:
-    """Rows of one calendar year, as a pushable half-open ts range."""
-    return h.where(
-        (F.col("ts") >= F.lit(f"{year:04d}-01-01 00:00:00").cast("timestamp"))
-        & (F.col("ts") < F.lit(f"{year + 1:04d}-01-01 00:00:00").cast("timestamp"))
-    )
+def year_filter(h: DataFrame, year: int, tz: str | None = None) -> DataFrame:
+    """Rows of one calendar year (UTC, or ``tz``), as a half-open ts range.
+
+    The range reaches the scan; on a stored history (it has ``year``) the partition range does too.
+    """
+    rows = date_range(h, f"{year:04d}-01-01", f"{year + 1:04d}-01-01", slack_days=0 if tz is None else 1)
+    return rows if tz is None else rows.where(X.year("ts", tz) == year)
 
 
-def daily_counts(h: DataFrame, year: int | None = None, by: By = ()) -> DataFrame:
-    """Streams and ms per calendar day, with the estimated minutes."""
+def daily_counts(h: DataFrame, year: int | None = None, by: By = (), tz: str | None = None) -> DataFrame:
+    """Streams and ms per calendar day (UTC, or local in ``tz``), with the estimated minutes."""
     by = by_list(by)
-    src = year_filter(h, year) if year is not None else h.where(F.col("ts").isNotNull())
-    agg = src.groupBy(*by, F.to_date("ts").alias("day")).agg(
+    src = year_filter(h, year, tz) if year is not None else h.where(F.col("ts").isNotNull())
+    agg = src.groupBy(*by, X.day("ts", tz).alias("day")).agg(
         F.count(F.lit(1)).alias("streams"),
         F.coalesce(F.sum("ms_played"), F.lit(0)).cast("bigint").alias("total_ms"),
     )
@@ -45,27 +47,24 @@ def estimated_minutes(count: Column) -> Column:
 def calendar_grid(daily: DataFrame, year: int, as_of: str | None = None, by: By = ()) -> DataFrame:
     """Whole-week grid from the Sunday on/before Jan 1 to the Saturday on/after the end.
 
-    The end is Dec 31, or ``as_of`` when it falls inside ``year`` (the
-    current year).  Cells outside [Jan 1, end] are padding with count 0.
+    The end is Dec 31, or ``as_of`` (default: today) when it falls inside
+    ``year``.  Cells outside [Jan 1, end] are padding with count 0.
     """
     by = by_list(by)
     jan1 = F.make_date(F.lit(year), F.lit(1), F.lit(1))
     dec31 = F.make_date(F.lit(year), F.lit(12), F.lit(31))
-    if as_of is not None:
-        a = F.to_date(F.lit(as_of))
-        end = F.when(F.year(a) == year, F.least(a, dec31)).otherwise(dec31)
-    else:
-        end = dec31
+    a = F.lit(as_of).cast("date") if as_of is not None else X.day(F.current_timestamp())
+    end = F.when(F.year(a) == year, F.least(a, dec31)).otherwise(dec31)
     grid_start = F.date_sub(jan1, F.dayofweek(jan1) - 1)
-    # One row per group (a key-less aggregate always has exactly one row).
-    groups = daily.groupBy(*by).agg(F.count(F.lit(1)).alias("_days"))
+    # One row per group; without keys that is one row, no scan.
+    groups = daily.select(*by).distinct() if by else daily.sparkSession.range(1)
     cells = groups.select(
         *by,
         grid_start.alias("grid_start"), jan1.alias("range_start"), end.alias("range_end"),
         F.explode(F.sequence(grid_start, F.date_add(end, 7 - F.dayofweek(end)))).alias("day"),
     )
     counts = daily.select(*by, "day", "streams")
-    g = cells.join(counts, on=[*by, "day"], how="left")
+    g = null_safe_join(cells, counts, [*by, "day"], how="left")
     in_range = (F.col("day") >= F.col("range_start")) & (F.col("day") <= F.col("range_end"))
     g = g.select(
         *by, "day",
@@ -118,7 +117,7 @@ def ts_histogram(h: DataFrame, bins: int = 100, by: By = ()) -> DataFrame:
     grid = bounds.select(
         *by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
-    out = grid.join(counts, on=[*by, "bin"], how="left")
+    out = null_safe_join(grid, counts, [*by, "bin"], how="left")
     start = F.col("lo") + F.call_function("div", F.col("bin").cast("bigint") * (F.col("hi") - F.col("lo")),
                                           F.lit(bins))
     return out.select(
@@ -142,7 +141,7 @@ def streaks_from_days(days: DataFrame, by: By = ()) -> DataFrame:
 def streaks(h: DataFrame, by: By = ()) -> DataFrame:
     """runs of consecutive active days (gaps and islands)."""
     by = by_list(by)
-    days = h.where(F.col("ts").isNotNull()).select(*by, F.to_date("ts").alias("day")).distinct()
+    days = h.where(F.col("ts").isNotNull()).select(*by, X.day("ts").alias("day")).distinct()
     return streaks_from_days(days, by)
 
 
@@ -172,7 +171,7 @@ def weekday_from_days(per_day: DataFrame, by: By = (), ms_col: str = "ms") -> Da
 def weekday_profile(h: DataFrame, by: By = ()) -> DataFrame:
     """per weekday, active days and the mean listening hours of an active day."""
     by = by_list(by)
-    per_day = h.where(F.col("ts").isNotNull()).groupBy(*by, F.to_date("ts").alias("day")).agg(
+    per_day = h.where(F.col("ts").isNotNull()).groupBy(*by, X.day("ts").alias("day")).agg(
         F.coalesce(F.sum("ms_played"), F.lit(0)).cast("bigint").alias("ms")
     )
     return weekday_from_days(per_day, by)
@@ -202,11 +201,8 @@ def listening_sessions(h: DataFrame, gap_minutes: int = 30, by: By = ("username"
     """
     by = by_list(by)
     gap = F.lit(gap_minutes * 60_000_000)
-    keep = F.col("ts").isNotNull()
-    for b in by:
-        keep = keep & F.col(b).isNotNull()
-    ev = h.where(keep).select(*by, F.unix_micros("ts").alias("t"), "ms_played",
-                              F.to_date("ts").alias("bucket"))
+    ev = h.where(F.col("ts").isNotNull()).select(*by, F.unix_micros("ts").alias("t"), "ms_played",
+                              X.day("ts").alias("bucket"))
     w1 = Window.partitionBy(*[F.col(b) for b in by], "bucket").orderBy("t")
     new1 = F.coalesce((F.col("t") - F.lag("t").over(w1)) >= gap, F.lit(True)).cast("int")
     run1 = F.sum("new1").over(w1.rowsBetween(Window.unboundedPreceding, Window.currentRow))

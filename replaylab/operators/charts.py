@@ -12,14 +12,19 @@ Plan shape (one user or ``by=("username",)`` for many):
 3. Everything after reads only the checkpoint: ``carry_lists`` explodes each
    data month's list up to the month before the next data month (one range
    window), ``featured`` and ``order_featured`` aggregate and rank the
-   carried rows, and the rank matrix explodes each featured entity's month
-   range and equi-joins the carried rows (null-safe keys).  No cross join.
+   carried rows.  The nested rank matrix looks each month up in the entity's
+   own (month, rank) map; the long form explodes the months and equi-joins
+   the carried rows (null-safe keys).  No cross join.
+
+The checkpoint is made on first use of the top list; the month range alone
+(C03, C10, C15, C16) needs neither: one aggregate gives it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +44,16 @@ def _month_seq(start: str, end: str) -> Column:
 
 # ------------------------------------------------------------------ C01 / C07 base
 
-def entity_months(h: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:
+def entity_months(h: DataFrame, keys: Sequence[str], by: By = (), tz: str | None = None) -> DataFrame:
     """(by, month_start, keys) -> ms (SUM, not coalesced), streams.
 
-    ``month_start`` is the first day of the UTC month, NULL for undated rows.
+    ``month_start`` is the first day of the UTC month (or local month in ``tz``), NULL for undated rows.
     Only the first key must be non-null (a track with unknown artist counts).
     """
     by, keys = by_list(by), list(keys)
     return (
         h.where(F.col(keys[0]).isNotNull())
-        .groupBy(*by, F.trunc(F.to_date("ts"), "month").alias("month_start"), *keys)
+        .groupBy(*by, F.trunc(X.day("ts", tz), "month").alias("month_start"), *keys)
         .agg(F.sum("ms_played").alias("ms"), F.count(F.lit(1)).alias("streams"))
     )
 
@@ -84,6 +89,17 @@ def month_ranges(top: DataFrame, by: By = ()) -> DataFrame:
     ).where(F.col("range_start").isNotNull())
 
 
+def month_ranges_of(h: DataFrame, keys: Sequence[str], by: By = (), tz: str | None = None) -> DataFrame:
+    """The same ranges straight from ``history``: one map-side aggregate of dated, named rows.
+
+    A month with such a row always has a top list, so the result is the same.
+    """
+    dated = h.where(F.col(list(keys)[0]).isNotNull() & F.col("ts").isNotNull())
+    ends = dated.groupBy(*by_list(by)).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).where(F.col("lo").isNotNull())
+    return ends.select(*by_list(by), F.trunc(X.day("lo", tz), "month").alias("range_start"),
+                       F.trunc(X.day("hi", tz), "month").alias("range_end"))
+
+
 def month_spine(ranges: DataFrame, by: By = ()) -> DataFrame:
     """Every month from first to last, inclusive, across year ends."""
     by = by_list(by)
@@ -109,10 +125,11 @@ def carry_lists(top: DataFrame, by: By = ()) -> DataFrame:
     ).drop("__last").withColumn("carried", F.col("src") != F.col("month_start"))
 
 
-def featured(chart: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:
+def featured(chart: DataFrame, keys: Sequence[str], by: By = (), with_ranks: bool = False) -> DataFrame:
     """Every entity that ever charted, with chart months (carried included).
 
-    Lifetime totals ride along when the chart rows carry them (one aggregate).
+    Lifetime totals ride along when the chart rows carry them (one aggregate),
+    and with ``with_ranks`` a map from chart month to rank.
     """
     by, keys = by_list(by), list(keys)
     extra = []
@@ -123,6 +140,7 @@ def featured(chart: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:
         F.min("month_start").alias("first_month"),
         F.min_by("rank", "month_start").alias("first_rank"),
         *extra,
+        *([F.map_from_entries(F.collect_list(F.struct("month_start", "rank"))).alias("rank_of_month")] if with_ranks else []),
     )
 
 
@@ -155,6 +173,16 @@ def rank_long(ranked: DataFrame, chart: DataFrame, ranges: DataFrame, keys: Sequ
     )
 
 
+def rank_nested(ranked: DataFrame, ranges: DataFrame, keys: Sequence[str], limit: int, by: By = ()) -> DataFrame:
+    """C09 (nested) from entities that carry their ``rank_of_month`` map: no explode, no join of cells."""
+    by, keys = by_list(by), list(keys)
+    months = _month_seq("range_start", "range_end")
+    return attach_group_stats(ranked, ranges, by).select(
+        *by, "rank", *keys, "total_streams", X.minutes("total_ms").alias("total_minutes"),
+        F.transform(months, lambda m: F.coalesce(F.try_element_at("rank_of_month", m), F.lit(limit + 1)).cast("int")).alias("monthly_ranks"),
+    )
+
+
 def nest_ranks(long: DataFrame, keys: Sequence[str], by: By = ()) -> DataFrame:
     """C09 (nested): ``monthly_ranks`` array in month order per entity."""
     by, keys = by_list(by), list(keys)
@@ -212,25 +240,47 @@ class Chart:
     totals by a window on it, then each month's top ``limit``.  That top list
     (at most months x limit rows per group) is checkpointed, and every later
     step - spine, carry-forward, featured set, rank matrix - reads only it.
-    Set ``materialize_top=False`` to keep everything lazy (one plan).
+    Building a chart runs nothing; the first use of the top list makes the
+    checkpoint.  Set ``materialize_top=False`` to keep everything in one plan.
+    ``tz`` buckets by local months of that zone.
     """
 
     def __init__(self, h: DataFrame, keys: Sequence[str] = ARTIST, limit: int = 10, by: By = (),
-                 materialize_top: bool = True):
+                 materialize_top: bool = True, tz: str | None = None):
         if limit < 1:
             raise ValueError("limit must be >= 1")
         self.keys, self.limit, self.by = list(keys), limit, by_list(by)
-        self.history = h
-        self.entity_months = entity_months(h, self.keys, self.by)
+        self.history, self.tz, self.materialize_top = h, tz, materialize_top
+        self.entity_months = entity_months(h, self.keys, self.by, tz)
         self.monthly = monthly_totals(self.entity_months)
+
+    @cached_property
+    def top(self) -> DataFrame:
         top = monthly_top(monthly_totals(with_lifetime(self.entity_months, self.keys, self.by)),
-                          self.keys, limit, self.by)
-        self.top = materialize(top) if materialize_top else top
-        self.ranges = month_ranges(self.top, self.by)
-        self.spine = month_spine(self.ranges, self.by)
-        self.chart = carry_lists(self.top, self.by)
-        self.featured = featured(self.chart, self.keys, self.by)
-        self.ranked = order_featured(self.featured, self.by)
+                          self.keys, self.limit, self.by)
+        return materialize(top) if self.materialize_top else top
+
+    @property
+    def ranges(self) -> DataFrame:
+        if "top" in self.__dict__:  # the top list is there already: no scan
+            return month_ranges(self.top, self.by)
+        return month_ranges_of(self.history, self.keys, self.by, self.tz)
+
+    @property
+    def spine(self) -> DataFrame:
+        return month_spine(self.ranges, self.by)
+
+    @cached_property
+    def chart(self) -> DataFrame:
+        return carry_lists(self.top, self.by)
+
+    @cached_property
+    def featured(self) -> DataFrame:
+        return featured(self.chart, self.keys, self.by)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return order_featured(self.featured, self.by)
 
     @property
     def lifetime(self) -> DataFrame:
@@ -253,7 +303,7 @@ class Chart:
         undated = self.history.where(F.col("ts").isNull())
         top = lifetime_top(undated, self.keys, self.limit, self.by)
         if self.by:
-            return top.join(self.ranges.select(*self.by), on=self.by, how="left_anti")
+            return null_safe_join(top, self.ranges.select(*self.by), self.by, how="left_anti")
         # One group: the (checkpointed, tiny) range frame says whether any
         # dated row exists; skip the lifetime scan entirely when it does.
         if self.ranges.take(1):
@@ -262,7 +312,8 @@ class Chart:
 
     def nested(self) -> DataFrame:
         """C09-C11 response rows: ``rank, keys, total_streams, total_minutes, monthly_ranks``."""
-        dated = nest_ranks(self.long(), self.keys, self.by)
+        ranked = order_featured(featured(self.chart, self.keys, self.by, with_ranks=True), self.by)
+        dated = rank_nested(ranked, self.ranges, self.keys, self.limit, self.by)
         empty = F.array().cast("array<int>")
         fb = self.fallback().select(*self.by, "rank", *self.keys, "total_streams", "total_minutes",
                                     empty.alias("monthly_ranks"))

@@ -6,6 +6,7 @@ Every operator is lazy and takes ``by``: extra grouping keys such as
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from replaylab.functions import expr as X
 from replaylab.operators._common import (
-    By, attach_group_stats, by_list, key_order, round6, top_k,
+    By, attach_group_stats, by_list, key_order, null_safe_join, round6, top_k,
 )
 
 ARTIST = ("artist_name",)
@@ -55,7 +56,7 @@ def overview_cards(h: DataFrame, by: By = (), approx: bool = False) -> DataFrame
     sketches with ``approx`` so no distinct values are shuffled).
     """
     by = by_list(by)
-    day = F.to_date("ts")
+    day = X.day("ts")
     if approx:
         songs, days_ = F.approx_count_distinct("track_uri"), F.approx_count_distinct(day)
     else:
@@ -131,7 +132,7 @@ def or_default(top1: DataFrame, keys: Sequence[str], by: By = (),
         )
     if groups is None:
         raise ValueError("groups is required with by")
-    joined = groups.select(*by).join(top1, on=by, how="left")
+    joined = null_safe_join(groups.select(*by), top1, by, how="left")
     return joined.select(
         *by, *keys,
         F.coalesce("total_streams", F.lit(0)).cast("bigint").alias("total_streams"),
@@ -166,7 +167,7 @@ def unique_songs(h: DataFrame, by: By = (), approx: bool = False, rsd: float = 0
 def active_days(h: DataFrame, by: By = ()) -> DataFrame:
     """distinct calendar days with at least one play."""
     by = by_list(by)
-    return h.groupBy(*by).agg(F.count_distinct(F.to_date("ts")).alias("active_days"))
+    return h.groupBy(*by).agg(F.count_distinct(X.day("ts")).alias("active_days"))
 
 
 def peak_day(h: DataFrame, by: By = ()) -> DataFrame:
@@ -174,7 +175,7 @@ def peak_day(h: DataFrame, by: By = ()) -> DataFrame:
     by = by_list(by)
     daily = (
         h.where(F.col("ts").isNotNull())
-        .groupBy(*by, F.to_date("ts").alias("day"))
+        .groupBy(*by, X.day("ts").alias("day"))
         .agg(F.count(F.lit(1)).alias("streams"), _sum_ms().alias("total_ms"))
     )
     top = top_k(daily, by, [F.col("streams").desc(), F.col("day").asc()], 1)
@@ -249,47 +250,66 @@ def habit_shares(h: DataFrame, by: By = ()) -> DataFrame:
 
 # ------------------------------------------------------------------ F13/F14
 
-def date_range(h: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """half-open ``[start, end)`` filter on ``ts`` (pushed to the scan)."""
-    cond = F.lit(True)
+def date_range(h: DataFrame, start: str | None = None, end: str | None = None, slack_days: int = 0) -> DataFrame:
+    """half-open ``[start, end)`` filter on ``ts`` (pushed to the scan).
+
+    On a stored history, whose partition column is ``year``, the implied year range prunes whole
+    folders.  Texts without an offset are UTC.  ``slack_days`` widens the range on both sides.
+    """
+    cond, slack = F.lit(True), dt.timedelta(days=slack_days)
+    stored = dict(h.dtypes).get("year") == "int"
     if start is not None:
-        cond = cond & (F.col("ts") >= F.lit(start).cast("timestamp"))
+        t = _utc(start) - slack
+        cond = cond & (F.col("ts") >= X.instant(t.isoformat()))
+        if stored:
+            cond = cond & (F.col("year") >= t.year)
     if end is not None:
-        cond = cond & (F.col("ts") < F.lit(end).cast("timestamp"))
+        t = _utc(end) + slack
+        cond = cond & (F.col("ts") < X.instant(t.isoformat()))
+        if stored:
+            cond = cond & (F.col("year") <= (t - dt.timedelta(microseconds=1)).year)
     return h.where(cond)
 
 
+def _utc(text: str) -> dt.datetime:
+    t = dt.datetime.fromisoformat(text)
+    return t.replace(tzinfo=dt.UTC) if t.tzinfo is None else t.astimezone(dt.UTC)
+
+
 # The preset windows of the date selector.
-PRESETS = {"last_4_weeks": "INTERVAL 28 DAYS", "last_6_months": "INTERVAL 6 MONTHS"}
+PRESETS = {"last_4_weeks": lambda t: X.days_before(t, 28), "last_6_months": lambda t: X.months_before(t, 6)}
 
 
 def preset_range(h: DataFrame, preset: str, by: By = (), as_of: str | None = None) -> DataFrame:
     """F13 presets: rows in ``(as_of - span, as_of]``; ``as_of`` defaults to max(ts) per group."""
     if preset == "all_time":
         return h
-    span = F.expr(PRESETS[preset])
+    since = PRESETS[preset](F.col("__as_of"))
     by = by_list(by)
     if as_of is not None:
-        anchor = h.select("*", F.lit(as_of).cast("timestamp").alias("__as_of"))
+        anchor = h.select("*", X.instant(as_of).alias("__as_of"))
     else:
         stats = h.groupBy(*by).agg(F.max("ts").alias("__as_of"))
         anchor = attach_group_stats(h, stats, by)
     return anchor.where(
-        (F.col("ts") > F.col("__as_of") - span) & (F.col("ts") <= F.col("__as_of"))
+        (F.col("ts") > since) & (F.col("ts") <= F.col("__as_of"))
     ).drop("__as_of")
 
 
 def dedup_key() -> Column:
-    return F.coalesce(F.col("track_uri"), F.col("episode_uri"))
+    """What was played: the track or episode uri, or all its names where there is neither."""
+    names = F.to_json(F.array("track_name", "artist_name", "album_name", "episode_name", "episode_show_name"))
+    return F.coalesce(F.col("track_uri"), F.col("episode_uri"), names)
 
 
 def deduplicate(h: DataFrame) -> DataFrame:
-    """one row per (username, ts, track or episode uri) across re-uploaded exports."""
-    return (
-        h.withColumn("__item", dedup_key())
-        .dropDuplicates(["username", "ts", "__item"])
-        .drop("__item")
-    )
+    """one whole row per (username, ts, item) across re-uploaded exports; NULL keys are values too.
+
+    The row that stays is the smallest one, column by column (nulls first): a minimum of structs,
+    combined map-side, so a row that a third of the table repeats is cheap.
+    """
+    first = F.min(F.struct(*[F.col(c) for c in h.columns])).alias("r")
+    return h.groupBy("username", "ts", dedup_key().alias("item")).agg(first).select("r.*")
 
 
 # ------------------------------------------------------------------ F15

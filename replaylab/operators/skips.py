@@ -58,6 +58,35 @@ def with_global_rate(stats: DataFrame, h: DataFrame, by: By = ()) -> DataFrame:
     return attach_group_stats(stats, global_skip_rate(h, by), by_list(by))
 
 
+def rated_skip_stats(h: DataFrame, keys: Sequence[str] = ARTIST, by: By = (), min_plays: int = 0) -> DataFrame:
+    """E02-E04 and E07 from one scan: :func:`skip_stats` with ``global_rate`` on every row.
+
+    One aggregate by entity, null entities included, carries the counts of
+    both; the rate is a sum over that same aggregate.  Both branches read the
+    same columns of it, so Spark plans its exchange once and reuses it.
+    """
+    by, keys = by_list(by), list(keys)
+    dated, named = F.col("ts").isNotNull(), F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    base = h.groupBy(*by, *keys).agg(
+        F.count("ts").alias("total_plays"),
+        F.count_if(dated & F.coalesce(F.col("skipped"), F.lit(False))).cast("bigint").alias("skips"),
+        F.count_if(F.col("skipped")).alias("__true"),
+        F.count("skipped").alias("__known"),
+        F.count_if(named).alias("__named"),  # a filter on it stays above the aggregate
+    )
+    counts = ["total_plays", "skips", "__true", "__known", "__named"]
+    sums = base.groupBy(*by).agg(F.struct(*[F.sum(c).alias(c) for c in counts]).alias("__all"))
+    rate = F.when(F.col("__all.__known") > 0, F.col("__all.__true") / F.col("__all.__known"))
+    out = attach_group_stats(base.where((F.col("__named") > 0) & (F.col("total_plays") >= min_plays)), sums, by)
+    return out.select(
+        *by, *keys, "total_plays", "skips",
+        F.when(F.col("total_plays") > 0, F.col("skips") / F.col("total_plays")).alias("skip_rate"),
+        rate.alias("global_rate"),
+    )
+
+
 def skip_surprise(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
     """One-sided binomial test ``P(X >= skips)``, ``X ~ Bin(plays, global_rate)``.
 
@@ -120,8 +149,7 @@ def most_hated(h: DataFrame, keys: Sequence[str] = ARTIST, n: int = 10, min_play
     ``rank`` 1 is the most robustly skipped; the chart draws them ascending.
     """
     by, keys = by_list(by), list(keys)
-    stats = with_global_rate(skip_stats(h, keys, by, min_plays=min_plays), h, by)
-    w = wilson(stats)
+    w = wilson(rated_skip_stats(h, keys, by, min_plays=min_plays))
     return top_k(w, by, [F.col("low").desc_nulls_last(), *key_order(keys)], n)
 
 

@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from replaylab.session import prepare
-from replaylab.sources.plays import EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, plays
+from replaylab.sources.plays import (
+    ANON_PLAYS_SQL, EVENT_PLAYS_SQL, PLAYS_SQL, anon_plays, event_plays, plays,
+)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -24,11 +26,15 @@ ORACLE: dict[str, str] = {}
 HISTORY_QUERIES: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {}
 
 
+# Adapter and its SQL by source name; "anon" is the plays with some listeners unknown.
+_SOURCES = {"plays": (plays, PLAYS_SQL), "events": (event_plays, EVENT_PLAYS_SQL), "anon": (anon_plays, ANON_PLAYS_SQL)}
+
+
 def register(name: str, sql: str | None = None, source: str = "plays"):
     """Register ``fn(history) -> DataFrame`` under ``name``."""
 
     def deco(fn: Callable[[DataFrame], DataFrame]):
-        loader = plays if source == "plays" else event_plays
+        loader, with_src = _SOURCES[source]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
@@ -37,9 +43,9 @@ def register(name: str, sql: str | None = None, source: str = "plays"):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
-        HISTORY_QUERIES[name] = (fn, source)
+        if source != "anon":
+            HISTORY_QUERIES[name] = (fn, source)
         if sql is not None:
-            with_src = PLAYS_SQL if source == "plays" else EVENT_PLAYS_SQL
             body = sql.lstrip()
             if body[:4].upper() == "WITH":
                 # Merge the query's own CTE list into the history CTE.
@@ -81,5 +87,5 @@ def minutes_sql(ms: str) -> str:
 def _load_all() -> None:
     # Importing the query modules fills the registry.
     from replaylab.plans import (  # noqa: F401
-        q_activity, q_charts, q_ingest, q_metrics, q_skips, q_streaming,
+        q_activity, q_charts, q_ingest, q_metrics, q_skips, q_streaming, q_unknown_listener,
     )

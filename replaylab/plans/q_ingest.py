@@ -2,23 +2,25 @@
 
 The whole driver tables go through the real paths: written as export JSON
 arrays and scanned back (A01), re-typed from export text (A04-A06), appended
-to the year-partitioned store and loaded (A08-A10).  Upload validation, the
-private-key exclusion, the audio-only rule and the new-file anti join (A02,
-A07, A16, A17) are tested on export files written to a scratch folder.
+to the year-partitioned store and loaded (A08-A10), as newline-delimited
+exports (A01), with private keys (A07), as new files beside known ones (A16)
+and as audio files beside video files (A17).  Upload validation (A02) is a
+driver-side check with tests of its own.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replaylab.functions import expr as X
 from replaylab.operators import cleanup as CL
-from replaylab.schema import HISTORY, MAPPING
-from replaylab.session import checkpoint_dir
+from replaylab.schema import HISTORY, MAPPING, PRIVATE_KEYS
+from replaylab.session import scratch_folder
 from replaylab.sources import history_store as HS
-from replaylab.sources.export_json import normalize, present_columns, read_export, to_raw, write_export
+from replaylab.sources.export_json import (
+    file_listing, new_files, normalize, present_columns, read_export, to_export, to_raw, write_export,
+)
 from replaylab.sources.plays import EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, plays
 from replaylab.plans.catalog import register, register_raw
 
@@ -42,7 +44,7 @@ FROM history GROUP BY 1"""
 
 
 def _roundtrip_agg(h: DataFrame) -> DataFrame:
-    return h.groupBy(F.year("ts").alias("year")).agg(
+    return h.groupBy(X.year("ts").alias("year")).agg(
         F.count(F.lit(1)).alias("plays"),
         F.sum("ms_played").cast("bigint").alias("total_ms"),
         F.count_if(F.col("skipped")).alias("skips"),
@@ -61,7 +63,7 @@ def a04_normalize_roundtrip(h: DataFrame) -> DataFrame:
 
 
 def _store_path(spark: SparkSession, tag: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/history-{tag}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, f"history-{tag}")
 
 
 @register_raw("a08_history_store_roundtrip", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
@@ -88,7 +90,9 @@ def a09_ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _store_path(spark, "a09")
     HS.append_history(plays(spark, sf_dir), path)
     HS.append_history(event_plays(spark, sf_dir), path)
-    return HS.ingest_report(spark, path, files_processed=2)
+    files = HS.load_history(spark, path).select(F.input_file_name().alias("f"))
+    uploads = files.select(F.regexp_extract("f", "upload=([^/]+)", 1)).distinct().count()
+    return HS.ingest_report(spark, path, files_processed=uploads)
 
 
 @register_raw("a11_concat_parts", f"""
@@ -109,7 +113,7 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, username, ms_played, artist_n
 def a12_drop_empty_columns(h: DataFrame) -> DataFrame:
     """The events feed without its all-null columns."""
     out = CL.drop_empty_columns(h)
-    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return out.withColumn("ts", F.translate(F.replace(X.iso_text("ts"), F.lit("Z"), F.lit("")), "T", " "))
 
 
 @register("a14_with_minutes", """
@@ -126,3 +130,70 @@ def a14_with_minutes(h: DataFrame) -> DataFrame:
 def a15_profile(h: DataFrame) -> DataFrame:
     """Row count, type and non-null count of every history column."""
     return CL.profile(h)
+
+
+def stored_listing(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of a folder as it is now, kept as the manifest of known files."""
+    kept = scratch_folder(spark, "manifest")
+    file_listing(spark, path).write.parquet(kept)
+    return spark.read.parquet(kept)
+
+
+def rename_files(spark: SparkSession, source: str, target: str, prefix: str) -> None:
+    """Move a folder's part files into ``target`` under ``prefix``: export files have names of their own."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(source)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{target}/{prefix}{name}"))
+
+
+def _write_ndjson(h: DataFrame, path: str, extra: dict[str, str] | None = None) -> None:
+    """Plays as newline-delimited export objects; ``extra`` adds more keys to each."""
+    out = to_export(h)
+    for k, v in (extra or {}).items():
+        out = out.withColumn(k, F.lit(v))
+    out.write.mode("append").json(path)
+
+
+@register_raw("a01_ndjson", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
+def a01_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays written as newline-delimited export files, all rows scanned back; large files by lines."""
+    path = _store_path(spark, "a01-ndjson")
+    _write_ndjson(plays(spark, sf_dir), path)
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, max_whole_bytes=8 << 20)))
+
+
+@register_raw("a07_private_keys", f"""
+WITH history AS ({EVENT_PLAYS_SQL})
+SELECT username, count(*) AS plays, 0 AS private_columns FROM history GROUP BY username""")
+def a07_private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports that hold private keys; none of them becomes a column."""
+    path = _store_path(spark, "a07")
+    _write_ndjson(event_plays(spark, sf_dir), path, {k: "private" for k in PRIVATE_KEYS})
+    raw = read_export(spark, [path], validate=False)
+    private = len(set(raw.columns) & set(PRIVATE_KEYS))
+    return normalize(raw).groupBy("username").agg(F.count(F.lit(1)).alias("plays"), F.lit(private).alias("private_columns"))
+
+
+@register_raw("a16_new_files", f"WITH history AS (SELECT * FROM ({EVENT_PLAYS_SQL}) e)\n{_ROUNDTRIP_SQL}")
+def a16_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plays' files are known already; of the whole listing only the events' new files are ingested."""
+    path = _store_path(spark, "a16")
+    _write_ndjson(plays(spark, sf_dir), path)
+    known = stored_listing(spark, path)
+    _write_ndjson(event_plays(spark, sf_dir), path)
+    fresh = [r.path for r in new_files(file_listing(spark, path), known).collect()]
+    return _roundtrip_agg(normalize(read_export(spark, fresh)))
+
+
+@register_raw("a17_audio_only", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
+def a17_audio_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of audio and video history files; the audio files' plays alone are read."""
+    path = _store_path(spark, "a17")
+    for kind, loader in (("Audio", plays), ("Video", event_plays)):
+        _write_ndjson(loader(spark, sf_dir), f"{path}/{kind}")
+        rename_files(spark, f"{path}/{kind}", path, f"Streaming_History_{kind}_")
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, audio_only=True)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from replaylab.functions import expr as X
 from replaylab.operators import metrics as M
+from replaylab.schema import HISTORY
 from replaylab.plans.catalog import DAYS, HOURS, minutes_sql, register
 
 
@@ -98,16 +100,19 @@ def b05_top_track(h: DataFrame) -> DataFrame:
 
 
 @register("b06_top_artist_default", """
-SELECT max(artist_name) AS artist_name, CAST(coalesce(max(total_streams), 0) AS BIGINT) AS total_streams,
-       coalesce(max(((total_ms + 300) // 600) / 100), 0.0) AS total_minutes
-FROM (SELECT artist_name, count(*) AS total_streams, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms
-      FROM history WHERE artist_name IS NOT NULL AND episode_uri IS NOT NULL
-      GROUP BY artist_name ORDER BY total_streams DESC, artist_name LIMIT 1) t
+SELECT g.day, t.artist_name, CAST(coalesce(t.total_streams, 0) AS BIGINT) AS total_streams,
+       coalesce(((t.total_ms + 300) // 600) / 100, 0.0) AS total_minutes
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM history) g
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY day ORDER BY total_streams DESC, artist_name) AS nth
+           FROM (SELECT CAST(ts AS DATE) AS day, artist_name, count(*) AS total_streams,
+                        CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms
+                 FROM history WHERE artist_name IS NOT NULL GROUP BY 1, 2) a) t
+  ON t.day IS NOT DISTINCT FROM g.day AND t.nth = 1
 """)
 def b06_top_artist_default(h: DataFrame) -> DataFrame:
-    """Top artist among podcast plays - none exist, so the default row."""
-    pods = h.where(F.col("episode_uri").isNotNull())
-    return M.or_default(M.top_artist(pods), ["artist_name"])
+    """Every day's top artist; days without any artist (the gap months) get the default row."""
+    days = h.withColumn("day", X.day("ts"))
+    return M.or_default(M.top_artist(days, by=("day",)), ["artist_name"], by=("day",), groups=days.select("day").distinct())
 
 
 @register("b07_top_artist_by_ms", _top_sql(["artist_name"], 1, order="ms"))
@@ -132,11 +137,10 @@ def b09_top10_artists(h: DataFrame) -> DataFrame:
 SELECT *, coalesce(nullif(track_name, ''), 'Unknown Track') AS title,
        coalesce(nullif(artist_name, ''), 'Unknown Artist') AS subtitle,
        CAST(total_streams AS VARCHAR) || ' streams' AS streams_label
-FROM (""" + _top_sql(["track_name", "artist_name"], 10, where="artist_name IS NULL OR artist_name <> ''") + ") x")
+FROM (""" + _top_sql(["track_name", "artist_name"], 10) + ") x")
 def b10_track_labels(h: DataFrame) -> DataFrame:
     """Display labels for the top 10 tracks (null artist -> Unknown Artist)."""
-    top = M.top_track(h.where(F.col("artist_name").isNull() | (F.col("artist_name") != "")), n=10)
-    return M.with_labels(top)
+    return M.with_labels(M.top_track(h, n=10))
 
 
 @register("f01_unique_songs", "SELECT count(DISTINCT track_uri) AS unique_songs FROM history")
@@ -212,9 +216,9 @@ SELECT reason_start, count(*) FILTER (WHERE reason_end = 'F') AS F,
        count(*) FILTER (WHERE reason_end = 'O') AS O
 FROM history GROUP BY reason_start""")
 def f11_reason_matrix(h: DataFrame) -> DataFrame:
-    """F11 pivot: start reason x end reason counts (end reasons given)."""
-    out = M.reason_matrix(h, values=["F", "O"])
-    return out.select("reason_start", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("F", "O")])
+    """F11 pivot: start reason x end reason counts, a column for every end reason in the table."""
+    out = M.reason_matrix(h)
+    return out.select("reason_start", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in out.columns[1:]])
 
 
 @register("f12_habit_shares", """
@@ -288,6 +292,21 @@ def f14_dedup_counts(h: DataFrame) -> DataFrame:
     return M.deduplicate(h).groupBy("username").agg(F.count(F.lit(1)).alias("rows_after_dedup"))
 
 
+_DEDUP_ORDER = ", ".join(f"{f.name} ASC NULLS FIRST" for f in HISTORY.fields)
+
+
+@register("f14_dedup_rows", f"""
+SELECT * EXCLUDE (item, nth) REPLACE (strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
+                                      strftime(offline_timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') AS offline_timestamp)
+FROM (SELECT *, row_number() OVER (PARTITION BY username, ts, item ORDER BY {_DEDUP_ORDER}) AS nth
+      FROM (SELECT *, coalesce(track_uri, episode_uri, to_json([track_name, artist_name, album_name, episode_name, episode_show_name])::VARCHAR)
+              AS item FROM history) i) d
+WHERE nth = 1""")
+def f14_dedup_rows(h: DataFrame) -> DataFrame:
+    """the whole rows that stay."""
+    return M.deduplicate(h).withColumns({c: X.iso_text(c) for c in ("ts", "offline_timestamp")})
+
+
 @register("f15_user_leaderboard", """
 SELECT CAST(place AS INTEGER) AS place, username, total_ms, ((total_ms + 300) // 600) / 100 AS total_minutes
 FROM (SELECT username, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms,

@@ -129,7 +129,7 @@ FROM ({_PV_SQL}) q"""
 @register("e08_artist_skip_surprise", f"SELECT * FROM ({_SURPRISE_SQL}) q")
 def e08_artist_skip_surprise(h: DataFrame) -> DataFrame:
     """Binomial-tail p-value per artist, -log10 p, significance."""
-    st = S.with_global_rate(S.skip_stats(h, S.ARTIST), h)
+    st = S.rated_skip_stats(h, S.ARTIST)
     out = S.skip_surprise(st)
     return S.rounded(out, ["skip_rate", "global_rate", "p_value", "neg_log_p"]).select(
         "artist_name", "total_plays", "skips", "skip_rate", "global_rate", "p_value", "neg_log_p", "significant")
@@ -141,7 +141,7 @@ SELECT artist_name, total_plays, skips, round(neg_log_p, 6) AS neg_log_p, CAST(r
   FROM ({_PV_SQL}) q) t WHERE rank <= 5""")
 def e10_most_surprising_artists(h: DataFrame) -> DataFrame:
     """The 5 most surprising artists."""
-    st = S.with_global_rate(S.skip_stats(h, S.ARTIST), h)
+    st = S.rated_skip_stats(h, S.ARTIST)
     top = S.most_surprising(S.skip_surprise(st), S.ARTIST, 5)
     return S.rounded(top, ["neg_log_p"]).select("artist_name", "total_plays", "skips", "neg_log_p", "rank")
 
@@ -153,7 +153,7 @@ _W_COLS = ["skip_rate", "low", "high", "err_low", "err_high", "global_rate"]
 SELECT artist_name, total_plays, skips, {_r6(_W_COLS)}, robust FROM ({_wilson_sql(['artist_name'])}) t""")
 def e11_artist_wilson(h: DataFrame) -> DataFrame:
     """Wilson 95 % interval, whiskers and robust flag per artist."""
-    st = S.with_global_rate(S.skip_stats(h, S.ARTIST), h)
+    st = S.rated_skip_stats(h, S.ARTIST)
     w = S.wilson(st)
     return S.rounded(w, _W_COLS).select("artist_name", "total_plays", "skips", *_W_COLS, "robust")
 

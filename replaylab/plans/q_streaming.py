@@ -11,8 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replaylab.functions import expr as X
 from replaylab.plans.catalog import register_raw
-from replaylab.sources.plays import EVENT_PLAYS_SQL, PLAYS_SQL, events_to_history, lineitems_to_plays
+from replaylab.session import scratch_folder
+from replaylab.sources import history_store as HS
+from replaylab.sources.export_json import to_export
+from replaylab.sources.plays import (
+    EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, events_to_history, lineitems_to_plays, plays,
+)
 from replaylab.streaming import pipelines as P
 
 
@@ -23,7 +29,7 @@ def s01_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental append of new source files, exactly once (run twice, no doubling)."""
     sink, ckpt = P.scratch(spark, "s01")
     for _ in range(2):  # the second run finds no new file in the checkpoint's log
-        stream = events_to_history(P.table_stream(spark, sf_dir, "events")).withColumn("year", F.year("ts"))
+        stream = events_to_history(P.table_stream(spark, sf_dir, "events")).withColumn("year", X.year("ts"))
         P.run_available_now(stream, sink, ckpt, partition_by=("year",))
     out = spark.read.parquet(sink)
     return out.groupBy("username").agg(F.count(F.lit(1)).alias("plays"),
@@ -82,3 +88,38 @@ def s04_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select(
         "username", F.date_format("session_start", fmt).alias("session_start"),
         F.date_format("session_end", fmt).alias("session_end"), "plays", "total_ms")
+
+
+@register_raw("s01_json_stream", f"""
+WITH history AS (SELECT username, ms_played FROM ({PLAYS_SQL}) p UNION ALL SELECT username, ms_played FROM ({EVENT_PLAYS_SQL}) e
+                 UNION ALL SELECT username, ms_played FROM ({EVENT_PLAYS_SQL}) e2)
+SELECT username, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS total_ms FROM history GROUP BY username""")
+def s01_json_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S01 and A08 into one store: an upload, a JSON stream (run twice), another upload; nothing lost or doubled."""
+    store, ckpt = P.scratch(spark, "s01-json")
+    drop = scratch_folder(spark, "s01-drop")
+    HS.append_history(plays(spark, sf_dir), store)
+    to_export(event_plays(spark, sf_dir)).write.json(drop)
+    for _ in range(2):
+        P.ingest_to_store(spark, drop, store, ckpt)
+    HS.append_history(event_plays(spark, sf_dir), store)
+    return HS.load_history(spark, store).groupBy("username").agg(
+        F.count(F.lit(1)).alias("plays"), F.sum("ms_played").cast("bigint").alias("total_ms"))
+
+
+@register_raw("s02_dedup_any_order", f"""
+WITH history AS ({EVENT_PLAYS_SQL})
+SELECT username, count(*) AS rows_after_dedup FROM (
+  SELECT DISTINCT username, ts, coalesce(track_uri, episode_uri, artist_name) AS item FROM history) t
+GROUP BY username""")
+def s02_dedup_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of the events arrives first, then all of them again; each play is stored once."""
+    store, ckpt = P.scratch(spark, "s02-any")
+    drop = scratch_folder(spark, "s02-drop")
+    events = event_plays(spark, sf_dir)
+    middle = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m"))
+    later = events.where(F.unix_micros("ts") >= middle.scalar())
+    for part in (later, events):
+        to_export(part).write.mode("append").json(drop)
+        P.dedup_into_store(spark, drop, store, ckpt)
+    return HS.load_history(spark, store).groupBy("username").agg(F.count(F.lit(1)).alias("rows_after_dedup"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,6 +57,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+#: Scratch folders made by this process, by session application.
+_SCRATCH: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder name below the shared checkpoint folder, remembered for :func:`release_scratch`."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders made so far; call it when their frames are no longer used.
+
+    (Checkpoint files go by themselves where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.)
+    """
+    done = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "replaylab", event_log_dir: str | None = None) -> SparkSession:
     """A local[N] session configured like the tests and bench expect.
@@ -75,6 +100,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", SESSION_TZ)
         .config("spark.driver.memory", os.environ.get("REPLAYLAB_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if event_log_dir:
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)

@@ -1,7 +1,8 @@
 """JSON export ingestion.
 
-An export file is one JSON array of play objects.  Each file is read whole and
-parsed with an explicit all-string schema of the mapped keys only:
+An export file is a JSON array of play objects, or newline-delimited play
+objects.  Both are parsed with an explicit all-string schema of the mapped
+keys only:
 
 * no inference pass over the data (the reader never scans twice);
 * keys absent from a file come back NULL (A06);
@@ -10,8 +11,12 @@ parsed with an explicit all-string schema of the mapped keys only:
 * casts happen afterwards with ``try_cast`` semantics: a bad value becomes
   NULL, never an error (A05).
 
-A JSON document does not split inside a file, so each file is one task;
-exports are small (tens of MB) and many files read in parallel.
+A file of up to ``MAX_WHOLE_BYTES`` is read whole, as one row: exports are
+tens of MB, and an array does not split.  Larger files are read by lines,
+which split: newline-delimited objects, or an array with one object a line.
+What can't be parsed is never lost without a word: a strict read fails with
+the file's name, any other read returns it as rows with ``problem`` set
+(:func:`split_problems`).
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replaylab.functions import expr as X
 from replaylab.schema import HISTORY, MAPPING, RAW
 
 
@@ -48,48 +54,102 @@ def validate_paths(paths: Sequence[str] | str) -> list[str]:
     return list(paths)
 
 
-def parse_export_text(text: DataFrame, strict: bool = False) -> DataFrame:
-    """Whole-file text rows (``value``) -> one raw row per play.
+#: Files up to this size are read as one row each; larger ones by lines.
+MAX_WHOLE_BYTES = 256 << 20
 
-    ``from_json`` with an array-of-RAW schema, then ``explode``.  Parsing the
-    file text in memory is ~25x faster than the multi-line JSON reader when
+_OBJECT = r"^\s*\{"
+_PLAY = T.StructType([*RAW.fields, T.StructField("_corrupt_record", T.StringType())])
+
+
+def _object(text: Column) -> Column:
+    """A play object's text -> RAW struct, or NULL if it is no whole JSON object."""
+    parsed = F.from_json(text, _PLAY, {"mode": "PERMISSIVE"})
+    fields = F.struct(*[parsed[f.name].alias(f.name) for f in RAW.fields])
+    return F.when(text.rlike(_OBJECT) & parsed["_corrupt_record"].isNull(), fields)
+
+
+def _rows(elements: Column) -> Column:
+    """Texts -> (play, problem) structs: the parsed object, or the text that is none."""
+    return F.transform(elements, lambda x: F.struct(_object(x).alias("play"), F.when(_object(x).isNull(), x).alias("problem")))
+
+
+def parse_export_text(text: DataFrame, by_line: bool = False) -> DataFrame:
+    """Text rows (``value``) -> one (file_name, problem, RAW columns...) row per play or problem.
+
+    ``from_json`` with an array-of-RAW schema, then ``explode``: parsing a
+    file's text in memory is ~25x faster than the multi-line JSON reader when
     numbers and booleans land in string fields (they always do with the
-    all-string RAW schema).  Pretty-printed and one-line arrays both parse;
-    an empty array gives no rows.  With ``strict`` a file that is not a JSON
-    array fails the job with its name (an upload must not lose a file
-    silently); otherwise such a file yields no rows.
+    all-string RAW schema).  Only an array that this can't take as a whole is
+    parsed again element by element, so one bad element costs no good one.
+    A text that begins with an object is read line by line.  An empty text or
+    array gives no rows.  ``by_line`` rows are single lines of a large file.
     """
-    arr = F.from_json("value", T.ArrayType(RAW))
-    if strict:
-        bad = arr.isNull() & (F.trim(F.col("value")) != F.lit(""))
-        arr = F.when(bad, F.raise_error(F.concat(
-            F.lit("Not a JSON array of plays: "), F.col("_metadata.file_name")))).otherwise(arr)
-    plays = F.explode(arr).alias("__p")
-    return text.select(plays).select("__p.*")
+    value = F.trim(F.regexp_replace("value", "^\\uFEFF", ""))
+    value = F.regexp_replace(value, r"^\s+|\s+$", "")
+    good = T.ArrayType(T.StructType([T.StructField("play", RAW), T.StructField("problem", T.StringType())]))
+    lines = F.filter(F.split(value, r"\r?\n"), lambda x: F.trim(x) != "")
+    if by_line:
+        # One object a line; an array's brackets and commas around it are left out.
+        line = F.regexp_replace(F.regexp_replace(value, r"^[\[,]?\s*", ""), r"\s*[,\]]?$", "")
+        rows = F.when(line == "", F.array().cast(good)).otherwise(_rows(F.array(line)))
+    else:
+        whole = F.from_json(value, T.ArrayType(RAW))
+        elements = F.from_json(value, T.ArrayType(T.StringType()))
+        fast = F.transform(whole, lambda p: F.struct(p.alias("play"), F.lit(None).cast("string").alias("problem")))
+        clean = whole.isNotNull() & ~F.exists(whole, lambda p: p.isNull())
+        rows = (
+            F.when(value == "", F.array().cast(good))
+            .when(value.rlike(_OBJECT), _rows(lines))
+            .when(clean & value.startswith("["), fast)
+            .when(elements.isNotNull() & value.startswith("["), _rows(F.transform(elements, lambda x: F.coalesce(x, F.lit("null")))))
+            .otherwise(F.array(F.struct(F.lit(None).cast(RAW).alias("play"), F.substring(value, 1, 1000).alias("problem"))).cast(good))
+        )
+    named = text.select(F.col("_metadata.file_name").alias("file_name"), F.explode(rows).alias("r"))
+    return named.select("file_name", F.col("r.problem").alias("problem"), "r.play.*")
+
+
+def split_problems(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plays, problems): the raw plays, and what could not be parsed by file name."""
+    return (parsed.where(F.col("problem").isNull()).drop("file_name", "problem"),
+            parsed.where(F.col("problem").isNotNull()).select("file_name", "problem"))
+
+
+def read_parsed(spark: SparkSession, paths: Sequence[str] | str, audio_only: bool = False, glob: str | None = None,
+                max_whole_bytes: int = MAX_WHOLE_BYTES) -> DataFrame:
+    """Files -> parsed rows with their problems (see :func:`parse_export_text`)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+
+    def files(whole: bool) -> DataFrame:
+        reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+        # wholetext must be the text() argument: text() resets the option otherwise.
+        text = reader.text(paths, wholetext=whole)
+        if audio_only:
+            text = text.where(F.col("_metadata.file_name").rlike(AUDIO_FILE.pattern))
+        size = F.col("_metadata.file_size")  # a metadata filter: other files are never opened
+        return text.where(size <= max_whole_bytes if whole else size > max_whole_bytes)
+
+    return parse_export_text(files(True)).unionByName(parse_export_text(files(False), by_line=True))
 
 
 def read_export(spark: SparkSession, paths: Sequence[str] | str, audio_only: bool = False,
-                validate: bool = True, glob: str = "*.json", strict: bool = True) -> DataFrame:
+                validate: bool = True, glob: str = "*.json", strict: bool = True,
+                max_whole_bytes: int = MAX_WHOLE_BYTES) -> DataFrame:
     """Scan export files as one raw table (all-string columns).
 
-    Each file is read whole (one task per file; exports are tens of MB) and
-    parsed by :func:`parse_export_text`.  ``audio_only`` keeps rows from
-    ``Streaming_History_Audio_*.json`` files only (video history files are
-    not supported).  Directories are read with a ``glob`` filter.  ``strict``
-    (default) fails on a file that is not a JSON array.
+    ``audio_only`` keeps rows from ``Streaming_History_Audio_*.json`` files
+    only (video history files are not supported).  Directories are read with a
+    ``glob`` filter.  ``strict`` (default) fails on anything that is no play,
+    with the file's name; otherwise the good plays of every file are returned.
     """
-    if isinstance(paths, str):
-        paths = [paths]
     if validate:
         paths = validate_paths(paths)
-    reader = spark.read
-    if not validate:
-        reader = reader.option("pathGlobFilter", glob)
-    # wholetext must be the text() argument: text() resets the option otherwise.
-    text = reader.text(list(paths), wholetext=True)
-    if audio_only:
-        text = text.where(F.col("_metadata.file_name").rlike(AUDIO_FILE.pattern))
-    return parse_export_text(text, strict=strict)
+    parsed = read_parsed(spark, paths, audio_only, None if validate else glob, max_whole_bytes)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("Not a JSON array of plays: "), F.col("file_name"), F.lit(": "), F.substring("problem", 1, 100)))
+        # The check rides on a column that is always kept, so no pruning drops it.
+        parsed = parsed.where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(wrong.cast("boolean")))
+        return parsed.drop("file_name", "problem")
+    return split_problems(parsed)[0]
 
 
 def _lenient(col: Column, sql_type: str) -> Column:
@@ -104,16 +164,27 @@ def _lenient(col: Column, sql_type: str) -> Column:
         # Whole numbers directly; decimals round half to even (as a double cast does).
         return F.coalesce(s.try_cast("bigint"), F.rint(s.try_cast("double")).try_cast("bigint"))
     if sql_type == "TIMESTAMP":
-        return s.try_cast("timestamp")
+        return _full_time(s)
     raise ValueError(sql_type)
 
 
+#: A whole date and time of day, with or without an offset.  (A cast would take "12:30" as today.)
+_FULL_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
+
+
+def _full_time(s: Column) -> Column:
+    """Text -> instant; without an offset it is UTC, whatever the session's zone.  Other texts are NULL."""
+    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?![:\d])", "$1:00")
+    return (F.when(s.rlike(_FULL_TIME + "$"), F.concat(s, F.lit("Z"))).when(s.rlike(_FULL_TIME + r"\s*(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$"), s)
+            .try_cast("timestamp"))
+
+
 def _epoch_or_text(col: Column) -> Column:
     """offline_timestamp: epoch seconds (or milliseconds above 1e11) or ISO text."""
     s = F.trim(col)
     n = s.try_cast("bigint")
     return (
-        F.when(n.isNull(), s.try_cast("timestamp"))
+        F.when(n.isNull(), _full_time(s))
         .when(F.abs(n) > F.lit(100_000_000_000), F.timestamp_millis(n))
         .otherwise(F.timestamp_seconds(n))
     )
@@ -178,7 +249,7 @@ def to_raw(history: DataFrame) -> DataFrame:
     for (src, tgt, sql_type) in MAPPING:
         c = F.col(tgt)
         if sql_type == "TIMESTAMP" and tgt == "ts":
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+            c = X.iso_text(c)
         elif tgt == "offline_timestamp":
             c = F.unix_timestamp(c).cast("string")
         cols.append(c.cast("string").alias(src))
@@ -191,7 +262,7 @@ def to_export(history: DataFrame) -> DataFrame:
     for (src, tgt, sql_type) in MAPPING:
         c = F.col(tgt)
         if tgt == "ts":
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+            c = X.iso_text(c)
         elif tgt == "offline_timestamp":
             c = F.unix_timestamp(c)
         cols.append(c.alias(src))

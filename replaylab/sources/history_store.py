@@ -1,17 +1,25 @@
-"""The stored ``history`` table (A08-A10): Parquet, partitioned by year.
+"""The stored ``history`` table (A08-A10): Parquet, one folder per upload, partitioned by UTC year.
 
-Append is the only write: each upload adds files under ``year=YYYY/``
-(``year=__HIVE_DEFAULT_PARTITION__`` for undated rows).  Readers filter on
-``ts`` ranges and Spark prunes whole year folders before any file is opened.
+    <store>/upload=<id>/year=YYYY/part-*.parquet     (undated rows: the null year)
+
+Every write, batch or stream, goes through :func:`append_history` into a folder
+of its own: an upload id that is written again replaces its own folder and
+nothing else, so a retried batch adds nothing.  No streaming sink log ever
+arises in the store (readers would see only the files in that log), and a
+folder that has one is refused.  ``date_range`` and ``year_filter`` add the
+``year`` range that a ``ts`` range implies, which prunes whole folders.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replaylab.functions import expr as X
 from replaylab.schema import HISTORY, HISTORY_COLUMNS
 
 
@@ -19,12 +27,28 @@ class HistoryNotFound(FileNotFoundError):
     """No history has been uploaded at this location yet."""
 
 
-STORED = T.StructType([*HISTORY.fields, T.StructField("year", T.IntegerType(), True)])
+class NotAHistoryStore(ValueError):
+    """The folder is written by a streaming file sink, whose log hides all other files."""
+
+
+STORED = T.StructType([*HISTORY.fields, T.StructField("upload", T.StringType(), True), T.StructField("year", T.IntegerType(), True)])
+
+
+def refuse_sink_log(spark: SparkSession, path: str) -> None:
+    """Raise if ``path`` holds a streaming file sink's log."""
+    try:
+        spark.read.text(f"{path.rstrip('/')}/_spark_metadata")
+    except AnalysisException:
+        return
+    raise NotAHistoryStore(f"{path}: written by a streaming file sink; stream into a store with ingest_to_store")
+
 
+def append_history(df: DataFrame, path: str, upload_id: str | None = None, rebalance: bool = True,
+                   cluster_by: tuple[str, ...] = ("username", "ts")) -> str:
+    """Create-if-absent and append normalised rows, partitioned by the UTC year of ``ts``.
 
-def append_history(df: DataFrame, path: str, rebalance: bool = True,
-                   cluster_by: tuple[str, ...] = ("username", "ts")) -> None:
-    """Create-if-absent and append normalised rows, partitioned by ``year(ts)``.
+    Returns the upload's id (a new one if none is given).  Writing the same id
+    again replaces that upload, so a retry never doubles rows.
 
     ``rebalance`` (default) adds Spark's REBALANCE on ``year`` before the write:
     one shuffle after which AQE coalesces small partitions and splits skewed
@@ -33,7 +57,9 @@ def append_history(df: DataFrame, path: str, rebalance: bool = True,
     task, and no single task writes a hot year alone.  ``cluster_by`` sorts
     rows within each file so per-listener filters prune row groups.
     """
-    out = df.select(*HISTORY_COLUMNS, F.year("ts").alias("year"))
+    refuse_sink_log(df.sparkSession, path)
+    upload_id = upload_id or uuid.uuid4().hex
+    out = df.select(*HISTORY_COLUMNS, X.year("ts").alias("year"))
     if rebalance:
         out = out.hint("rebalance", "year")
     if cluster_by:
@@ -42,16 +68,20 @@ def append_history(df: DataFrame, path: str, rebalance: bool = True,
         # Parquet min/max statistics on username let a one-listener filter skip
         # every other listener's row groups.
         out = out.sortWithinPartitions("year", *cluster_by)
-    out.write.mode("append").partitionBy("year").parquet(path)
+    out.write.mode("overwrite").partitionBy("year").parquet(f"{path.rstrip('/')}/upload={upload_id}")
+    return upload_id
 
 
-def load_history(spark: SparkSession, path: str) -> DataFrame:
+def load_history(spark: SparkSession, path: str, without_upload: str | None = None) -> DataFrame:
     """A10: the stored table with its fixed schema, or :class:`HistoryNotFound`."""
+    refuse_sink_log(spark, path)
     try:
         df = spark.read.schema(STORED).parquet(path)
         df.limit(0).collect()  # resolve the path now: a clear error instead of a late one
     except AnalysisException as e:
         raise HistoryNotFound(f"{path}: no history stored here yet (append an upload first)") from e
+    if without_upload is not None:
+        df = df.where(F.col("upload") != without_upload)
     return df.select(*HISTORY_COLUMNS, "year")
 
 

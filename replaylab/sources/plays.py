@@ -8,9 +8,11 @@ at the Parquet scan and pushes filters of the caller below the joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from replaylab.functions import expr as X
 from replaylab.schema import HISTORY, HISTORY_COLUMNS
 
 
@@ -18,6 +20,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _utc_instant(c: Column, kind: T.DataType) -> Column:
+    """A date, zone-less or zoned time as an instant, independent of the session's zone."""
+    if isinstance(kind, T.TimestampType):
+        return c
+    if isinstance(kind, T.DateType):
+        return F.timestamp_micros(F.unix_date(c).cast("bigint") * F.lit(X.DAY_US))
+    t = c.cast("timestamp_ntz")  # field by field: no zone is involved
+    micros = ((F.hour(t) * 60 + F.minute(t)).cast("bigint") * F.lit(60_000_000)
+              + (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("bigint"))
+    return F.timestamp_micros(F.unix_date(t.cast("date")).cast("bigint") * F.lit(X.DAY_US) + micros)
+
+
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``history`` row per line item (see FIXTURES.md §3)."""
     return lineitems_to_plays(spark, sf_dir, _table(spark, sf_dir, "lineitem"))
@@ -41,11 +55,10 @@ def lineitems_to_plays(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataF
         .join(supplier, li.l_suppkey == supplier.s_suppkey)
         .join(nation, F.col("s_nationkey") == nation.n_nationkey)
     )
-    ts = F.col("l_shipdate").cast("timestamp")
+    # The driver's tables hold wall-clock times without a zone: they are UTC.
+    ts = _utc_instant(F.col("l_shipdate"), li.schema["l_shipdate"].dataType)
     podcast = F.col("l_linenumber") == 7
-    gap = (ts >= F.lit("1998-03-01 00:00:00").cast("timestamp")) & (
-        ts < F.lit("1998-05-01 00:00:00").cast("timestamp")
-    )
+    gap = (ts >= X.instant("1998-03-01")) & (ts < X.instant("1998-05-01"))
     brand_no = F.expr("try_cast(substr(p_brand, 7) AS INT)")
     cols = {
         "ts": ts,
@@ -73,6 +86,12 @@ def lineitems_to_plays(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataF
     return j.select(*[cols[c].cast(f.dataType).alias(c) for c, f in zip(HISTORY_COLUMNS, HISTORY.fields)])
 
 
+def anon_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plays with every fifth listener unknown (NULL username): group keys must be null-safe."""
+    h = plays(spark, sf_dir)
+    return h.withColumn("username", F.when(~F.col("username").isin(*_UNKNOWN), F.col("username")))
+
+
 def event_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``history`` row per event, microsecond times (intra-day cases)."""
     return events_to_history(_table(spark, sf_dir, "events"))
@@ -81,7 +100,7 @@ def event_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_to_history(ev: DataFrame) -> DataFrame:
     """The events projection for a (batch or streaming) frame of events."""
     cols = {
-        "ts": F.col("ts").cast("timestamp"),
+        "ts": _utc_instant(F.col("ts"), ev.schema["ts"].dataType),
         "username": F.concat(F.lit("user"), F.col("user_id").cast("string")),
         "ms_played": F.floor(F.col("value") * 1000).cast("bigint"),
         "artist_name": F.col("event_type"),
@@ -91,6 +110,8 @@ def events_to_history(ev: DataFrame) -> DataFrame:
     )
 
 
+_UNKNOWN = ("user0", "user5", "user10", "user15")
+
 # DuckDB text of the same adapters, used by the oracle SQL.
 PLAYS_SQL = """
 SELECT CAST(l_shipdate AS TIMESTAMP) AS ts,
@@ -118,6 +139,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
      JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 """
 
+ANON_PLAYS_SQL = f"""
+SELECT * REPLACE (CASE WHEN username NOT IN {_UNKNOWN} THEN username END AS username) FROM ({PLAYS_SQL}) p
+"""
+
 EVENT_PLAYS_SQL = """
 SELECT CAST(ts AS TIMESTAMP) AS ts,
        concat('user', CAST(user_id AS VARCHAR)) AS username,

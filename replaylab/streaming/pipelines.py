@@ -1,10 +1,14 @@
 """Structured Streaming forms.
 
-* S01 ``ingest_stream``: newly dropped export files -> normalised history,
-  appended to the year-partitioned Parquet store.  The file source and the
-  checkpoint give exactly-once per file; no watermark is set because old
-  exports legitimately arrive years late in event time.
-* S02 ``dedup_stream``: cross-export de-duplication bounded by a watermark.
+* S01 ``ingest_to_store``: newly dropped export files -> normalised plays,
+  appended to the same store that batch uploads use.  Each micro-batch is one
+  upload, named by stream and batch id, so a repeated batch replaces itself;
+  what can't be parsed goes to a quarantine folder with its file's name.  No
+  watermark is set because old exports legitimately arrive years late.
+* S02 ``dedup_into_store``: the same with cross-export de-duplication against
+  the stored plays, in whatever order files arrive.  ``dedup_stream`` is the
+  form for a live feed: its state is bounded by a watermark, and rows later
+  than that are dropped.
 * S03 ``daily_windows``: daily counts as tumbling event-time windows; rows
   later than the watermark are dropped, closed days are emitted (append).
 * S04 ``sessions``: gap-based listening sessions per user.
@@ -16,19 +20,21 @@ shared checkpoint folder, so a lost executor or a restarted job resumes.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replaylab.functions import expr as X
+from replaylab.operators._common import null_safe_join
+from replaylab.operators.metrics import dedup_key, deduplicate
 from replaylab.schema import HISTORY_COLUMNS
-from replaylab.session import checkpoint_dir
-from replaylab.sources.export_json import normalize, parse_export_text
+from replaylab.session import scratch_folder
+from replaylab.sources import history_store as HS
+from replaylab.sources.export_json import normalize, parse_export_text, split_problems
 
 
 def read_export_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
                        audio_only: bool = False) -> DataFrame:
-    """S01 source: export files (JSON arrays) appearing in ``directory``, one raw row per play."""
+    """S01 source: files appearing in ``directory``, one (file_name, problem, raw columns) row per play or problem."""
     reader = spark.readStream.option("pathGlobFilter",
                                      "Streaming_History_Audio_*.json" if audio_only else "*.json")
     if max_files_per_trigger:
@@ -37,17 +43,68 @@ def read_export_stream(spark: SparkSession, directory: str, max_files_per_trigge
 
 
 def ingest_stream(spark: SparkSession, directory: str, **kw) -> DataFrame:
-    """A streaming ``history`` frame with a derived ``year`` partition column."""
-    h = normalize(read_export_stream(spark, directory, **kw))
-    return h.withColumn("year", F.year("ts"))
+    """A streaming ``history`` frame of the good plays (see :func:`ingest_to_store` for the whole job)."""
+    return normalize(split_problems(read_export_stream(spark, directory, **kw))[0])
+
+
+def _run_batches(df: DataFrame, checkpoint: str, write) -> None:
+    """Hand every micro-batch that is available now to ``write(batch, batch_id)``."""
+    q = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint: str, stream: str = "drop", dedup: bool = False,
+                    quarantine: str | None = None, **kw) -> str:
+    """Ingest all files that appeared in ``directory`` since the last run into ``store``.
+
+    ``stream`` names the stream: its batches are uploads ``<stream>-<batch id>``.
+    Problems are written below ``quarantine`` (default: beside the checkpoint).
+    """
+    quarantine = quarantine or f"{checkpoint.rstrip('/')}-quarantine"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # parsed once for plays and problems; a lost block is parsed again
+        plays, problems = split_problems(batch)
+        upload = f"{stream}-{batch_id}"
+        (_append_new if dedup else HS.append_history)(normalize(plays), store, upload)
+        problems.write.mode("overwrite").json(f"{quarantine}/upload={upload}")
+        batch.unpersist()
+
+    _run_batches(read_export_stream(spark, directory, **kw), checkpoint, write)
+    return store
+
+
+def _append_new(h: DataFrame, store: str, upload: str) -> None:
+    """Append the plays of ``h`` that other uploads of the store don't hold, each once."""
+    spark = h.sparkSession
+    new = deduplicate(h).withColumn("__item", dedup_key())
+    try:
+        held = HS.load_history(spark, store, without_upload=upload)
+    except HS.HistoryNotFound:
+        return HS.append_history(new, store, upload)
+    keys = ["username", "ts", "__item"]
+    # Only years that the batch touches are read: a bounded list of numbers.
+    years = [r[0] for r in new.select(X.year("ts")).distinct().collect()]
+    year = F.col("year")
+    touched = year.isin([y for y in years if y is not None]) | (year.isNull() if None in years else F.lit(False))
+    held = held.where(touched).withColumn("__item", dedup_key()).select(*keys)
+    HS.append_history(null_safe_join(new, held, keys, how="left_anti"), store, upload)
+
+
+def dedup_into_store(spark: SparkSession, directory: str, store: str, checkpoint: str, **kw) -> str:
+    """:func:`ingest_to_store` without plays that are stored already; no play is lost to lateness."""
+    return ingest_to_store(spark, directory, store, checkpoint, dedup=True, **kw)
 
 
 def dedup_stream(h: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop re-uploaded plays (same user, time and item) within the watermark."""
-    keyed = h.withColumn("item", F.coalesce(F.col("track_uri"), F.col("episode_uri")))
-    return (keyed.withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["username", "ts", "item"])
-            .drop("item"))
+    """S02 for a live feed: drop repeated plays (same user, time and item) within the watermark.
+
+    Rows later than the watermark are dropped, as with any bounded state: use
+    :func:`dedup_into_store` for drops of older files.
+    """
+    return (h.withColumn("__item", dedup_key()).withWatermark("ts", delay)
+            .dropDuplicatesWithinWatermark(["username", "ts", "__item"])
+            .drop("__item"))
 
 
 def daily_windows(h: DataFrame, delay: str = "1 hour", by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,7 +113,7 @@ def daily_windows(h: DataFrame, delay: str = "1 hour", by: tuple[str, ...] = ())
             .groupBy(*by, F.window("ts", "1 day"))
             .agg(F.count(F.lit(1)).alias("streams"),
                  F.coalesce(F.sum("ms_played"), F.lit(0)).cast("bigint").alias("total_ms"))
-            .select(*by, F.to_date(F.col("window.start")).alias("day"), "streams", "total_ms"))
+            .select(*by, X.day("window.start").alias("day"), "streams", "total_ms"))
 
 
 def sessions(h: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
@@ -84,7 +141,7 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "ap
 
 def scratch(spark: SparkSession, tag: str) -> tuple[str, str]:
     """Sink and checkpoint locations under the shared checkpoint folder."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{tag}-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, f"stream-{tag}")
     return f"{base}/out", f"{base}/checkpoint"
 
 
@@ -96,6 +153,6 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 __all__ = [
-    "read_export_stream", "ingest_stream", "dedup_stream", "daily_windows", "sessions",
+    "read_export_stream", "ingest_stream", "ingest_to_store", "dedup_into_store", "dedup_stream", "daily_windows", "sessions",
     "run_available_now", "scratch", "table_stream", "HISTORY_COLUMNS",
 ]

@@ -26,7 +26,9 @@ def test_precompute_dashboards(spark):
     assert (card.artist_name, card.total_streams) == (live["artist_name"], live["total_streams"])
     chart = spark.read.parquet(f"{base}/out/artist_chart").where("username = 'user3'")
     live_chart = api.artist_rank(me, limit=3)
-    assert chart.select("month").distinct().count() == live_chart["total_months"]
+    nested = sorted((r.rank, r.artist_name, list(r.monthly_ranks)) for r in chart.collect())
+    assert nested == [(d["rank"], d["artist_name"], d["monthly_ranks"]) for d in live_chart["data"]]
+    assert all(len(ranks) == live_chart["total_months"] for _, _, ranks in nested)
 
 
 def test_shared_day_aggregate_equals_direct_operators(spark):

@@ -112,15 +112,16 @@ def _sample(df: DataFrame, labels: DataFrame, sample_rows: int, text: str, key:
               .distinct().orderBy(F.xxhash64(F.col(key), F.lit(3)), key, "quality").limit(sample_rows))
     # Broadcast: at most sample_rows rows of two numbers.
     rows = df.select(key, text).join(F.broadcast(chosen), key)
-    schema = T.StructType().add("quality", "integer").add("features", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([df.schema[key]]).add("quality", "integer").add("features", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             _, features = _arrays(batch, text)
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(features), pa.list_(pa.float64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("quality"), pa.array(list(features), pa.list_(pa.float64()))],
+                                             names=schema.names)
 
-    # Rows may repeat an id: the bound holds for them too.
-    found = rows.mapInArrow(run, schema).limit(2 * sample_rows).collect()
+    # Rows that repeat an id count once, so the sample stays bounded and the same on every run.
+    found = rows.mapInArrow(run, schema).groupBy(key, "quality").agg(F.min("features").alias("features")).collect()
     return np.array([r.features for r in found], dtype=np.float64).reshape(-1, len(STATISTICS)), np.array([r.quality for r in found])
 
 

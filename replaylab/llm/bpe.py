@@ -55,6 +55,7 @@ def _byte_letters() -> list[str]:
 _LETTER = _byte_letters()
 _BYTE = {c: b for b, c in enumerate(_LETTER)}
 _TO_LATIN = {ord(c): b for c, b in _BYTE.items()}
+_NOT_PLAIN = re.compile("[^" + "".join(regex.escape(c) if ord(c) < 128 else c for c in sorted(_PLAIN)) + "]")
 
 
 def _plain_pattern(pattern: str) -> re.Pattern:
@@ -165,7 +166,7 @@ class TrieBPE:
             if part in self._special:
                 yield self._special[part]
             elif part:
-                if _PLAIN.issuperset(part):
+                if not _NOT_PLAIN.search(part):
                     found = (m.group() for m in self._words.finditer(self._normal(part))) \
                         if len(part) > CHUNK_WORDS else iter(self._words.findall(self._normal(part)))
                 else:
@@ -268,21 +269,34 @@ class TrieBPE:
         return "".join(tokens).translate(_TO_LATIN).encode("latin-1").decode("utf-8", "replace")
 
 
+class LibraryBPE(TrieBPE):
+    """The same, but distinct words are encoded one by one by the tokenizer library's own model.
+
+    For operators that only need ids: the same splitting and cache of distinct words, without a trie.
+    """
+
+    def learn(self, words: set[str]) -> None:
+        tokenize = self._library.model.tokenize
+        for w in words:
+            ids = [t.id for t in tokenize("".join([_LETTER[b] for b in w.encode("utf-8", "surrogateescape")]))]
+            self._cache[w] = struct.pack(f"={len(ids)}i", *ids)
+
+
 #: Fixed value: the byte-level splitter's published word pattern.
 _BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_LOADED: dict[str, TrieBPE] = {}
+_LOADED: dict[tuple[str, type], TrieBPE] = {}
 
 
-def load(path: str) -> TrieBPE:
+def load(path: str, kind: type[TrieBPE] = TrieBPE) -> TrieBPE:
     """The tokenizer of a file, once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = TrieBPE(path)
-    return _LOADED[path]
+    if (path, kind) not in _LOADED:
+        _LOADED[path, kind] = kind(path)
+    return _LOADED[path, kind]
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequence[str] = ("doc_id",),
-           decoded: bool = False, with_ids: bool = True) -> DataFrame:
+           decoded: bool = False, with_ids: bool = True, kind: type[TrieBPE] = TrieBPE) -> DataFrame:
     """``keep`` columns, ``n_tokens`` long and, if asked for, ``ids`` array<int> and ``decoded`` string."""
     schema = T.StructType([df.schema[c] for c in keep]).add("n_tokens", "long")
     if with_ids:
@@ -291,7 +305,7 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: Sequenc
         schema = schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(tokenizer_path)
+        bpe = load(tokenizer_path, kind)
         for batch in slices(batches, text):
             rows = bpe.encode_batch([t or "" for t in batch.column(text).to_pylist()])
             sizes = np.array([len(r) for r in rows], dtype=np.int64)

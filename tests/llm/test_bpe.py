@@ -28,9 +28,10 @@ def odd_texts():
     return texts + ["".join(rnd.choice("aab ") for _ in range(80)) for _ in range(100)]
 
 
+@pytest.mark.parametrize("kind", [bpe.TrieBPE, bpe.LibraryBPE])
 @pytest.mark.parametrize("name", FILES)
-def test_same_as_library(name):
-    tok, mine, texts = library(name), bpe.TrieBPE(P.path(name)), odd_texts()
+def test_same_as_library(name, kind):
+    tok, mine, texts = library(name), kind(P.path(name)), odd_texts()
     for got, want in zip(mine.encode_batch(texts), tok.encode_batch(texts, add_special_tokens=False)):
         assert got.tolist() == want.ids
         assert mine.decode(got) == tok.decode(want.ids, skip_special_tokens=False)

@@ -74,13 +74,15 @@ def segments(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
 
 def examples(stream: DataFrame) -> DataFrame:
-    """(conv, example, context_end, loss_start, loss_end): one row per assistant turn; offsets into its stream.
+    """(conv, example, context_end, loss_start, loss_end, reply): one row per assistant turn; offsets into its stream.
 
-    ``example`` is the reply's turn number; the example's text is the stream up to ``loss_end``, its context what stands before ``loss_start``.
+    ``example`` is the reply's turn number; the example's text is the stream up to ``loss_end``, its context what stands before
+    ``loss_start``; ``reply`` is what the loss mask covers, as formatted.
     """
+    loss_end = F.col("end") - len(END) - 1
     return stream.where("trainable").select(
-        "conv", F.col("turn_no").alias("example"), F.col("start").alias("context_end"), "loss_start",
-        (F.col("end") - len(END) - 1).alias("loss_end"))
+        "conv", F.col("turn_no").alias("example"), F.col("start").alias("context_end"), "loss_start", loss_end.alias("loss_end"),
+        F.substring("segment", (F.col("loss_start") - F.col("start") + 1).cast("int"), (loss_end - F.col("loss_start")).cast("int")).alias("reply"))
 
 
 def render(stream: DataFrame) -> DataFrame:
@@ -89,34 +91,38 @@ def render(stream: DataFrame) -> DataFrame:
     The output is as large as all prefixes together, and a conversation is gathered in one row.
     """
     whole = stream.groupBy("conv").agg(F.array_join(F.array_sort(F.collect_list(F.struct("start", "segment"))).segment, "").alias("stream"))
-    wanted = examples(stream)
+    wanted = examples(stream).drop("reply")
     whole = whole.withColumnRenamed("conv", "c")
     return wanted.join(whole, wanted.conv.eqNullSafe(whole.c)).select(
         "conv", "example", F.substring("stream", F.lit(1), F.col("loss_end").cast("int")).alias("text"), "loss_start", "loss_end")
 
 
 def read_back(stream: DataFrame) -> DataFrame:
-    """(conv, turn_no, role, text, trainable): turns parsed from the formatted segments alone."""
+    """(conv, turn_no, role, text, end): turns parsed from the formatted segments alone."""
     body = F.expr(f"substring(segment, {len(START) + 1}, length(segment) - {len(START) + len(END) + 1})")
-    at = F.instr(body, "\n")
-    return stream.select("conv", "turn_no", "start", "end", body.alias("body"), at.alias("cut"), "loss_start", "trainable").select(
-        "conv", "turn_no", "start", "end", "trainable", _unescape_role(F.expr("substring(body, 1, cut - 1)")).alias("role"),
-        unescape(F.expr("substring(body, cut + 1)")).alias("text"),
-        # What the loss mask covers, cut out of the segment by offsets.
-        F.when(F.col("trainable"), unescape(F.expr(f"substring(body, int(loss_start - start) - {len(START) - 1})"))).alias("loss"))
+    parts = stream.select("conv", "turn_no", "end", body.alias("body"), F.instr(body, "\n").alias("cut"))
+    return parts.select("conv", "turn_no", _unescape_role(F.expr("substring(body, 1, cut - 1)")).alias("role"),
+                        unescape(F.expr("substring(body, cut + 1)")).alias("text"), "end")
 
 
 def digests(stream: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted stream: the contract's columns.
+    """Per conversation, read back from a stored stream and its examples: the contract's columns.
 
-    The contract's digests are over a conversation's whole text, so its turns meet in one row here, and only here.
+    The contract's digests are over a conversation's whole text, so its turns and replies meet in one row here, and only here.
     """
-    turns = read_back(stream)
-    row = F.struct("turn_no", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("turn"), "loss", "end")
-    grouped = turns.groupBy("conv").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    loss = F.array_join(F.col("turns.loss"), "")
+    none = F.lit(None).cast("long")
+    turns = read_back(stream).select("conv", F.struct(F.lit("turn").alias("kind"), F.col("turn_no").alias("n"), F.concat(
+        "role", F.lit("\n"), "text", F.lit("\n")).alias("piece")).alias("p"), "end")
+    replies = examples(stream).select("conv", F.struct(F.lit("reply").alias("kind"), F.col("example").alias("n"), unescape(
+        F.col("reply")).alias("piece")).alias("p"), none.alias("end"))
+    grouped = turns.unionByName(replies).groupBy("conv").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.max("end").alias("end"))
+
+    def all_of(kind: str) -> Column:
+        return F.filter("ps", lambda p: p["kind"] == kind)["piece"]
+
+    loss = F.array_join(all_of("reply"), "")
     return grouped.select(
-        F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.col("turns.turn"), ""), 256).alias("turns_sha256"),
+        F.col("conv").alias("conv_id"), F.size(all_of("turn")).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(all_of("turn"), ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.array_max(F.col("turns.end")).alias("formatted_chars"))
+        F.col("end").alias("formatted_chars"))

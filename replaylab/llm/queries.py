@@ -47,7 +47,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"),
                               F.lit("</s>[INST] ok [/INST]").alias("text")) for i, role in enumerate(("user", "assistant"))))
-    return chat.digests(chat.segments(turns.unionByName(spark.range(1).select(F.inline(more)))))
+    stream = stored(chat.segments(turns.unionByName(spark.range(1).select(F.inline(more)))), "chat")
+    return chat.digests(stream)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

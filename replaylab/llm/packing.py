@@ -115,35 +115,35 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, sequence: int, part
     heapq.heapify(waiting)
     by_fill = sorted((fill[b], b) for b in range(n_bins) if fill[b] < sequence)  # the partners, fullest last
 
+    seen: dict[int, tuple[list, dict, dict]] = {}  # choices of bins that haven't changed
+
+    def choices(b: int) -> tuple[list[int], dict[int, tuple], dict[int, tuple]]:
+        """Sums that one or two pieces of a bin can have, sorted, and pieces for each; equal sizes count once, so
+        there are never more than a sequence's length of either, however small the pieces."""
+        if b not in seen:
+            by_size: dict[int, list[int]] = {}
+            for i in bins[b]:
+                by_size.setdefault(size[i], []).append(i)
+            one = {n: (held[0],) for n, held in by_size.items()}
+            two = {2 * n: tuple(held[:2]) for n, held in by_size.items() if len(held) > 1}
+            two |= {m + n: (by_size[m][0], by_size[n][0]) for m in by_size for n in by_size if m < n}
+            seen[b] = sorted({*one, *two}), one, two
+        return seen[b]
+
     def best_step(source: int, target: int):
         """(gain in tokens, out of source, back from target) of the step that fills the target most."""
         room = sequence - fill[target]
-        ours = sorted((size[i], i) for i in bins[source])
-        theirs = sorted((size[i], i) for i in bins[target])
+        sums, one, two = choices(source)
+        _, their_one, their_two = choices(target)
+        singles = sorted(one)
         best = (0, (), ())
-
-        def consider(out: int, out_ids, back: int, back_ids):
-            nonlocal best
-            gain = out - back
-            if best[0] < gain <= room:
-                best = (gain, out_ids, back_ids)
-
-        ours_n = [n for n, _ in ours]
-        for back, j in [(0, None), *theirs]:  # move, or one for one: the longest of ours that fits
-            at = bisect_left(ours_n, back + room + 1) - 1
-            if at >= 0:
-                consider(ours[at][0], (ours[at][1],), back, () if j is None else (j,))
-        for a in range(len(ours)):  # two of ours for one of theirs, or for nothing
-            for b in range(a):
-                out = ours[a][0] + ours[b][0]
-                for back, j in [(0, None), *theirs]:
-                    consider(out, (ours[a][1], ours[b][1]), back, () if j is None else (j,))
-        for a in range(len(theirs)):  # one of ours for two of theirs
-            for b in range(a):
-                back = theirs[a][0] + theirs[b][0]
-                at = bisect_left(ours_n, back + room + 1) - 1
-                if at >= 0:
-                    consider(ours[at][0], (ours[at][1],), back, (theirs[a][1], theirs[b][1]))
+        # A move, one for one, or two of ours for one; then one of ours for two.
+        for outs, backs in ((sums, {0: (), **their_one}), (singles, their_two)):
+            for back, returned in backs.items():
+                at = bisect_left(outs, back + room + 1) - 1
+                if at >= 0 and outs[at] - back > best[0]:
+                    out = outs[at]
+                    best = (out - back, one.get(out) or two[out], returned)
         return best
 
     while waiting and n_bins > least:
@@ -171,6 +171,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, sequence: int, part
             for b, gone, got, change in ((source, out, back, -gain), (target, back, out, gain)):
                 by_fill.pop(bisect_left(by_fill, (fill[b], b)))
                 bins[b] = [i for i in bins[b] if i not in gone] + list(got)
+                seen.pop(b, None)
                 fill[b] += change
                 if bins[b] and fill[b] < sequence:
                     insort(by_fill, (fill[b], b))

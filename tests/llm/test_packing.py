@@ -1,6 +1,7 @@
 """Operator 9: pieces, fill, and the local search."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -71,6 +72,14 @@ def test_local_search_empties_bins():
     assert saved > 0
 
 
+def test_many_tiny_pieces_stay_quick():
+    for lengths in (np.full(40_000, 5), np.array([700, 5, 3] * 8_000), np.full(40_000, 1), np.arange(40_000) % 45 + 1, np.full(20_000, 300)):
+        start = time.monotonic()
+        bins = packing.local_search(packing.best_fit(lengths, 1024), lengths, 1024)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert time.monotonic() - start < 60
+
+
 def test_known_exchanges():
     # Best fit leaves three bins here; one exchange makes two.
     lengths = np.array([6, 5, 5, 4])

@@ -60,7 +60,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     counts = stored(bpe.encode(docs, BYTE_BPE, keep=("doc_id", "source", "lang", "digest"), with_ids=False, kind=bpe.LibraryBPE)
                     .withColumn("tokenizer", F.lit("byte_bpe_50k")), "token-counts")
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    # Stored, so that the join stands alone and Spark can split a text that a third of all rows share.
+    first = stored(counts.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "token-first")
     rows = counts.join(first, "digest")
     change = lambda df, kind: df.withColumns({"change": F.lit(kind), "old_tokens": F.col("n_tokens")})
     store = rollups.TokenRollup(spark, scratch(spark, "token-rollup"))

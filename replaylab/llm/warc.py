@@ -110,9 +110,10 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
     body = F.coalesce(F.encode(F.col(payload), "utf-8") if dict(df.dtypes)[payload] == "string" else F.col(payload), F.lit(b""))
     rows = df.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), captured.alias("captured"),
                      body.alias("payload")).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    # One row per repeated payload, counted map-side; Spark chooses the join by the sizes it finds.
-    shared = (rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size")
-              .agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # One row per repeated payload, counted map-side; Spark chooses the join by the sizes it finds.  Stored, so that
+    # the join stands alone and Spark can split a payload that a third of all rows share.
+    shared = stored((rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size")
+              .agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")), "warc-shared")
     told = rows.join(shared, ["digest", "size"], "left").withColumn(
         "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")))
     told = told.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))

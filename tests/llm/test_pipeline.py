@@ -64,8 +64,7 @@ def test_packing_stage(steps):
 
 
 def test_run_is_registered(spark, steps):
-    assert E.queries()["pipeline"] is corpus_pipeline.run
-    df = corpus_pipeline.run(spark, "/root/testdata/sf0.01")
+    df = E.queries()["pipeline"](spark, "/root/testdata/sf0.01")
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, df.select(cols).collect())) == sorted(map(tuple, steps[4].select(cols).collect()))
 

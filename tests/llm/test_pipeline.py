@@ -3,9 +3,9 @@
 import duckdb
 import numpy as np
 import pytest
-from test_line_dedup import brute as brute_lines
-from test_packing import check_places
-from test_simhash import brute_components, brute_fingerprint
+from llm.test_line_dedup import brute as brute_lines
+from llm.test_packing import check_places
+from llm.test_simhash import brute_components, brute_fingerprint
 
 import __spark_entry__ as E
 import corpus_pipeline

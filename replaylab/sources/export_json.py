@@ -13,7 +13,8 @@ keys only:
 
 A file of up to ``MAX_WHOLE_BYTES`` is read whole, as one row: exports are
 tens of MB, and an array does not split.  Larger files are read by lines,
-which split: newline-delimited objects, or an array with one object a line.
+which split: newline-delimited objects, or an array whose lines hold one or
+more whole objects (an array on one line is one row, however large).
 What can't be parsed is never lost without a word: a strict read fails with
 the file's name, any other read returns it as rows with ``problem`` set
 (:func:`split_problems`).
@@ -58,19 +59,39 @@ def validate_paths(paths: Sequence[str] | str) -> list[str]:
 MAX_WHOLE_BYTES = 256 << 20
 
 _OBJECT = r"^\s*\{"
-_PLAY = T.StructType([*RAW.fields, T.StructField("_corrupt_record", T.StringType())])
+_ROW = T.StructType([T.StructField("play", RAW), T.StructField("problem", T.StringType())])
+#: A play, or the mark that closes a list (see :func:`_closed`).
+_MARKED = T.ArrayType(T.StructType([*RAW.fields, T.StructField("__end", T.StringType())]))
 
 
-def _object(text: Column) -> Column:
-    """A play object's text -> RAW struct, or NULL if it is no whole JSON object."""
-    parsed = F.from_json(text, _PLAY, {"mode": "PERMISSIVE"})
-    fields = F.struct(*[parsed[f.name].alias(f.name) for f in RAW.fields])
-    return F.when(text.rlike(_OBJECT) & parsed["_corrupt_record"].isNull(), fields)
+def _mark(body: Column) -> Column:
+    return F.xxhash64(body).cast("string")
+
+
+def _closed(body: Column) -> Column:
+    """Values with commas between them -> an array's text, closed with a mark.
+
+    ``from_json`` reads the first root value and ignores what follows it: where
+    the mark isn't the last value, the root value ended early.
+    """
+    return F.concat(F.lit("["), body, F.lit(',{"__end":"'), _mark(body), F.lit('"}]'))
+
+
+def _ended(parsed: Column, body: Column) -> Column:
+    return F.try_element_at(parsed, F.lit(-1))["__end"].eqNullSafe(_mark(body))
+
+
+def _fields(play: Column) -> Column:
+    return F.struct(*[play[f.name].alias(f.name) for f in RAW.fields])
 
 
 def _rows(elements: Column) -> Column:
-    """Texts -> (play, problem) structs: the parsed object, or the text that is none."""
-    return F.transform(elements, lambda x: F.struct(_object(x).alias("play"), F.when(_object(x).isNull(), x).alias("problem")))
+    """Texts -> (play, problem) structs: the parsed object, or the text that is no whole single object."""
+    parsed = F.transform(elements, lambda x: F.struct(x.alias("text"), F.when(x.rlike(_OBJECT), F.from_json(_closed(x), _MARKED)).alias("list")))
+    plays = F.transform(parsed, lambda r: F.struct(
+        r["text"].alias("text"), F.when((F.size(r["list"]) == 2) & _ended(r["list"], r["text"]), r["list"][0]).alias("play")))
+    return F.transform(plays, lambda r: F.struct(F.when(r["play"].isNotNull(), _fields(r["play"])).alias("play"),
+                                                 F.when(r["play"].isNull(), r["text"]).alias("problem")))
 
 
 def parse_export_text(text: DataFrame, by_line: bool = False) -> DataFrame:
@@ -83,28 +104,35 @@ def parse_export_text(text: DataFrame, by_line: bool = False) -> DataFrame:
     parsed again element by element, so one bad element costs no good one.
     A text that begins with an object is read line by line.  An empty text or
     array gives no rows.  ``by_line`` rows are single lines of a large file.
+    A line may hold any number of objects, with commas between them.
     """
     value = F.trim(F.regexp_replace("value", "^\\uFEFF", ""))
     value = F.regexp_replace(value, r"^\s+|\s+$", "")
-    good = T.ArrayType(T.StructType([T.StructField("play", RAW), T.StructField("problem", T.StringType())]))
-    lines = F.filter(F.split(value, r"\r?\n"), lambda x: F.trim(x) != "")
     if by_line:
-        # One object a line; an array's brackets and commas around it are left out.
-        line = F.regexp_replace(F.regexp_replace(value, r"^[\[,]?\s*", ""), r"\s*[,\]]?$", "")
-        rows = F.when(line == "", F.array().cast(good)).otherwise(_rows(F.array(line)))
+        # Objects of one line; an array's brackets and commas around them are left out.
+        bodies = F.array(F.regexp_replace(F.regexp_replace(value, r"^[\[,]?\s*", ""), r"\s*[,\]]?$", ""))
     else:
-        whole = F.from_json(value, T.ArrayType(RAW))
-        elements = F.from_json(value, T.ArrayType(T.StringType()))
-        fast = F.transform(whole, lambda p: F.struct(p.alias("play"), F.lit(None).cast("string").alias("problem")))
-        clean = whole.isNotNull() & ~F.exists(whole, lambda p: p.isNull())
-        rows = (
-            F.when(value == "", F.array().cast(good))
-            .when(value.rlike(_OBJECT), _rows(lines))
-            .when(clean & value.startswith("["), fast)
-            .when(elements.isNotNull() & value.startswith("["), _rows(F.transform(elements, lambda x: F.coalesce(x, F.lit("null")))))
-            .otherwise(F.array(F.struct(F.lit(None).cast(RAW).alias("play"), F.substring(value, 1, 1000).alias("problem"))).cast(good))
+        lines = F.transform(F.split(value, r"\r?\n"), lambda x: F.regexp_replace(x, r"\s*,?\s*$", ""))
+        bodies = (
+            F.when(value.rlike(_OBJECT), lines)
+            .when(value.startswith("[") & value.endswith("]"), F.array(F.substring(value, F.lit(2), F.length(value) - 2)))
+            .otherwise(F.array(value))
         )
-    named = text.select(F.col("_metadata.file_name").alias("file_name"), F.explode(rows).alias("r"))
+    listed = text.select(F.col("_metadata.file_name").alias("file_name"), F.explode(bodies).alias("body")).where(F.col("body").rlike(r"\S"))
+    body = F.col("body")
+    # Columns of their own, so that each text is parsed once.
+    listed = listed.withColumn("list", F.from_json(_closed(body), _MARKED))
+    plays = F.slice("list", 1, F.size("list") - 1)
+    listed = listed.withColumn("clean", _ended(F.col("list"), body) & ~F.exists(plays, lambda p: p.isNull()))
+    elements = F.from_json(F.concat(F.lit("["), body, F.lit(',"'), _mark(body), F.lit('"]')), T.ArrayType(T.StringType()))
+    listed = listed.withColumn("elements", F.when(~F.col("clean"), elements))
+    texts = F.transform(F.slice("elements", 1, F.size("elements") - 1), lambda x: F.coalesce(x, F.lit("null")))
+    rows = (
+        F.when(F.col("clean"), F.transform(plays, lambda p: F.struct(_fields(p).alias("play"), F.lit(None).cast("string").alias("problem"))))
+        .when(F.try_element_at("elements", F.lit(-1)).eqNullSafe(_mark(body)), _rows(texts))
+        .otherwise(F.array(F.struct(F.lit(None).cast(RAW).alias("play"), F.substring(body, 1, 1000).alias("problem"))).cast(T.ArrayType(_ROW)))
+    )
+    named = listed.select("file_name", F.explode(rows).alias("r"))
     return named.select("file_name", F.col("r.problem").alias("problem"), "r.play.*")
 
 

@@ -75,6 +75,19 @@ def test_large_files_are_read_by_lines(spark, folder):
         E.read_export(spark, [c], max_whole_bytes=10).count()
 
 
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_every_object_of_a_line_is_read(spark, folder, limit):
+    texts = [json.dumps(p) for p in PLAYS]
+    files = {"one.json": json.dumps(PLAYS), "pairs.json": ",".join(texts[:2]) + "\n" + ",".join(texts[2:]) + "\n",
+             "pairs_array.json": "[" + ",".join(texts[:2]) + ",\n" + ",".join(texts[2:]) + "]", "empty.json": "[ ]"}
+    paths = [write(folder, name, text) for name, text in files.items()]
+    got = E.read_export(spark, paths, max_whole_bytes=limit)
+    assert [got.where(F.col("ts") == p["ts"]).count() for p in PLAYS] == [3 * sum(q["ts"] == p["ts"] for q in PLAYS) for p in PLAYS]
+    for text in ("".join(texts), " ".join(texts), f"[{texts[0]}][{texts[1]}]", f"[{texts[0]}], [{texts[1]}]", f"[{texts[0]}] tail", texts[0] + "tail"):
+        with pytest.raises(Exception, match="roots.json"):
+            E.read_export(spark, [write(folder, "roots.json", text)], max_whole_bytes=limit).collect()
+
+
 def test_count_alone_still_fails_on_a_bad_file(spark, folder):
     with pytest.raises(Exception, match="Bad.json"):
         E.read_export(spark, [write(folder, "Bad.json", "{oops")]).count()

@@ -7,8 +7,9 @@ Method.
    task.  Each group is packed by one task, in bounded memory: best fit, longest first, as the start.
 3. Local search over the underfull bins, emptiest first: move a piece into another bin's gap, exchange one piece
    for a longer one, or two pieces for one, whenever the sum of squared fills grows.  Filling the full bins
-   further drains the emptiest, which disappear.  It ends when no move helps, or when the group's
-   bin count has reached its lower bound ceil(tokens / sequence).
+   further drains the emptiest, which disappear.  A few partners are looked at first; if they allow no step, an index
+   by room and lengths answers for all bins at least as full.  It ends when no underfull bin has a step into any bin
+   at least as full, or when the group's bin count has reached its lower bound ceil(tokens / sequence).
 
 The sum of squared fills grows with every step and is bounded, so the search ends.  Grouping costs less than one
 underfull sequence per group against packing all pieces at once.
@@ -36,7 +37,7 @@ from replaylab.llm._common import slices, stored
 SEQUENCE = 1024
 END_ID = 2
 GROUP_PIECES = 40_000
-#: Bins of a group that the local search may look at once per move.
+#: Bins that a move looks at first, one by one; if they allow no step, all others are looked up.
 PARTNERS = 64
 
 
@@ -99,13 +100,69 @@ def best_fit(lengths: np.ndarray, sequence: int) -> list[list[int]]:
     return bins
 
 
+class _Partners:
+    """The rooms of underfull bins, with the sums that one piece (or none) and two pieces of theirs can have, counted.
+
+    Bins that have the same room and sum allow the same step, so a look at all bins costs one look per distinct pair.
+    """
+
+    def __init__(self, sequence: int):
+        self.sequence, self.width = sequence, sequence + 1
+        self.held: tuple[dict[int, int], dict[int, int]] = ({}, {})
+        self.sorted: list[np.ndarray | None] = [None, None]
+
+    def _keys(self, fill: int, sums) -> list[int]:
+        at = (self.sequence - fill) * self.width
+        return [at + n for n in sums]
+
+    def change(self, fill: int, sums: tuple, by: int) -> None:
+        """Count a bin in (+1) or out (-1); ``sums`` are its (one or no piece, two pieces)."""
+        for kind, held in enumerate(self.held):
+            for key in self._keys(fill, sums[kind]):
+                n = held.get(key, 0) + by
+                if n == 0:
+                    del held[key]
+                    self.sorted[kind] = None
+                else:
+                    if n == by:
+                        self.sorted[kind] = None
+                    held[key] = n
+
+    def best(self, fill: int, outs: tuple, own: tuple) -> tuple[int, int, int, int]:
+        """(gain, room, kind, sum) of the largest step that a bin of ``fill`` has into another at least as full.
+
+        ``outs`` are the source's sums that are offered for one or no piece, and for two; ``own`` are the sums that
+        :meth:`change` counted for the source itself.
+        """
+        best = (0, 0, 0, 0)
+        for kind, held in enumerate(self.held):
+            if self.sorted[kind] is None:
+                self.sorted[kind] = np.sort(np.fromiter(held, np.int64, len(held)))
+            keys = self.sorted[kind]
+            keys = keys[:np.searchsorted(keys, (self.sequence - fill + 1) * self.width)]  # at least as full
+            if not len(keys) or not len(outs[kind]):
+                continue
+            most = np.zeros(2 * self.width, np.int64)  # the largest sum up to a bound
+            most[list(outs[kind])] = list(outs[kind])
+            most = np.maximum.accumulate(most)
+            room, back = np.divmod(keys, self.width)
+            gain = most[room + back] - back
+            alone = [k for k in self._keys(fill, own[kind]) if held[k] == 1]
+            gain[np.searchsorted(keys, alone)] = 0
+            at = int(gain.argmax())
+            if gain[at] > best[0]:
+                best = (int(gain[at]), int(room[at]), kind, int(back[at]))
+        return best
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, sequence: int, partners: int = PARTNERS) -> list[list[int]]:
     """Drain the emptiest bins into the others by moves and exchanges that raise the sum of squared fills.
 
     Each round empties pieces out of the emptiest underfull bin (``source``).  For a partner bin with room r,
     a step takes more tokens out of the source than it returns, at most r more:
     a move returns nothing, a one-for-one exchange returns one shorter piece, a two-for-one exchange returns one piece for
-    two, or two for one.  A bin from which no step is possible is settled and leaves the search.
+    two, or two for one.  A bin from which no step is possible is settled.  Settled bins are looked at again after any
+    later step, so that at the end no bin has a step left.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
@@ -146,7 +203,40 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, sequence: int, part
                     best = (out - back, one.get(out) or two[out], returned)
         return best
 
-    while waiting and n_bins > least:
+    index: _Partners | None = None  # made when the first partners allow no step for the first time
+
+    def sums_of(b: int) -> tuple:
+        _, one, two = choices(b)
+        return (0, *one), two
+
+    def count(b: int, by: int) -> None:
+        if index is not None and bins[b] and fill[b] < sequence:
+            index.change(fill[b], sums_of(b), by)
+
+    def widest(source: int):
+        """The best step into any bin at least as full, or None."""
+        nonlocal index
+        if index is None:
+            index = _Partners(sequence)
+            for _, b in by_fill:
+                count(b, 1)
+        sums, one, _ = choices(source)
+        gain, room, kind, back = index.best(fill[source], (sums, tuple(one)), sums_of(source))
+        if not gain:
+            return None
+        full = sequence - room
+        for at in range(bisect_left(by_fill, (full, -1)), len(by_fill)):
+            target = by_fill[at][1]
+            if target != source and back in sums_of(target)[kind]:
+                return target, best_step(source, target)
+
+    stepped = False
+    while n_bins > least:
+        if not waiting:
+            if not stepped:
+                break
+            stepped = False  # settled bins may have a step into those that changed since
+            waiting = list(by_fill)
         held, source = heapq.heappop(waiting)
         if held != fill[source] or not bins[source] or fill[source] == sequence:
             continue
@@ -165,16 +255,21 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, sequence: int, part
                     found = (target, step)
                     if step[0] == sequence - full:
                         break
+            if found is None:
+                found = widest(source)
             if found is None:
                 break
+            stepped = True
             target, (gain, out, back) = found
             for b, gone, got, change in ((source, out, back, -gain), (target, back, out, gain)):
                 by_fill.pop(bisect_left(by_fill, (fill[b], b)))
+                count(b, -1)
                 bins[b] = [i for i in bins[b] if i not in gone] + list(got)
                 seen.pop(b, None)
                 fill[b] += change
                 if bins[b] and fill[b] < sequence:
                     insort(by_fill, (fill[b], b))
+                    count(b, 1)
             if fill[target] < sequence:
                 heapq.heappush(waiting, (fill[target], target))
         if not bins[source]:

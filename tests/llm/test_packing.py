@@ -72,6 +72,40 @@ def test_local_search_empties_bins():
     assert saved > 0
 
 
+def has_step(bins, lengths, sequence):
+    """Whether an underfull bin can give another, at least as full, more tokens than it takes back (two pieces for one at most)."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    held = [[int(lengths[i]) for i in b] for b in bins]
+    one = [{0, *h} for h in held]
+    two = [{x + y for i, x in enumerate(h) for y in h[:i]} for h in held]
+    for s in range(len(bins)):
+        for t in range(len(bins)):
+            if s != t and fill[s] <= fill[t] < sequence:
+                pairs = [(out, back) for out in one[s] | two[s] for back in one[t]] + [(out, back) for out in one[s] for back in two[t]]
+                if any(0 < out - back <= sequence - fill[t] for out, back in pairs):
+                    return True
+    return False
+
+
+def test_bins_beyond_the_first_partners_are_tried():
+    # 70 bins with a room of 1 allow no step; the next fullest bin has room for the piece.
+    lengths = np.array([33, 33, 33] * 70 + [60, 30])
+    start = [[3 * b, 3 * b + 1, 3 * b + 2] for b in range(70)] + [[210], [211]]
+    assert len(packing.local_search(start, lengths, 100)) == 71
+
+
+def test_no_step_is_left():
+    rnd = random.Random(5)
+    for kind in range(40):
+        few = [rnd.randrange(20, 60) for _ in range(rnd.choice([2, 3, 5]))]
+        lengths = np.array([rnd.choice(few) if kind % 2 else rnd.randrange(15, 70) for _ in range(rnd.randrange(100, 260))])
+        start = [[i] for i in range(len(lengths))] if kind % 4 < 2 else packing.best_fit(lengths, 100)
+        end = packing.local_search(start, lengths, 100, partners=rnd.choice([1, 4, 64]))
+        assert sorted(i for b in end for i in b) == list(range(len(lengths)))
+        assert all(lengths[b].sum() <= 100 for b in end)
+        assert len(end) == -(-lengths.sum() // 100) or not has_step(end, lengths, 100)
+
+
 def test_many_tiny_pieces_stay_quick():
     for lengths in (np.full(40_000, 5), np.array([700, 5, 3] * 8_000), np.full(40_000, 1), np.arange(40_000) % 45 + 1, np.full(20_000, 300)):
         start = time.monotonic()

@@ -5,8 +5,8 @@ State.
   document is inserted, -1 when it is deleted.  A key's reference count is the number of live documents that hold
   it.  Batches are folders; committing a batch again replaces it, so a repeated commit changes nothing.
 * ``filters``: one cuckoo filter per shard of the key space, over the keys held by ``min_docs`` documents or more.
-  A filter takes insertions (a key reaches the count) and deletions (it falls below), so the state after
-  deleting a document is the state without it.
+  They are not kept between batches: each ``clean`` recounts all references and builds the filters anew, so its
+  cost grows with all history.  ``update_filters`` can change stored filters, but ``LineStore`` doesn't call it.
 
 Dropping.  The lines' keys stream past their shard's filter, which lets the keys pass that may be repeated; only
 these meet the exact counts, which decide.  A filter's false positives therefore change nothing, and it has no

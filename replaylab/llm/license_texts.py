@@ -1,4 +1,7 @@
-"""Known licence texts (fixed values), as published, by SPDX id."""
+"""Known licence texts (fixed values), as published, by SPDX id: 0BSD, Apache-2.0-notice, BSD-2-Clause, BSD-3-Clause, ISC, MIT, MIT-0, Unlicense, WTFPL, Zlib.
+
+Other licences, the full texts of Apache-2.0, GPL, LGPL, AGPL, MPL-2.0, EPL and CC0 among them, are not in the list.
+"""
 
 _AS_IS_BSD = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT

@@ -43,8 +43,8 @@ def read_export_stream(spark: SparkSession, directory: str, max_files_per_trigge
 
 
 def ingest_stream(spark: SparkSession, directory: str, **kw) -> DataFrame:
-    """A streaming ``history`` frame of the good plays (see :func:`ingest_to_store` for the whole job)."""
-    return normalize(split_problems(read_export_stream(spark, directory, **kw))[0])
+    """A streaming ``history`` frame of the good plays with its UTC ``year`` (see :func:`ingest_to_store` for the whole job)."""
+    return normalize(split_problems(read_export_stream(spark, directory, **kw))[0]).withColumn("year", X.year("ts"))
 
 
 def _run_batches(df: DataFrame, checkpoint: str, write) -> None:

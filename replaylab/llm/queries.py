@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replaylab.llm import ann, bpe, chat, licenses, line_dedup, packing, quality, rollups, simhash, warc
+from replaylab.llm import ann, bpe, chat, cyk, importance, language, licenses, line_dedup, packing, quality, rollups, simhash, warc
 from replaylab.llm._common import scratch, stored, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -89,9 +89,26 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.knn(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight towards the benchmark texts, and the drawn documents' ranks."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a fixed rule, with its faults counted and its cheapest repair."""
+    return cyk.digests(cyk.damage(table(spark, sf_dir, "conversations")), table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc, op2_bpe, op3_quality, op4_licenses, op5_simhash, op6_chat, op7_token_counts, op8_line_dedup,
-                            op9_packing, op10_ann)
+                            op9_packing, op10_ann, op11_importance, op12_language, op13_repair)
 }
 
 _BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"

@@ -120,9 +120,13 @@ def sample(df: DataFrame, sample_rows: int, text: str, lang: str, key: str) -> D
     """(lang, text) of at most ``sample_rows`` training rows a language, chosen by hash."""
     usable = df.where(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(12)).alias("h"))
-    # First a share of the rows that is somewhat too large, so that few texts are sorted and shuffled.
-    share = usable.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), (F.lit(2.0 * sample_rows + 100) / F.col("n")).alias("share"))
-    rows = usable.join(share, usable.lang == share.l).where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share"))
+    # First a share of the rows that is somewhat too large, so that few texts are sorted and shuffled.  The driver holds one number
+    # a language here, as the model holds weights for each.
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return usable.select("lang", "text")
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, (2.0 * sample_rows + 100) / r.n)))
+    rows = usable.where((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.element_at(shares, F.col("lang")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return rows.withColumn("nth", nth).where(F.col("nth") <= sample_rows).select("lang", "text")
 

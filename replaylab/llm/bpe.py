@@ -282,6 +282,34 @@ class LibraryBPE(TrieBPE):
             self._cache[w] = struct.pack(f"={len(ids)}i", *ids)
 
 
+class RankBPE(LibraryBPE):
+    """The same ids for byte-level files, from whole texts by rank merging (tiktoken), without a cache of words.
+
+    Used for texts of plain letters, where word splitting agrees, and for files whose token ids follow the order of merges;
+    any other text or file goes the way of :class:`LibraryBPE`.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        super().__init__(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        born = sorted(self._merges.born.items(), key=lambda x: x[1])
+        in_order = all(a[0] < b[0] for a, b in zip(born, born[1:])) and (not born or born[0][0] >= len(_LETTER))
+        self._ranks = None
+        if in_order and not self._lower and not model.get("end_of_word_suffix"):
+            ranks = {bytes(_BYTE[c] for c in t): i for t, i in model["vocab"].items() if t not in self._special}
+            self._ranks = tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens=self._special)
+
+    def encode_batch(self, texts: Sequence[str]) -> list[np.ndarray]:
+        if self._ranks is None:
+            return super().encode_batch(texts)
+        others = [i for i, t in enumerate(texts) if _NOT_PLAIN.search(t)]
+        found = dict(zip(others, super().encode_batch([texts[i] for i in others]))) if others else {}
+        return [found[i] if i in found else self._ranks.encode_to_numpy(t, allowed_special="all").view(np.int32) for i, t in enumerate(texts)]
+
+
 #: Fixed value: the byte-level splitter's published word pattern.
 _BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -55,7 +55,7 @@ def pieces(df: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.load(tokenizer_path, bpe.LibraryBPE)
+        tok = bpe.load(tokenizer_path, bpe.RankBPE)
         for batch in slices(batches, text):
             rows, found = [], []
             for i, ids in enumerate(tok.encode_batch([t or "" for t in batch.column(text).to_pylist()])):

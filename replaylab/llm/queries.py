@@ -58,7 +58,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     those that stay are revised to include an end id.  The second batch is committed twice, which changes nothing.
     """
     docs = table(spark, sf_dir, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    counts = stored(bpe.encode(docs, BYTE_BPE, keep=("doc_id", "source", "lang", "digest"), with_ids=False, kind=bpe.LibraryBPE)
+    counts = stored(bpe.encode(docs, BYTE_BPE, keep=("doc_id", "source", "lang", "digest"), with_ids=False, kind=bpe.RankBPE)
                     .withColumn("tokenizer", F.lit("byte_bpe_50k")), "token-counts")
     # Stored, so that the join stands alone and Spark can split a text that a third of all rows share.
     first = stored(counts.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "token-first")

@@ -28,7 +28,7 @@ def odd_texts():
     return texts + ["".join(rnd.choice("aab ") for _ in range(80)) for _ in range(100)]
 
 
-@pytest.mark.parametrize("kind", [bpe.TrieBPE, bpe.LibraryBPE])
+@pytest.mark.parametrize("kind", [bpe.TrieBPE, bpe.LibraryBPE, bpe.RankBPE])
 @pytest.mark.parametrize("name", FILES)
 def test_same_as_library(name, kind):
     tok, mine, texts = library(name), kind(P.path(name)), odd_texts()

@@ -74,6 +74,20 @@ def a08_history_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip_agg(HS.load_history(spark, path))
 
 
+@register_raw("a08_compaction", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
+def a08_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plays as several uploads, compacted; one upload written again before and one after; loaded back, aggregated."""
+    whole, path = _store_path(spark, "a08-whole"), _store_path(spark, "a08-compaction")
+    HS.append_history(plays(spark, sf_dir), whole)
+    h = HS.load_history(spark, whole)
+    part = lambda i: h.where(F.pmod(F.xxhash64("username", "ts"), F.lit(4)) == i)
+    for i in (0, 1, 2, 3, 1):
+        HS.append_history(part(i), path, f"upload-{i}")
+    HS.compact(spark, path)
+    HS.append_history(part(2), path, "upload-2")
+    return _roundtrip_agg(HS.load_history(spark, path))
+
+
 @register_raw("a01_export_json_roundtrip", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
 def a01_export_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plays written as export JSON arrays, then scanned and normalised."""
@@ -90,9 +104,7 @@ def a09_ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _store_path(spark, "a09")
     HS.append_history(plays(spark, sf_dir), path)
     HS.append_history(event_plays(spark, sf_dir), path)
-    files = HS.load_history(spark, path).select(F.input_file_name().alias("f"))
-    uploads = files.select(F.regexp_extract("f", "upload=([^/]+)", 1)).distinct().count()
-    return HS.ingest_report(spark, path, files_processed=uploads)
+    return HS.ingest_report(spark, path, files_processed=HS.uploads(spark, path).count())
 
 
 @register_raw("a11_concat_parts", f"""

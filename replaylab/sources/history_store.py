@@ -1,13 +1,17 @@
-"""The stored ``history`` table (A08-A10): Parquet, one folder per upload, partitioned by UTC year.
+"""The stored ``history`` table (A08-A10): Parquet, partitioned by UTC year, published by marker.
 
-    <store>/upload=<id>/year=YYYY/part-*.parquet     (undated rows: the null year)
+    <store>/attempt=<random>/year=YYYY/part-*.parquet     (undated rows: the null year)
+    <store>/_live/                                        which attempt holds an upload's live rows
 
 Every write, batch or stream, goes through :func:`append_history` into a folder
-of its own: an upload id that is written again replaces its own folder and
-nothing else, so a retried batch adds nothing.  No streaming sink log ever
-arises in the store (readers would see only the files in that log), and a
-folder that has one is refused.  ``date_range`` and ``year_filter`` add the
-``year`` range that a ``ts`` range implies, which prunes whole folders.
+of its own and becomes visible with one small marker (``published``): an upload
+id that is written again replaces that upload and nothing else, so a retried
+batch adds nothing, and a write that dies on the way loses nothing.
+:func:`compact` rewrites many small uploads into few files per year.  No
+streaming sink log ever arises in the store (readers would see only the files
+in that log), and a folder that has one is refused.  ``date_range`` and
+``year_filter`` add the ``year`` range that a ``ts`` range implies, which prunes
+whole folders.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import types as T
 
 from replaylab.functions import expr as X
 from replaylab.schema import HISTORY, HISTORY_COLUMNS
+from replaylab.sources import published
 
 
 class HistoryNotFound(FileNotFoundError):
@@ -31,7 +36,8 @@ class NotAHistoryStore(ValueError):
     """The folder is written by a streaming file sink, whose log hides all other files."""
 
 
-STORED = T.StructType([*HISTORY.fields, T.StructField("upload", T.StringType(), True), T.StructField("year", T.IntegerType(), True)])
+YEAR = T.StructType([T.StructField("year", T.IntegerType(), True)])
+CLUSTER_BY = ("username", "ts")
 
 
 def refuse_sink_log(spark: SparkSession, path: str) -> None:
@@ -44,7 +50,7 @@ def refuse_sink_log(spark: SparkSession, path: str) -> None:
 
 
 def append_history(df: DataFrame, path: str, upload_id: str | None = None, rebalance: bool = True,
-                   cluster_by: tuple[str, ...] = ("username", "ts")) -> str:
+                   cluster_by: tuple[str, ...] = CLUSTER_BY) -> str:
     """Create-if-absent and append normalised rows, partitioned by the UTC year of ``ts``.
 
     Returns the upload's id (a new one if none is given).  Writing the same id
@@ -68,23 +74,38 @@ def append_history(df: DataFrame, path: str, upload_id: str | None = None, rebal
         # Parquet min/max statistics on username let a one-listener filter skip
         # every other listener's row groups.
         out = out.sortWithinPartitions("year", *cluster_by)
-    out.write.mode("overwrite").partitionBy("year").parquet(f"{path.rstrip('/')}/upload={upload_id}")
+    published.publish(out, path, upload_id, ("year",), "upload")
     return upload_id
 
 
 def load_history(spark: SparkSession, path: str, without_upload: str | None = None) -> DataFrame:
     """A10: the stored table with its fixed schema, or :class:`HistoryNotFound`."""
     refuse_sink_log(spark, path)
-    try:
-        df = spark.read.schema(STORED).parquet(path)
-        df.limit(0).collect()  # resolve the path now: a clear error instead of a late one
-    except AnalysisException as e:
-        raise HistoryNotFound(f"{path}: no history stored here yet (append an upload first)") from e
+    df = published.read(spark, path, HISTORY, YEAR, "upload")
+    if df is None:
+        raise HistoryNotFound(f"{path}: no history stored here yet (append an upload first)")
     if without_upload is not None:
         df = df.where(F.col("upload") != without_upload)
     return df.select(*HISTORY_COLUMNS, "year")
 
 
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """(upload, attempt): the live uploads and the folder that holds each."""
+    found = published.marks(spark, path)
+    if found is None:
+        raise HistoryNotFound(f"{path}: no history stored here yet (append an upload first)")
+    return published.live(found).select(F.col("unit").alias("upload"), "attempt")
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Rewrite all live uploads into one folder with few files per year; returns the number of uploads.
+
+    Uploads keep their ids, so one that is written again later still replaces its own rows only.
+    """
+    refuse_sink_log(spark, path)
+    return published.compact(spark, path, HISTORY, YEAR, "upload", CLUSTER_BY)
+
+
 def ingest_report(spark: SparkSession, path: str, files_processed: int) -> DataFrame:
     """Files processed in this upload and the total rows now in the table."""
     total = load_history(spark, path).agg(F.count(F.lit(1)).alias("total_rows"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from replaylab.session import checkpoint_dir
+from replaylab.session import scratch_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder (never machine-local on a cluster)."""
-    return f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder (never machine-local on a cluster); ``release_scratch`` deletes it."""
+    return scratch_folder(spark, f"llm-{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +47,9 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 4 << 2
             yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

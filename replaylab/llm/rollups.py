@@ -3,8 +3,8 @@
 Method.  Totals by source, language and tokenizer version are never recomputed: each batch of changes is summed into signed
 deltas (an insert adds a document and its tokens, a delete takes them away, a revised count adds the difference), and totals
 are the sum of all committed batches.  Additive sums are combined map-side, so a source with a third of all rows costs
-one row per task.  A batch is one folder named by its id, written as a whole: committing a batch again replaces its folder, so a
-retry, or a batch that is delivered twice, changes nothing.
+one row per task.  A batch is published by marker: committing a batch again replaces it, so a retry, or a batch that is
+delivered twice, changes nothing, and one that dies on the way is never seen.  ``compact`` folds many batches' files into few.
 
 Defined results: null sources, languages and tokenizers are groups of their own.  Null counts count zero tokens.  Repeated rows are
 changes of their own.  An unknown kind of change is an error.  Groups whose documents and tokens are all zero again are left
@@ -13,10 +13,12 @@ out of the totals.  Extra columns are not read, whatever their names.  Empty bat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from replaylab.sources import published
 
 GROUP = ("source", "lang", "tokenizer")
-_DELTAS = "batch string, source string, lang string, tokenizer string, n_docs long, n_tokens long"
+_DELTAS = T.StructType([*(T.StructField(c, T.StringType()) for c in GROUP), *(T.StructField(c, T.LongType()) for c in ("n_docs", "n_tokens"))])
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -56,10 +58,17 @@ class TokenRollup:
         """Add one batch of changes; the same batch id again replaces that batch."""
         if not batch_id or not all(c.isalnum() or c in "-_." for c in batch_id):
             raise ValueError(f"bad batch id {batch_id!r}")
-        signed(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        deltas = signed(changes).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in _DELTAS))
+        published.publish(deltas, self.path, batch_id, column="batch")
+
+    def compact(self) -> int:
+        """Rewrite all batches' deltas into few files; batches keep their ids."""
+        return published.compact(self.spark, self.path, _DELTAS, column="batch")
 
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        deltas = self.spark.read.schema(_DELTAS).option("pathGlobFilter", "*.parquet").parquet(self.path)
+        """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; none before the first."""
+        deltas = published.read(self.spark, self.path, _DELTAS, column="batch")
+        if deltas is None:
+            deltas = self.spark.createDataFrame([], _DELTAS)
         return (deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
                 .where("n_docs != 0 or n_tokens != 0"))

@@ -16,7 +16,7 @@ Method.
 
 Defined results: a null or empty text (no word) has fingerprint zero and links like any other.  Repeated
 rows give one row each.  A null ``doc_id`` keeps its row and is never the id of a component unless the
-whole component has none.  Other columns are not read, whatever their names.  An empty table gives none.
+whole component has none; such rows are kept or dropped like any other.  Other columns are not read, whatever their names.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from replaylab.llm._common import slices, stored, utf8_rows
+from replaylab.llm._common import slices, stored, unused, utf8_rows
 from replaylab.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -191,22 +191,39 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) ->
             return found.distinct()
 
 
+def _by_component(docs: DataFrame, least: Column, max_bits: int) -> DataFrame:
+    """(fp, least): per distinct fingerprint of stored ``docs`` the smallest ``least`` of its whole component. Stored."""
+    classes = stored(docs.groupBy("fp").agg(F.min(least).alias("least")), "simhash-classes")
+    linked = components(links(classes.select("fp"), max_bits), "simhash-links")
+    named = linked.join(classes, linked.node == classes.fp).select("node", "root", "least")
+    smallest = named.groupBy("root").agg(F.min("least").alias("smallest"))
+    joined = named.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
+    # Stored, so that a join with it stands alone and Spark can split a fingerprint that a third of all rows share.
+    return stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("least")), "simhash-whole")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle_words: int = SHINGLE_WORDS,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """(``key``, fingerprint, component_id) for every row: the smallest ``key`` reachable over links."""
     docs = stored(fingerprints(df, text, key, shingle_words), "simhash")
-    classes = stored(docs.groupBy("fp").agg(F.min(key).alias("least")), "simhash-classes")
-    linked = components(links(classes.select("fp"), max_bits), "simhash-links")
-    named = linked.join(classes, linked.node == classes.fp).select("node", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    # Stored, so that the join below stands alone and Spark can split a fingerprint that a third of all rows share.
-    whole = stored(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-whole")
-    return docs.join(whole, "fp", "left").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def kept_documents(df: DataFrame, **options) -> DataFrame:
-    """Rows of ``df`` without the near copies: each component's smallest ``doc_id`` stays, and rows without one."""
-    found = near_duplicates(df, **options)
-    drop = found.where("doc_id != component_id").select("doc_id").distinct()
-    return df.join(drop, "doc_id", "left_anti")
+    whole = _by_component(docs, F.col(key), max_bits)
+    return docs.join(whole, "fp", "left").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def kept_documents(df: DataFrame, text: str = "text", key: str = "doc_id", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """Rows of ``df`` without the near copies: of each component just one row stays, that with the smallest ``key`` (nulls last).
+
+    Rows are numbered first, so ids that repeat or are missing neither lose a component's only row nor keep two of it.
+    """
+    fp, row = (unused(df, name) for name in ("simhash_fp", "simhash_row"))
+    schema = T.StructType([*df.schema.fields, T.StructField(fp, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            fps = np.array([fingerprint(t, shingle_words) for t in utf8_rows(batch.column(text))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=schema.names)
+
+    rows = stored(df.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    docs = rows.select(F.col(fp).alias("fp"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row")).alias("who"))
+    keepers = _by_component(docs, F.col("who"), max_bits).select(F.col("least.row").alias(row)).distinct()
+    return rows.join(keepers, row, "left_semi").select(df.columns)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from replaylab.llm import line_dedup, queries
 from replaylab.llm._common import scratch
@@ -74,30 +75,68 @@ def test_many_shards_and_salts(make_docs, monkeypatch):
     assert sorted(rows) == brute(docs)
 
 
+def shards_of(store):
+    return {r.shard: r.filter for r in store.filters().collect()}
+
+
+def marks(found):
+    """All marks held by filters, whatever their places."""
+    held = [CuckooFilter.from_bytes(bytes(f)).slots for f in found.values()]
+    return sorted(np.sort(s[s > 0]).tolist() for s in held if s.any())
+
+
 def test_store_is_incremental_and_reversible(spark, make_docs):
     first = [(i, f"common line for everybody here\nown line of document {i} is this") for i in range(4)]
     second = [(10 + i, "common line for everybody here\nanother shared line of the batch") for i in range(3)]
     store = line_dedup.LineStore(spark, scratch(spark, "store"))
-    store.commit("a", make_docs(first), 1)
-    before = sorted(map(tuple, store.repeated().collect()))
-    filters = line_dedup.build_filters(store.repeated(), 2)
-    store.commit("b", make_docs(second), 1)
-    store.commit("b", make_docs(second), 1)  # once more: no change
+    nothing = store.clean(make_docs(first))
+    assert sorted((r.doc_id, r.text) for r in nothing.collect()) == first
+    assert store.commit("a", make_docs(first), 1)
+    before, filters = sorted(map(tuple, store.repeated().collect())), shards_of(store)
+    assert len(filters) == 1 and [r[1] for r in before] == [4]
+    assert store.commit("b", make_docs(second), 1)
+    assert not store.commit("b", make_docs(second), 1)  # once more: no change
     assert sorted(r.n_docs for r in store.repeated().collect()) == [3, 7]
-    cleaned = store.clean(make_docs(first + second))
-    assert sorted((r.doc_id, r.text) for r in cleaned.collect()) == sorted((d, t) for d, _, _, t in brute(first + second))
-    grown = store.repeated()
-    new = grown.join(spark.createDataFrame([(r[0],) for r in before], "line binary"), "line", "left_anti")
-    changes = new.selectExpr("line", "1 as sign")
-    filters_after = line_dedup.update_filters(filters, changes, grown, 2).cache()
-    refs = store.references()
-    assert line_dedup.maybe_repeated(refs, filters_after, 2).select("line").distinct().count() >= 2
-    store.commit("c", make_docs(second), -1)
+    grown = shards_of(store)
+    touched = {s for s in grown if grown[s] != filters.get(s)}
+    lines = store.repeated().select(line_dedup._shard(store.n_shards).alias("shard"), "n_docs").collect()
+    assert touched == {r.shard for r in lines if r.n_docs == 3}  # the line that was repeated before moved no filter
+    for _ in range(2):
+        cleaned = store.clean(make_docs(first + second))
+        assert sorted((r.doc_id, r.text) for r in cleaned.collect()) == sorted((d, t) for d, _, _, t in brute(first + second))
+        store.compact()
+    assert store.commit("c", make_docs(second), -1)
     assert sorted(map(tuple, store.repeated().collect())) == before
-    back = line_dedup.update_filters(filters_after, changes.selectExpr("line", "-1 as sign"), store.repeated(), 2)
-    marks = lambda f: sorted(np.sort(CuckooFilter.from_bytes(r.filter).slots[CuckooFilter.from_bytes(r.filter).slots > 0]).tolist()
-                             for r in f.collect() if CuckooFilter.from_bytes(r.filter).slots.any())
-    assert marks(back) == marks(filters)
+    assert marks(shards_of(store)) == marks(filters)
+    assert store.commit("d", make_docs(first), -1) and store.repeated().count() == 0 and marks(shards_of(store)) == []
+
+
+def test_store_after_a_commit_that_died(spark, make_docs, monkeypatch):
+    docs = [(i, f"common line for everybody here\nown line of document {i} is this") for i in range(4)]
+    store = line_dedup.LineStore(spark, scratch(spark, "store"))
+    publish = line_dedup.published.publish
+
+    def dies(df, path, *args, **kw):
+        if path.endswith("/counts"):
+            raise OSError("lost")
+        publish(df, path, *args, **kw)
+
+    monkeypatch.setattr(line_dedup.published, "publish", dies)
+    with pytest.raises(OSError):
+        store.commit("a", make_docs(docs), 1)
+    assert store.repeated().count() == 0 and store.batches() == set()
+    assert sorted((r.doc_id, r.text) for r in store.clean(make_docs(docs)).collect()) == docs
+    monkeypatch.setattr(line_dedup.published, "publish", publish)
+    assert store.commit("a", make_docs(docs), 1)
+    assert sorted((r.doc_id, r.text) for r in store.clean(make_docs(docs)).collect()) == sorted((d, t) for d, _, _, t in brute(docs))
+
+
+def test_clashing_names_and_rows_without_ids(spark, make_docs):
+    docs = [(None, f"a line that all of these hold\nown words of the row number {i}") for i in range(40)] + [(1, "a line that all of these hold")]
+    df = make_docs(docs).withColumnRenamed("component_id", "line_dedup")
+    got = line_dedup.dedup(df)
+    assert got.columns == [*df.columns, "line_dedup_"] and {r.line_dedup for r in got.collect()} == {-1}
+    assert sorted(r.text for r in got.collect()) == sorted(t for _, _, _, t in brute(docs))
 
 
 def test_cuckoo_filter():

@@ -96,3 +96,16 @@ def test_differences_lead_from_old_to_new(spark):
         want[s, lang, t][0] += 1
         want[s, lang, t][1] += n
     assert totals(store) == {k: tuple(v) for k, v in want.items()}
+
+
+def test_new_store_half_written_batch_and_compaction(spark):
+    store = rollups.TokenRollup(spark, scratch(spark, "t"))
+    assert totals(store) == {}
+    for i in range(6):
+        store.commit(f"b{i}", frame(spark, [("insert", "a", "en", "v", i, None)]))
+    # Died before its marker: rows without one, and an attempt of a committed batch.
+    rollups.signed(frame(spark, [("insert", "a", "en", "v", 99, None)])).selectExpr("*", "'b3' as batch").write.parquet(f"{store.path}/attempt=dead")
+    assert totals(store) == {("a", "en", "v"): (6, 15)}
+    assert store.compact() == 6 and totals(store) == {("a", "en", "v"): (6, 15)}
+    store.commit("b3", frame(spark, [("insert", "a", "en", "v", 10, None)]))
+    assert totals(store) == {("a", "en", "v"): (6, 22)}

@@ -79,4 +79,12 @@ def test_edge_rows(make_docs):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     kept = simhash.kept_documents(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.where(F.col("doc_id").isNotNull()).collect()) == [4, 6, 8, 8]
+    assert sorted(r.doc_id for r in kept.where(F.col("doc_id").isNotNull()).collect()) == [4, 6, 8]
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(make_docs):
+    a, b, c = ("alpha beta gamma delta epsilon " * 9, "one two three four five six seven " * 9, "red green blue white black " * 9)
+    kept = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.kept_documents(make_docs(rows)).collect())
+    assert kept([(1, a), (2, a), (1, b), (0, b)]) == [(False, 0, b), (False, 1, a)]
+    assert kept([(8, a), (8, a), (None, b), (None, b), (None, c), (5, c)]) == [(False, 5, c), (False, 8, a), (True, 0, b)]
+    assert kept([]) == []

@@ -178,6 +178,14 @@ def a01_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, max_whole_bytes=8 << 20)))
 
 
+@register_raw("a01_large_array", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
+def a01_large_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays written as one-line JSON arrays, every file read as a large one, split at closing braces."""
+    path = _store_path(spark, "a01-large-array")
+    write_export(plays(spark, sf_dir), path, rows_per_file=50_000)
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob="*.txt", max_whole_bytes=0)))
+
+
 @register_raw("a07_private_keys", f"""
 WITH history AS ({EVENT_PLAYS_SQL})
 SELECT username, count(*) AS plays, 0 AS private_columns FROM history GROUP BY username""")

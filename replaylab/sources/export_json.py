@@ -12,9 +12,8 @@ keys only:
   NULL, never an error (A05).
 
 A file of up to ``MAX_WHOLE_BYTES`` is read whole, as one row: exports are
-tens of MB, and an array does not split.  Larger files are read by lines,
-which split: newline-delimited objects, or an array whose lines hold one or
-more whole objects (an array on one line is one row, however large).
+tens of MB.  Larger files are split at closing braces, whatever their layout
+(``large_export``): the limit is a choice of speed and changes no play.
 What can't be parsed is never lost without a word: a strict read fails with
 the file's name, any other read returns it as rows with ``problem`` set
 (:func:`split_problems`).
@@ -94,7 +93,24 @@ def _rows(elements: Column) -> Column:
                                                  F.when(r["play"].isNull(), r["text"]).alias("problem")))
 
 
-def parse_export_text(text: DataFrame, by_line: bool = False) -> DataFrame:
+def _braces(inner: str) -> str:
+    """A pattern for a JSON object whose nested objects match ``inner``; it never tries a text twice."""
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    return r"\{[^{}\"]*+(?:(?:" + string + inner + r')[^{}"]*+)*+\}'
+
+
+#: Whole objects inside a text that isn't one value, with objects in them up to three levels deep.
+OBJECTS = "(?s)" + _braces("|" + _braces("|" + _braces("|" + _braces(""))))
+
+
+def salvaged(body: Column) -> Column:
+    """A damaged text -> (play, problem) structs: its whole objects as far as they parse, then all the rest of it as one problem."""
+    found = F.regexp_extract_all(body, F.lit(OBJECTS), F.lit(0))
+    rest = F.regexp_replace(body, OBJECTS, "")
+    return F.concat(_rows(found), F.array(F.struct(F.lit(None).cast(RAW).alias("play"), rest.alias("problem")))).cast(T.ArrayType(_ROW))
+
+
+def parse_export_text(text: DataFrame) -> DataFrame:
     """Text rows (``value``) -> one (file_name, problem, RAW columns...) row per play or problem.
 
     ``from_json`` with an array-of-RAW schema, then ``explode``: parsing a
@@ -103,21 +119,17 @@ def parse_export_text(text: DataFrame, by_line: bool = False) -> DataFrame:
     all-string RAW schema).  Only an array that this can't take as a whole is
     parsed again element by element, so one bad element costs no good one.
     A text that begins with an object is read line by line.  An empty text or
-    array gives no rows.  ``by_line`` rows are single lines of a large file.
-    A line may hold any number of objects, with commas between them.
+    array gives no rows.  A damaged text, such as a truncated array, gives its
+    whole objects, and all the rest of it as one problem.
     """
     value = F.trim(F.regexp_replace("value", "^\\uFEFF", ""))
     value = F.regexp_replace(value, r"^\s+|\s+$", "")
-    if by_line:
-        # Objects of one line; an array's brackets and commas around them are left out.
-        bodies = F.array(F.regexp_replace(F.regexp_replace(value, r"^[\[,]?\s*", ""), r"\s*[,\]]?$", ""))
-    else:
-        lines = F.transform(F.split(value, r"\r?\n"), lambda x: F.regexp_replace(x, r"\s*,?\s*$", ""))
-        bodies = (
-            F.when(value.rlike(_OBJECT), lines)
-            .when(value.startswith("[") & value.endswith("]"), F.array(F.substring(value, F.lit(2), F.length(value) - 2)))
-            .otherwise(F.array(value))
-        )
+    lines = F.transform(F.split(value, r"\r?\n"), lambda x: F.regexp_replace(x, r"\s*,?\s*$", ""))
+    bodies = (
+        F.when(value.rlike(_OBJECT), lines)
+        .when(value.startswith("[") & value.endswith("]"), F.array(F.substring(value, F.lit(2), F.length(value) - 2)))
+        .otherwise(F.array(value))
+    )
     listed = text.select(F.col("_metadata.file_name").alias("file_name"), F.explode(bodies).alias("body")).where(F.col("body").rlike(r"\S"))
     body = F.col("body")
     # Columns of their own, so that each text is parsed once.
@@ -130,7 +142,7 @@ def parse_export_text(text: DataFrame, by_line: bool = False) -> DataFrame:
     rows = (
         F.when(F.col("clean"), F.transform(plays, lambda p: F.struct(_fields(p).alias("play"), F.lit(None).cast("string").alias("problem"))))
         .when(F.try_element_at("elements", F.lit(-1)).eqNullSafe(_mark(body)), _rows(texts))
-        .otherwise(F.array(F.struct(F.lit(None).cast(RAW).alias("play"), F.substring(body, 1, 1000).alias("problem"))).cast(T.ArrayType(_ROW)))
+        .otherwise(salvaged(body))
     )
     named = listed.select("file_name", F.explode(rows).alias("r"))
     return named.select("file_name", F.col("r.problem").alias("problem"), "r.play.*")
@@ -149,14 +161,21 @@ def read_parsed(spark: SparkSession, paths: Sequence[str] | str, audio_only: boo
 
     def files(whole: bool) -> DataFrame:
         reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
-        # wholetext must be the text() argument: text() resets the option otherwise.
-        text = reader.text(paths, wholetext=whole)
+        # wholetext and lineSep must be text() arguments: text() resets the options otherwise.
+        text = reader.text(paths, wholetext=True) if whole else reader.text(paths, lineSep="}")
         if audio_only:
             text = text.where(F.col("_metadata.file_name").rlike(AUDIO_FILE.pattern))
         size = F.col("_metadata.file_size")  # a metadata filter: other files are never opened
         return text.where(size <= max_whole_bytes if whole else size > max_whole_bytes)
 
-    return parse_export_text(files(True)).unionByName(parse_export_text(files(False), by_line=True))
+    parsed = parse_export_text(files(True))
+    listing = spark.read.format("binaryFile") if glob is None else spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    if listing.load(paths).where(F.col("length") > max_whole_bytes).isEmpty():  # names and sizes alone; no file is opened
+        return parsed
+
+    from replaylab.sources.large_export import parse_fragments
+
+    return parsed.unionByName(parse_fragments(files(False)))
 
 
 def read_export(spark: SparkSession, paths: Sequence[str] | str, audio_only: bool = False,

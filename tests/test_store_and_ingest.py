@@ -53,26 +53,51 @@ def test_newline_delimited_files_keep_all_rows(spark, folder):
 
 @pytest.mark.parametrize("text, good", [
     ("{not json", 0), (NDJSON[:-5], 4), ('"text"', 0), ("5", 0), (json.dumps([*PLAYS, 7]), 5), (json.dumps([None, *PLAYS]), 5),
-    (json.dumps([*PLAYS, [PLAYS[0]]]), 5), (json.dumps(PLAYS)[:-20], None), (NDJSON + "\nnonsense", 5),
+    (json.dumps([*PLAYS, [PLAYS[0]]]), 5), (json.dumps(PLAYS)[:-20], 4), (NDJSON + "\nnonsense", 5),
 ])
 def test_bad_parts_are_named_and_cost_no_good_row(spark, folder, text, good):
     path = write(folder, "Bad.json", text)
     with pytest.raises(Exception, match="Bad.json"):
         E.read_export(spark, [path]).collect()
     plays, problems = E.split_problems(E.read_parsed(spark, [path]))
-    if good is not None:
-        assert plays.count() == good
+    assert plays.count() == good
     assert {r.file_name for r in problems.collect()} == {"Bad.json"}
     assert E.read_export(spark, [path], strict=False).count() == plays.count()
 
 
-def test_large_files_are_read_by_lines(spark, folder):
-    a = write(folder, "lines.json", NDJSON)
-    b = write(folder, "array.json", "[\n" + ",\n".join(json.dumps(p) for p in PLAYS) + "\n]\n")
-    assert E.read_export(spark, [a, b], max_whole_bytes=10).count() == 10
-    c = write(folder, "pretty.json", json.dumps(PLAYS, indent=2))
-    with pytest.raises(Exception, match="pretty.json"):
-        E.read_export(spark, [c], max_whole_bytes=10).count()
+def test_no_size_changes_a_play(spark, folder):
+    names = ["A}B", "{x}", "a {} b", 'say "}" {"k": 1}', "\\}", "a}, {b", "}", "é}{", "[}]", ", {"]
+    plays = [rec(f"2024-02-{i + 10}T10:00:00Z", n, extra={"deep": [{"a": "}"}]} if i % 3 == 0 else i) for i, n in enumerate(names)] + PLAYS
+    files = {"lines.json": "\n".join(map(json.dumps, plays)) + "\n", "crlf.json": "\r\n".join(map(json.dumps, plays)), "one.json": json.dumps(plays),
+             "pretty.json": json.dumps(plays, indent=2), "bom.json": "\ufeff" + json.dumps(plays, indent=1), "tight.json": json.dumps(plays, separators=(",", ":"))}
+    files["utf8.json"] = json.dumps(plays, ensure_ascii=False)
+    paths = [write(folder, name, text) for name, text in files.items()]
+    want = sorted((p["ts"], p["master_metadata_track_name"], str(p["ms_played"])) for p in plays for _ in files)
+    for limit in (1 << 20, 10):
+        got = E.read_export(spark, paths, max_whole_bytes=limit).select("ts", "master_metadata_track_name", "ms_played").collect()
+        assert sorted(map(tuple, got)) == want, limit
+    assert E.read_export(spark, [write(folder, n, t) for n, t in (("e1.json", "[ ]"), ("e2.json", " \n"), ("e3.json", "[\n]\n"))], max_whole_bytes=1).count() == 0
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+def test_a_cut_array_gives_its_whole_plays_and_all_the_rest(spark, folder, indent, limit):
+    text = json.dumps(PLAYS, indent=indent)
+    ends = [i + 1 for i, c in enumerate(text) if c == "}"]
+    paths, want = [], 0
+    for n, cut in enumerate((ends[4], ends[4] - 1, ends[3] + 20, ends[3] + 1, ends[3], ends[0] - 1, 30, 1)):
+        paths.append(write(folder, f"cut{n}.json", text[:cut]))
+        want += sum(e <= cut for e in ends)
+    # The rest is longer than any cap: a play whose name is long and never ends.
+    paths.append(write(folder, "long.json", text[:ends[1]] + ', {"ts": "' + "x" * 5000))
+    plays, problems = E.split_problems(E.read_parsed(spark, paths, max_whole_bytes=limit))
+    assert plays.count() == want + 2
+    rows = problems.collect()
+    assert {r.file_name for r in rows} == {p.rsplit("/", 1)[1] for p in paths}
+    assert any("x" * 5000 in r.problem for r in rows)
+    for path in (paths[0], paths[-1]):
+        with pytest.raises(Exception, match="Not a JSON array of plays"):
+            E.read_export(spark, [path], max_whole_bytes=limit).count()
 
 
 @pytest.mark.parametrize("limit", [10, 1 << 20])

@@ -172,7 +172,11 @@ def test_store_is_clustered_for_one_listener(spark, folder):
     HS.append_history(plays(spark, SF_SMALL), store)
     h = HS.load_history(spark, store)
     one = h.where((F.col("username") == "user7") & (F.col("year") == 1996))
-    plan = one._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)  # show the filters whole
+    try:
+        plan = one._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     folders = plan[plan.index("PartitionFilters: ["):].split("]")[0]
     assert "EqualTo(username,user7)" in plan and "isnotnull(year" in folders and "= 1996" in folders
     for f in Path(store).rglob("*.parquet"):

@@ -212,6 +212,12 @@ def lifetime_top(h: DataFrame, keys: Sequence[str], limit: int, by: By = ()) ->
         F.count(F.lit(1)).alias("total_streams"),
         F.coalesce(F.sum("ms_played"), F.lit(0)).cast("bigint").alias("total_ms"),
     )
+    return top_of_lifetime(totals, keys, limit, by)
+
+
+def top_of_lifetime(totals: DataFrame, keys: Sequence[str], limit: int, by: By = ()) -> DataFrame:
+    """C11 on lifetime totals (by, keys, total_streams, total_ms)."""
+    by, keys = by_list(by), list(keys)
     order = [F.col("total_ms").desc(), F.col("total_streams").desc(), *key_order(keys)]
     return top_k(totals, by, order, limit).select(
         *by, "rank", *keys, "total_streams", X.minutes("total_ms").alias("total_minutes"),

@@ -87,5 +87,5 @@ def minutes_sql(ms: str) -> str:
 def _load_all() -> None:
     # Importing the query modules fills the registry.
     from replaylab.plans import (  # noqa: F401
-        q_activity, q_charts, q_ingest, q_metrics, q_skips, q_streaming, q_unknown_listener,
+        q_activity, q_charts, q_ingest, q_maintained, q_metrics, q_skips, q_streaming, q_unknown_listener,
     )

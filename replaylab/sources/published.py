@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -81,14 +82,19 @@ def read(spark: SparkSession, path: str, schema: T.StructType, partition_by: T.S
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, partition_by: T.StructType = T.StructType(), column: str = "unit",
-            cluster_by: tuple[str, ...] = ()) -> int:
-    """Rewrite all live units into one attempt with few files per partition folder; returns how many units it holds."""
+            cluster_by: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Rewrite all live units into one attempt with few files per partition folder; returns how many units it holds.
+
+    ``keep`` may leave out rows that a reader of the table passes over anyway.
+    """
     path, found = path.rstrip("/"), marks(spark, path)
     if found is None:
         return 0
     units = live(found)
     n = units.count()
     rows, folders = read(spark, path, schema, partition_by, column, found), tuple(f.name for f in partition_by.fields)
+    if keep:
+        rows = keep(rows)
     rows = rows.hint("rebalance", *folders)
     if cluster_by:
         rows = rows.sortWithinPartitions(*folders, *cluster_by)

@@ -11,7 +11,9 @@ tasks, and a re-run overwrites the same outputs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from replaylab.functions import expr as X
 from replaylab.operators import activity as A
 from replaylab.operators import charts as C
 from replaylab.operators import metrics as M
@@ -27,6 +29,8 @@ def dashboard_tables(h: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
     # Plays without a listener are a group of their own (username NULL) in every table.
     # One (listener, day) aggregate, checkpointed, serves daily, streaks and weekday.
     daily = materialize(A.daily_counts(h, by=BY))
+    # All breakdowns come from one scan.
+    breakdowns = materialize(M.breakdown_cards(h, by=BY))
     return {
         "cards": M.overview_cards(h, by=BY),
         "total_time": M.total_time(h, by=BY),
@@ -39,7 +43,10 @@ def dashboard_tables(h: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
         "daily": daily,
         "streaks": A.longest_of(A.streaks_from_days(daily, by=BY), by=BY),
         "weekday": A.top_weekday_of(A.weekday_from_days(daily, by=BY, ms_col="total_ms"), by=BY),
-        "platforms": M.breakdown(h, "platform", by=BY),
+        "breakdowns": breakdowns,
+        "platforms": breakdowns.where("card = 'platform'").select(
+            *BY, F.col("value").alias("platform"), "streams", "total_ms", X.minutes("total_ms").alias("total_minutes"),
+            "stream_share", "ms_share"),
     }
 
 

@@ -238,6 +238,44 @@ def reason_matrix(h: DataFrame, by: By = (), values: Sequence[str] | None = None
     return piv.agg(F.count(F.lit(1)))
 
 
+#: The breakdown cards: name, and the one or two columns whose values it lists.
+CARDS = (("platform", ("platform",)), ("country", ("conn_country",)), ("reasons", ("reason_start", "reason_end")),
+         ("shuffle", ("shuffle",)), ("offline", ("offline",)), ("incognito", ("incognito_mode",)))
+
+
+def breakdown_cards(h: DataFrame, by: By = ()) -> DataFrame:
+    """F08, F09, F11, F12 in one scan: (by, card, value, value2, streams, total_ms, skips, known_skips, shares, skip_rate).
+
+    Plays are first counted by all the cards' columns together, map-side; the grouping sets then expand those few combinations
+    and not the plays.  Null is a value like any other; flags are the texts ``true`` and ``false``.
+    """
+    by, dims = by_list(by), [c for _, columns in CARDS for c in columns]
+    combos = h.groupBy(*by, *dims).agg(F.count(F.lit(1)).alias("n"), _sum_ms().alias("ms"),
+                                       F.count_if(F.col("skipped")).alias("s"), F.count("skipped").alias("k"))
+    combos = combos.withColumns({d: F.col(d).cast("string") for d in dims})
+    sets = combos.groupingSets([[*by, *columns] for _, columns in CARDS], *by, *dims).agg(
+        F.grouping_id().alias("__gid"), F.sum("n").cast("bigint").alias("streams"), F.sum("ms").cast("bigint").alias("total_ms"),
+        F.sum("s").cast("bigint").alias("skips"), F.sum("k").cast("bigint").alias("known_skips"))
+
+    def of(position: int) -> Column:
+        """The card's value at ``position``: grouping_id has a bit for each column that the set leaves out."""
+        out = None
+        for name, columns in CARDS:
+            value = F.lit(name) if position < 0 else F.col(columns[position]) if position < len(columns) else F.lit(None).cast("string")
+            left_out = sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in columns)
+            out = F.when(F.col("__gid") == left_out, value) if out is None else out.when(F.col("__gid") == left_out, value)
+        return out
+
+    w = Window.partitionBy(*by, "card")
+    all_ms = F.sum("total_ms").over(w)
+    rows = sets.select(*by, of(-1).alias("card"), of(0).alias("value"), of(1).alias("value2"), "streams", "total_ms", "skips", "known_skips")
+    return rows.withColumns({
+        "stream_share": round6(F.col("streams") / F.sum("streams").over(w)),
+        "ms_share": round6(F.when(all_ms > 0, F.col("total_ms") / all_ms).otherwise(F.lit(0.0))),
+        "skip_rate": round6(F.when(F.col("known_skips") > 0, F.col("skips") / F.col("known_skips"))),
+    })
+
+
 def habit_shares(h: DataFrame, by: By = ()) -> DataFrame:
     """share of plays in shuffle, offline and incognito mode (nulls excluded)."""
     by = by_list(by)
@@ -312,6 +350,13 @@ def deduplicate(h: DataFrame) -> DataFrame:
     return h.groupBy("username", "ts", dedup_key().alias("item")).agg(first).select("r.*")
 
 
+def play_counts(h: DataFrame, by: By = ("username",)) -> DataFrame:
+    """F14 as counts: plays per group after de-duplication.  Only keys are shuffled, by a hash aggregate; no whole row is."""
+    by = by_list(by)
+    keys = list(dict.fromkeys([*by, "username", "ts"]))
+    return h.select(*keys, dedup_key().alias("item")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("rows_after_dedup"))
+
+
 # ------------------------------------------------------------------ F15
 
 def user_leaderboard(h: DataFrame, n: int = 10) -> DataFrame:

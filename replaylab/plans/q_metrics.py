@@ -221,6 +221,23 @@ def f11_reason_matrix(h: DataFrame) -> DataFrame:
     return out.select("reason_start", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in out.columns[1:]])
 
 
+_CARDS_SQL = " UNION ALL ".join(f"""
+SELECT username, '{card}' AS card, CAST({columns[0]} AS VARCHAR) AS value, {f'CAST({columns[1]} AS VARCHAR)' if columns[1:] else 'CAST(NULL AS VARCHAR)'} AS value2,
+       count(*) AS streams, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms,
+       CAST(count(*) FILTER (WHERE skipped) AS BIGINT) AS skips, count(skipped) AS known_skips
+FROM history GROUP BY ALL""" for card, columns in M.CARDS)
+
+
+@register("f08_f12_breakdown_cards", f"""
+SELECT *, round(streams / sum(streams) OVER w, 6) AS stream_share,
+       round(CASE WHEN sum(total_ms) OVER w > 0 THEN total_ms / sum(total_ms) OVER w ELSE 0 END, 6) AS ms_share,
+       round(CASE WHEN known_skips > 0 THEN skips / known_skips END, 6) AS skip_rate
+FROM ({_CARDS_SQL}) c WINDOW w AS (PARTITION BY username, card)""")
+def f08_f12_breakdown_cards(h: DataFrame) -> DataFrame:
+    """every listener's breakdown cards from one scan."""
+    return M.breakdown_cards(h, by=("username",))
+
+
 @register("f12_habit_shares", """
 SELECT round(avg(CAST(shuffle AS DOUBLE)), 6) AS shuffle_share,
        round(avg(CAST(offline AS DOUBLE)), 6) AS offline_share,
@@ -289,7 +306,7 @@ GROUP BY username
 """)
 def f14_dedup_counts(h: DataFrame) -> DataFrame:
     """rows per listener after cross-export de-duplication."""
-    return M.deduplicate(h).groupBy("username").agg(F.count(F.lit(1)).alias("rows_after_dedup"))
+    return M.play_counts(h)
 
 
 _DEDUP_ORDER = ", ".join(f"{f.name} ASC NULLS FIRST" for f in HISTORY.fields)

@@ -19,6 +19,7 @@ from replaylab.sources.export_json import to_export
 from replaylab.sources.plays import (
     EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, events_to_history, lineitems_to_plays, plays,
 )
+from replaylab.streaming import daily
 from replaylab.streaming import pipelines as P
 
 
@@ -123,3 +124,21 @@ def s02_dedup_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_export(part).write.mode("append").json(drop)
         P.dedup_into_store(spark, drop, store, ckpt)
     return HS.load_history(spark, store).groupBy("username").agg(F.count(F.lit(1)).alias("rows_after_dedup"))
+
+
+@register_raw("s03_daily_any_order", f"""
+WITH history AS ({EVENT_PLAYS_SQL}),
+kept AS (SELECT *, row_number() OVER (PARTITION BY username, ts, artist_name ORDER BY ms_played ASC NULLS FIRST) AS nth FROM history)
+SELECT username, CAST(ts AS DATE) AS day, count(*) AS streams, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms
+FROM kept WHERE nth = 1 AND ts IS NOT NULL GROUP BY username, CAST(ts AS DATE)""")
+def s03_daily_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S02 and S03 in one stream: the later half arrives first, then all events; late plays correct their days."""
+    store, ckpt = P.scratch(spark, "s03-any")
+    drop, days = scratch_folder(spark, "s03-drop"), scratch_folder(spark, "s03-days")
+    events = event_plays(spark, sf_dir)
+    middle = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("m"))
+    later = events.where(F.unix_micros("ts") >= middle.scalar())
+    for part in (later, events):
+        to_export(part).write.mode("append").json(drop)
+        P.dedup_into_store(spark, drop, store, ckpt, days=days)
+    return daily.day_totals(spark, days, by=("username",))

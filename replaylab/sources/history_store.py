@@ -17,6 +17,7 @@ whole folders.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -78,7 +79,7 @@ def append_history(df: DataFrame, path: str, upload_id: str | None = None, rebal
     return upload_id
 
 
-def load_history(spark: SparkSession, path: str, without_upload: str | None = None) -> DataFrame:
+def load_history(spark: SparkSession, path: str, without_upload: str | None = None, only_uploads: Sequence[str] | None = None) -> DataFrame:
     """A10: the stored table with its fixed schema, or :class:`HistoryNotFound`."""
     refuse_sink_log(spark, path)
     df = published.read(spark, path, HISTORY, YEAR, "upload")
@@ -86,6 +87,8 @@ def load_history(spark: SparkSession, path: str, without_upload: str | None = No
         raise HistoryNotFound(f"{path}: no history stored here yet (append an upload first)")
     if without_upload is not None:
         df = df.where(F.col("upload") != without_upload)
+    if only_uploads is not None:
+        df = df.where(F.col("upload").isin(list(only_uploads)))
     return df.select(*HISTORY_COLUMNS, "year")
 
 

@@ -29,9 +29,10 @@ def _mark(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("append").json(f"{path}/_live")
 
 
-def _write(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> str:
+def _write(df: DataFrame, path: str, partition_by: tuple[str, ...], options: dict[str, str] | None = None) -> str:
     attempt = uuid.uuid4().hex
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.options(**(options or {}))
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.parquet(f"{path}/attempt={attempt}")
     return attempt
 
@@ -43,6 +44,13 @@ def publish(df: DataFrame, path: str, unit: str, partition_by: tuple[str, ...] =
     _mark(df.sparkSession.createDataFrame([(seq, 0, unit, attempt)], MARKS), path)
 
 
+def publish_units(df: DataFrame, path: str, units: DataFrame, partition_by: tuple[str, ...] = (), options: dict[str, str] | None = None) -> None:
+    """Write many units at once: ``df`` names each row's unit in a column of its own, ``units`` (unit) lists them, empty ones too."""
+    path, seq = path.rstrip("/"), time.time_ns() // 1000
+    attempt = _write(df, path, partition_by, options)
+    _mark(units.select(F.lit(seq).alias("seq"), F.lit(0).alias("kind"), "unit", F.lit(attempt).alias("attempt")), path)
+
+
 def marks(spark: SparkSession, path: str) -> DataFrame | None:
     """All markers, or None if nothing was published yet."""
     try:

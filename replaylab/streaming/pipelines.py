@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replaylab.functions import expr as X
-from replaylab.operators._common import null_safe_join
 from replaylab.operators.metrics import dedup_key, deduplicate
 from replaylab.schema import HISTORY_COLUMNS
 from replaylab.session import scratch_folder
 from replaylab.sources import history_store as HS
+from replaylab.sources import play_keys as K
 from replaylab.sources.export_json import normalize, parse_export_text, split_problems
+from replaylab.streaming import daily
 
 
 def read_export_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
@@ -54,11 +55,13 @@ def _run_batches(df: DataFrame, checkpoint: str, write) -> None:
 
 
 def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint: str, stream: str = "drop", dedup: bool = False,
-                    quarantine: str | None = None, **kw) -> str:
+                    quarantine: str | None = None, days: str | None = None, **kw) -> str:
     """Ingest all files that appeared in ``directory`` since the last run into ``store``.
 
     ``stream`` names the stream: its batches are uploads ``<stream>-<batch id>``.
     Problems are written below ``quarantine`` (default: beside the checkpoint).
+    ``days`` names a folder of maintained daily totals (``streaming.daily``), which
+    the same stream keeps, after de-duplication: late plays correct their days.
     """
     quarantine = quarantine or f"{checkpoint.rstrip('/')}-quarantine"
 
@@ -67,6 +70,8 @@ def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint:
         plays, problems = split_problems(batch)
         upload = f"{stream}-{batch_id}"
         (_append_new if dedup else HS.append_history)(normalize(plays), store, upload)
+        if days:
+            daily.publish_days(batch.sparkSession, store, upload, days)
         problems.write.mode("overwrite").json(f"{quarantine}/upload={upload}")
         batch.unpersist()
 
@@ -77,18 +82,10 @@ def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint:
 def _append_new(h: DataFrame, store: str, upload: str) -> None:
     """Append the plays of ``h`` that other uploads of the store don't hold, each once."""
     spark = h.sparkSession
-    new = deduplicate(h).withColumn("__item", dedup_key())
-    try:
-        held = HS.load_history(spark, store, without_upload=upload)
-    except HS.HistoryNotFound:
-        return HS.append_history(new, store, upload)
-    keys = ["username", "ts", "__item"]
-    # Only years that the batch touches are read: a bounded list of numbers.
-    years = [r[0] for r in new.select(X.year("ts")).distinct().collect()]
-    year = F.col("year")
-    touched = year.isin([y for y in years if y is not None]) | (year.isNull() if None in years else F.lit(False))
-    held = held.where(touched).withColumn("__item", dedup_key()).select(*keys)
-    HS.append_history(null_safe_join(new, held, keys, how="left_anti"), store, upload)
+    new = deduplicate(h)
+    K.index_uploads(spark, store, without=upload)
+    HS.append_history(K.new_plays(new, K.held_keys(spark, store, new, without_upload=upload)), store, upload)
+    K.index_uploads(spark, store)
 
 
 def dedup_into_store(spark: SparkSession, directory: str, store: str, checkpoint: str, **kw) -> str:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import random
 import tempfile
+from pathlib import Path
 
 import pytest
+from conftest import play
 
 from replaylab.operators import charts as C
+from replaylab.operators import metrics as M
 from replaylab.sources import chart_store, published
-from conftest import play
+from replaylab.sources import history_store as HS
+from replaylab.sources import play_keys as K
+from replaylab.streaming import daily
+from replaylab.streaming import pipelines as P
 
 
 def rows(df):
@@ -81,3 +88,76 @@ def test_smaller_limit_and_bad_limits(spark, make_history):
     for bad in (0, 4):
         with pytest.raises(ValueError):
             store.chart(bad)
+
+
+# ------------------------------------------------------------------ keys of a store (S02), daily totals with corrections
+
+def test_key_index_follows_the_store(spark, make_history):
+    store = tempfile.mkdtemp() + "/s"
+    one = make_history([play("2020-01-02 00:00:00", "a", "t", username=u) for u in ("x", "y", "z", None)])
+    assert K.index_uploads(spark, store) == 0
+    HS.append_history(one, store, "one")
+    HS.append_history(one.limit(0), store, "none")
+    assert K.index_uploads(spark, store) == 2 and K.index_uploads(spark, store) == 0
+    HS.compact(spark, store)
+    assert K.index_uploads(spark, store) == 0                      # the same rows elsewhere
+    HS.append_history(one.where("username = 'x'"), store, "one")
+    assert K.index_uploads(spark, store) == 1                      # written again: indexed again
+    new = one.where("username IS NOT NULL")
+    held = K.held_keys(spark, store, new)
+    assert [r.username for r in held.collect()] == ["x"]
+    assert sorted(r.username for r in K.new_plays(new, held).collect()) == ["y", "z"]
+    assert K.held_keys(spark, store, new, without_upload="one").count() == 0
+
+
+def test_a_listeners_drop_opens_its_bucket_only(spark, make_history):
+    store = tempfile.mkdtemp() + "/s"
+    HS.append_history(make_history([play("2020-01-02 00:00:00", "a", "t", username=f"u{i}") for i in range(40)]), store, "one")
+    K.index_uploads(spark, store)
+    held = K.held_keys(spark, store, make_history([play("2020-01-02 00:00:00", "a", "t", username="u7")]))
+    all_files = len(spark.read.parquet(K.folder(store)).inputFiles())
+    plan = held._jdf.queryExecution().executedPlan()
+    assert "u7" in {r.username for r in held.collect()} and held.count() < 5
+    assert "bucket" in plan.toString().split("PartitionFilters: ")[1].split("]")[0] and "PushedFilters: [Or(IsNull(ts)" in plan.toString()
+    assert all_files > 20
+
+
+def test_late_plays_correct_their_days(spark):
+    base = Path(tempfile.mkdtemp())
+    drop, store, ckpt, days = (str(base / n) for n in ("drop", "store", "ckpt", "days"))
+    Path(drop).mkdir()
+
+    def rec(when):
+        return {"ts": when, "username": "me", "ms_played": 1000, "master_metadata_track_name": "T",
+                "master_metadata_album_artist_name": "A", "spotify_track_uri": "spotify:track:T"}
+
+    assert daily.day_totals(spark, days).count() == 0
+    for n, times in enumerate([["2024-01-03T10:00:00Z", "2024-01-03T10:00:00Z"], ["2024-01-01T23:00:00Z", "2024-01-03T10:00:00Z", "2024-01-03T11:00:00Z"],
+                               ["2024-01-01T23:30:00Z", "2024-01-04T00:00:00Z"]]):
+        (Path(drop) / f"{n}.json").write_text(json.dumps([rec(t) for t in times]))
+        P.dedup_into_store(spark, drop, store, ckpt, days=days)
+    assert rows(daily.day_totals(spark, days).select("day", "streams")) == [("2024-01-01", "2"), ("2024-01-03", "2"), ("2024-01-04", "1")]
+    assert rows(daily.corrections(spark, days).select("day", "streams")) == [("2024-01-01", "1")] * 2
+    daily.publish_days(spark, store, "drop-1", days)               # a repeated batch replaces its share
+    assert {r.streams for r in daily.day_totals(spark, days, ("username",)).collect()} == {1, 2}
+
+
+# ------------------------------------------------------------------ breakdown cards, counts of plays
+
+def test_cards_equal_the_single_breakdowns(spark, make_history):
+    h = make_history([play("2020-01-02 00:00:00", "a", "t", username=u, skipped=s, platform=p, conn_country=c, reason_start=r, reason_end=r, shuffle=s)
+                      for u, s, p, c, r in [("x", True, "ios", "DE", "fwd"), ("x", False, "ios", None, None), ("x", None, "web", "DE", "fwd"), (None, True, None, "FR", "end")]])
+    cards = M.breakdown_cards(h, by=("username",))
+    one = M.breakdown(h, "platform", by=("username",)).drop("total_minutes")
+    assert rows(cards.where("card = 'platform'").select("username", cards.value.alias("platform"), "streams", "total_ms", "stream_share", "ms_share")) == rows(one)
+    reasons = cards.where("card = 'reasons'").select("username", cards.value.alias("reason_start"), cards.value2.alias("reason_end"), "streams", "skips", "skip_rate")
+    assert rows(reasons) == rows(M.reason_breakdown(h, by=("username",)))
+    assert M.breakdown_cards(h.limit(0)).count() == 0
+    assert cards._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_counts_of_plays_shuffle_keys_only(spark, make_history):
+    h = make_history([play("2020-01-02 00:00:00", "a", "t"), play("2020-01-02 00:00:00", "a", "t", ms=5), play(None, "b"), play(None, "c")])
+    counts = M.play_counts(h)
+    assert [r.rows_after_dedup for r in counts.collect()] == [M.deduplicate(h).count()] == [3]
+    assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()

@@ -1,8 +1,14 @@
-"""Known licence texts (fixed values), as published, by SPDX id: 0BSD, Apache-2.0-notice, BSD-2-Clause, BSD-3-Clause, ISC, MIT, MIT-0, Unlicense, WTFPL, Zlib.
+"""Known licence texts (fixed values), as published, by SPDX id.
 
-Other licences, the full texts of Apache-2.0, GPL, LGPL, AGPL, MPL-2.0, EPL and CC0 among them, are not in the list.
+Short ones are below: 0BSD, Apache-2.0-notice, BSD-2-Clause, BSD-3-Clause, ISC, MIT, MIT-0, Unlicense, WTFPL, Zlib.  Long ones are the
+files of ``license_data/``, one per id: Apache-2.0, CC0-1.0, GFDL-1.2 and 1.3, GPL-1.0 to 3.0, LGPL-2.0 to 3.0, MPL-1.1 and 2.0; each
+is known whole, and without the appendix that says how to apply it, with or without the line that ends the terms.  A text can't tell
+"only" from "or later", so the ids don't either.  AGPL, EPL and others are not in the list.
 """
 
+import re
+from importlib.resources import files
+
 _AS_IS_BSD = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
 NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
@@ -114,6 +120,21 @@ TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
 """
 
 #: (SPDX id, text); a text with its customary title is the same licence, so both forms are listed.
+#: Where the terms end, and where the part on applying them begins.
+_TERMS_END = re.compile(r"^[ ]*END OF TERMS AND CONDITIONS", re.MULTILINE)
+_APPENDIX = re.compile(r"^[ ]*(?:appendix:|addendum:|how to apply these terms)", re.MULTILINE | re.IGNORECASE)
+
+
+def _long_texts() -> tuple[tuple[str, str], ...]:
+    """(id, text) of the files: the whole text, and what precedes each of the marks above."""
+    out = []
+    for file in sorted(files(__package__).joinpath("license_data").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        cuts = [m.start() for mark in (_TERMS_END, _APPENDIX) if (m := mark.search(text))]
+        out += [(file.name.removesuffix(".txt"), text[:end]) for end in (len(text), *cuts)]
+    return tuple(out)
+
+
 LICENSES = (
     ("0BSD", _ISC_GRANT + "." + _ISC_AS_IS),
     ("0BSD", "BSD Zero Clause License\n" + _ISC_GRANT + "." + _ISC_AS_IS),
@@ -133,4 +154,4 @@ LICENSES = (
     ("WTFPL", _WTFPL),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n" + _ZLIB),
-)
+) + _long_texts()

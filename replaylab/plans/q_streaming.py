@@ -19,7 +19,7 @@ from replaylab.sources.export_json import to_export
 from replaylab.sources.plays import (
     EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, events_to_history, lineitems_to_plays, plays,
 )
-from replaylab.streaming import daily
+from replaylab.streaming import daily, runs
 from replaylab.streaming import pipelines as P
 
 
@@ -142,3 +142,28 @@ def s03_daily_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_export(part).write.mode("append").json(drop)
         P.dedup_into_store(spark, drop, store, ckpt, days=days)
     return daily.day_totals(spark, days, by=("username",))
+
+
+@register_raw("s04_sessions_any_order", f"""
+WITH history AS ({EVENT_PLAYS_SQL}),
+o AS (SELECT username, ts, ms_played, ts < lag(ts) OVER (PARTITION BY username ORDER BY ts) + INTERVAL 30 MINUTE AS goes_on
+      FROM history WHERE ts IS NOT NULL),
+s AS (SELECT *, count(*) FILTER (WHERE goes_on IS NOT TRUE) OVER (PARTITION BY username ORDER BY ts
+                                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM o)
+SELECT username, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+       count(*) AS plays, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS total_ms
+FROM s GROUP BY username, sid""")
+def s04_sessions_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S04 kept by a stream of files whose later half arrives first: every session whole, none dropped as late."""
+    store, ckpt = P.scratch(spark, "s04-any")
+    drop, kept = scratch_folder(spark, "s04-drop"), scratch_folder(spark, "s04-runs")
+    events = event_plays(spark, sf_dir)
+    # Every other half hour comes late, so that most sessions are pieced together from both batches.
+    late = F.pmod(F.call_function("div", F.unix_micros("ts"), F.lit(1_800_000_000)), F.lit(2)) == 0
+    for part in (events.where(~late), events.where(late | late.isNull())):
+        to_export(part).write.mode("append").json(drop)
+        P.ingest_to_store(spark, drop, store, ckpt, run_path=kept)
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return runs.sessions(spark, kept).select("username", F.date_format("session_start", fmt).alias("session_start"),
+                                             F.date_format("session_end", fmt).alias("session_end"), "plays", "total_ms")

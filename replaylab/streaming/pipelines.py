@@ -11,7 +11,8 @@
   than that are dropped.
 * S03 ``daily_windows``: daily counts as tumbling event-time windows; rows
   later than the watermark are dropped, closed days are emitted (append).
-* S04 ``sessions``: gap-based listening sessions per user.
+* S04 ``sessions``: gap-based listening sessions per user, for a live feed;
+  ``ingest_to_store(run_path=...)`` keeps them for files in any order.
 
 ``run_available_now`` drives any of them to completion over what is there
 (``trigger(availableNow=True)``) into a Parquet sink with a checkpoint in the
@@ -30,7 +31,7 @@ from replaylab.session import scratch_folder
 from replaylab.sources import history_store as HS
 from replaylab.sources import play_keys as K
 from replaylab.sources.export_json import normalize, parse_export_text, split_problems
-from replaylab.streaming import daily
+from replaylab.streaming import daily, runs
 
 
 def read_export_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
@@ -55,13 +56,14 @@ def _run_batches(df: DataFrame, checkpoint: str, write) -> None:
 
 
 def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint: str, stream: str = "drop", dedup: bool = False,
-                    quarantine: str | None = None, days: str | None = None, **kw) -> str:
+                    quarantine: str | None = None, days: str | None = None, run_path: str | None = None, **kw) -> str:
     """Ingest all files that appeared in ``directory`` since the last run into ``store``.
 
     ``stream`` names the stream: its batches are uploads ``<stream>-<batch id>``.
     Problems are written below ``quarantine`` (default: beside the checkpoint).
     ``days`` names a folder of maintained daily totals (``streaming.daily``), which
     the same stream keeps, after de-duplication: late plays correct their days.
+    ``run_path`` names one of maintained sessions and streaks (``streaming.runs``).
     """
     quarantine = quarantine or f"{checkpoint.rstrip('/')}-quarantine"
 
@@ -72,6 +74,8 @@ def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint:
         (_append_new if dedup else HS.append_history)(normalize(plays), store, upload)
         if days:
             daily.publish_days(batch.sparkSession, store, upload, days)
+        if run_path:
+            runs.publish_runs(batch.sparkSession, store, upload, run_path)
         problems.write.mode("overwrite").json(f"{quarantine}/upload={upload}")
         batch.unpersist()
 

@@ -9,13 +9,15 @@ from pathlib import Path
 
 import pytest
 from conftest import play
+from pyspark.sql import functions as F
 
+from replaylab.operators import activity as A
 from replaylab.operators import charts as C
 from replaylab.operators import metrics as M
-from replaylab.sources import chart_store, published
+from replaylab.sources import chart_store, month_cards, published
 from replaylab.sources import history_store as HS
 from replaylab.sources import play_keys as K
-from replaylab.streaming import daily
+from replaylab.streaming import daily, runs
 from replaylab.streaming import pipelines as P
 
 
@@ -161,3 +163,71 @@ def test_counts_of_plays_shuffle_keys_only(spark, make_history):
     counts = M.play_counts(h)
     assert [r.rows_after_dedup for r in counts.collect()] == [M.deduplicate(h).count()] == [3]
     assert "SortAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+# ------------------------------------------------------------------ sessions and streaks (S04, F04), cards of months
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_follow_uploads_in_any_order(spark, make_history, seed):
+    """Plays around midnight, gaps of exactly 30 minutes, equal instants, replaced and empty uploads, before 1970."""
+    rng, held, base = random.Random(seed), {}, tempfile.mkdtemp()
+    store, folder = base + "/s", base + "/r"
+    assert runs.sessions(spark, folder).count() == 0 and runs.streaks(spark, folder).count() == 0
+
+    def some(n):
+        return [play(None if rng.random() < 0.05 else f"{rng.choice([1969, 2020])}-{rng.choice(['12-31', '01-01', '01-02'])} "
+                     f"{rng.choice(['00', '12', '23'])}:{rng.randint(0, 11) * 5:02d}:00", "a", ms=rng.choice([None, 1, 7]),
+                     username=rng.choice(["x", None])) for _ in range(n)]
+
+    for upload, n in [("b", 25), ("a", 25), ("b", 20), ("c", 0), ("d", 15)]:
+        held[upload] = make_history(some(n))
+        HS.append_history(held[upload], store, upload)
+        runs.publish_runs(spark, store, upload, folder)
+    h = HS.load_history(spark, store)
+    assert runs.compact(spark, folder) == 4
+    for by in (("username",), ()):
+        assert rows(runs.sessions(spark, folder, by=by)) == rows(A.listening_sessions(h, 30, by))
+        assert rows(runs.streaks(spark, folder, by=by)) == rows(A.streaks(h, by))
+    ended = runs.sessions(spark, folder, closed_by="2020-01-01 00:00:00")
+    assert rows(ended) == rows(A.listening_sessions(h).where("session_end <= timestamp'2020-01-01 00:00:00'"))
+
+
+def test_one_listeners_runs_are_merged_by_day_first(spark, make_history):
+    h = make_history([play(f"2020-01-{d:02d} 10:00:00", "a") for d in range(1, 9)])
+    plan = runs.day_runs(h)._jdf.queryExecution().executedPlan().toString()
+    spread = [line for line in plan.split("\n") if "hashpartitioning" in line]
+    assert len(spread) == 2 and "day" in spread[0]   # equal instants, added up map-side, then (listener, day)
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_cards_of_months_follow_uploads(spark, make_history):
+    rng, held, folder = random.Random(3), {}, tempfile.mkdtemp() + "/m"
+    assert [tuple(r) for r in month_cards.cards(spark, folder).collect()] == [(0, 0, 0, 0)]
+    assert month_cards.cards(spark, folder, ("username",)).count() == 0
+    for upload, months in [("one", ["2020-03", "2020-06"]), ("two", ["2020-06", None]), ("one", ["2020-06", "2021-01"]), ("none", [])]:
+        held[upload] = make_history(random_plays(rng, 30, months) if months else [])
+        month_cards.commit(held[upload], folder, upload)
+    h = held["one"].unionByName(held["two"])
+
+    def want(part, by):
+        return rows(part.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("streams"), F.coalesce(F.sum("ms_played"), F.lit(0)).alias("total_ms"),
+            F.countDistinct(F.to_date("ts")).alias("active_days"), F.countDistinct("track_uri").alias("unique_songs")))
+
+    assert month_cards.compact(spark, folder) == 3
+    for by in ((), ("username",)):
+        assert rows(month_cards.cards(spark, folder, by)) == want(h, by)
+        assert rows(month_cards.cards(spark, folder, by, "2020-06", "2020-12")) == want(M.date_range(h, "2020-06-01", "2021-01-01"), by)
+    plan = month_cards.cards(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "ms_played" not in plan
+
+
+def test_many_songs_are_estimated_within_three_per_cent(spark):
+    n = 200_000
+    h = spark.range(n * 2).select(F.lit("x").alias("username"), F.timestamp_seconds(F.lit(1_577_836_800) + F.col("id") * 100).alias("ts"),
+                                  F.concat(F.lit("t"), F.col("id") % n).alias("track_uri"), F.lit(1).alias("ms_played"))
+    folder = tempfile.mkdtemp() + "/m"
+    for i in range(2):
+        month_cards.commit(h.where(F.col("id") % 2 == i), folder, str(i))
+    r = month_cards.cards(spark, folder).first()
+    assert r.streams == 2 * n and abs(r.unique_songs - n) < 0.03 * n

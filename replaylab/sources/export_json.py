@@ -11,8 +11,7 @@ keys only:
 * casts happen afterwards with ``try_cast`` semantics: a bad value becomes
   NULL, never an error (A05).
 
-A file of up to ``MAX_WHOLE_BYTES`` is read whole, as one row: exports are
-tens of MB.  Larger files are split at closing braces, whatever their layout
+A file of up to ``MAX_WHOLE_BYTES`` is read whole, as one row.  Larger files are split at closing braces, whatever their layout
 (``large_export``): the limit is a choice of speed and changes no play.
 What can't be parsed is never lost without a word: a strict read fails with
 the file's name, any other read returns it as rows with ``problem`` set
@@ -54,8 +53,8 @@ def validate_paths(paths: Sequence[str] | str) -> list[str]:
     return list(paths)
 
 
-#: Files up to this size are read as one row each; larger ones by lines.
-MAX_WHOLE_BYTES = 256 << 20
+#: Files up to this size are read as one row each, whose parsing holds many times its size; larger ones are split.
+MAX_WHOLE_BYTES = 8 << 20
 
 _OBJECT = r"^\s*\{"
 _ROW = T.StructType([T.StructField("play", RAW), T.StructField("problem", T.StringType())])

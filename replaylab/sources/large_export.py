@@ -15,7 +15,7 @@ arrays, pretty-printed arrays and newline-delimited objects alike.
   array that isn't closed.
 
 Whole plays never leave the task that read them.  Only fragments in need of
-joining are shuffled and sorted by file.
+joining are shuffled and sorted by file; a row per file is broadcast.
 """
 
 from __future__ import annotations
@@ -44,54 +44,54 @@ def parse_fragments(text: DataFrame) -> DataFrame:
         F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
     # All but a file's last fragment had a brace behind them.  Whether that one had is told by the file's size (the reader drops a
-    # byte order mark, which is 3 bytes).
-    sizes = rows.groupBy("file_path").agg(F.sum(F.octet_length("value") + 1).alias("held"), F.max("size").alias("size"),
-                                          F.max(F.struct("block", "pos")).alias("last")).select(F.col("file_path").alias("path"), "last", (
-        ~(F.col("held") - F.col("size")).isin(0, -3)).alias("cut"))
-    rows = rows.drop("size").join(sizes, F.col("file_path") == F.col("path")).withColumn(
-        "cut", F.col("cut") & (F.struct("block", "pos") == F.col("last"))).drop("path", "last")
+    # byte order mark, which is 3 bytes).  One small row per file is broadcast, so no fragment is shuffled for it.
+    ends = rows.groupBy("file_path").agg(F.sum(F.octet_length("value") + 1).alias("held"), F.max("size").alias("size"),
+                                         F.max(F.struct("block", "pos")).alias("last"))
+    ends = ends.where(~(F.col("held") - F.col("size")).isin(0, -3)).select(F.col("file_path").alias("path"), "last")
+    rows = rows.drop("size").join(F.broadcast(ends), F.col("file_path") == F.col("path"), "left").withColumn(
+        "cut", F.coalesce(F.struct("block", "pos") == F.col("last"), F.lit(False))).drop("path", "last")
     lead = F.regexp_extract("value", r"^([^{]*)\{", 1)
     body = F.when(F.instr("value", "{") > 0, F.concat(F.substr("value", F.instr("value", "{")), F.lit("}")))
     rows = rows.select("*", lead.alias("lead"), body.alias("body"))
     listed = F.from_json(E._closed(F.col("body")), E._MARKED)
-    rows = rows.withColumn("list", F.when(F.col("body").contains('"') & (lead.rlike(_BETWEEN) | lead.rlike(_BEGIN)), listed))
+    between = F.col("lead").rlike(_BETWEEN)
+    rows = rows.withColumn("list", F.when(F.col("body").contains('"') & (between | F.col("lead").rlike(_BEGIN)), listed))
     first = F.try_element_at("list", F.lit(1))
-    whole = (F.size("list") == 2) & E._ended(F.col("list"), F.col("body")) & first.isNotNull() & ~F.col("cut")
-    rows = rows.withColumn("play", F.when(whole, E._fields(first)))
+    whole = F.coalesce((F.size("list") == 2) & E._ended(F.col("list"), F.col("body")) & first.isNotNull() & ~F.col("cut"), F.lit(False))
 
-    plays = rows.where("play is not null").select("file_name", F.lit(None).cast("string").alias("problem"), "play.*")
+    # Rows are chosen by explode, not by a filter: Spark would push a filter below "list" and parse each fragment once per mention.
+    plays = rows.select("file_name", F.explode(F.when(whole, F.array(E._fields(first)))).alias("play")).select(
+        "file_name", F.lit(None).cast("string").alias("problem"), "play.*")
 
-    # Whole objects that stand where only a file's first one may: one per file at most, and in its first block.
-    opens = rows.where(F.col("play").isNotNull() & ~F.col("lead").rlike(_BETWEEN)).select(
-        "file_name", "file_path", "block", "pos", "cut", "lead", F.lit(False).alias("stray"), F.lit(None).cast("string").alias("value"))
-    strays = rows.where(F.col("play").isNull()).select(
-        "file_name", "file_path", "block", "pos", "cut", F.lit(None).cast("string").alias("lead"), F.lit(True).alias("stray"), "value")
+    # Strays, and whole objects that stand where only a file's first one may: one per file at most, and in its first block.
+    seen = F.struct("file_name", "file_path", "block", "pos", "cut", F.when(whole, F.col("lead")).alias("lead"), (~whole).alias("stray"),
+                    F.when(~whole, F.col("value")).alias("value"))
+    odd = rows.select(F.explode(F.when(~whole | ~between, F.array(seen))).alias("o")).select("o.*")
     order = Window.partitionBy("file_path").orderBy("block", "pos")
-    odd = opens.unionByName(strays)
     before = F.lag(F.struct("block", "pos", "stray")).over(order)
     joined = F.col("stray") & before["stray"] & F.when(before["block"] == F.col("block"), F.col("pos") == before["pos"] + 1).otherwise(True)
-    odd = odd.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = odd.groupBy("file_path", "run").agg(
+    odd = odd.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("nth", F.sum("new").over(order))
+    runs = odd.groupBy("file_path", "nth").agg(
         F.first("file_name").alias("file_name"), F.first("stray").alias("stray"), F.first("lead").alias("lead"), F.max("cut").alias("tail"),
         F.array_join(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).value, "}").alias("text"))
-    nth = F.row_number().over(Window.partitionBy("file_path").orderBy("run"))
-    runs = runs.withColumn("nth", nth)
 
     # A run that isn't a file's end had a brace behind it too.
     tail = F.col("tail")
     text_of = F.when(tail, F.col("text")).otherwise(F.concat("text", F.lit("}")))
     found = E.salvaged(text_of)
     rest = F.element_at(found, -1)["problem"]
-    between = F.regexp_replace(rest, r"[\s,]+", "")
-    allowed = F.when(tail, between.isin("", "]", "[", "[]") | F.col("text").rlike(_END)).otherwise(between.isin("", "["))
+    marks = F.regexp_replace(rest, r"[\s,]+", "")
+    allowed = F.when(tail, marks.isin("", "]", "[", "[]") | F.col("text").rlike(_END)).otherwise(marks.isin("", "["))
     parts = F.when(~F.col("stray") & (F.col("nth") > 1), _as_problem(F.concat(F.lit("no separator: "), F.coalesce("lead", F.lit("")))))
     parts = parts.when(F.col("stray") & allowed, F.slice(found, 1, F.size(found) - 1)).when(F.col("stray"), found)
-    repaired = runs.select("file_name", F.explode(parts).alias("r")).select("file_name", F.col("r.problem").alias("problem"), "r.play.*")
 
-    # Arrays that begin and don't end: their last objects may be missing.
-    opened = F.sum(F.when(F.col("lead").contains("[") | (F.col("stray") & (F.col("nth") == 1) & F.col("text").rlike(r"^﻿?\s*\[")), 1).otherwise(0))
-    closed = F.max(F.when(tail, F.col("text").rlike(r"\]\s*$")).otherwise(False))
-    ends = runs.groupBy("file_path").agg(F.first("file_name").alias("file_name"), opened.alias("opened"), closed.alias("closed"))
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in RAW.fields]
-    unclosed = ends.where((F.col("opened") > 0) & ~F.col("closed")).select("file_name", F.lit("the array is not closed").alias("problem"), *none)
-    return plays.unionByName(repaired).unionByName(unclosed)
+    # Arrays that begin and don't end: their last objects may be missing.  Told beside a file's last run.
+    file = Window.partitionBy("file_path")
+    opened = F.count_if(F.col("lead").contains("[") | (F.col("stray") & (F.col("nth") == 1) & F.col("text").rlike(r"^﻿?\s*\["))).over(file)
+    closed = F.max(F.when(tail, F.col("text").rlike(r"\]\s*$")).otherwise(False)).over(file)
+    unclosed = (F.col("nth") == F.max("nth").over(file)) & (opened > 0) & ~closed
+    runs = runs.withColumn("unclosed", F.when(unclosed, _as_problem(F.lit("the array is not closed"))).otherwise(F.array().cast(T.ArrayType(E._ROW))))
+    # Opening objects that stand first are plays already: no part of theirs is left.
+    parts = F.concat(F.coalesce(parts, F.array().cast(T.ArrayType(E._ROW))), F.col("unclosed"))
+    repaired = runs.select("file_name", F.explode(parts).alias("r")).select("file_name", F.col("r.problem").alias("problem"), "r.play.*")
+    return plays.unionByName(repaired)

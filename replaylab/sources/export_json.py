@@ -21,8 +21,11 @@ the file's name, any other read returns it as rows with ``problem`` set
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -315,23 +318,42 @@ def to_export(history: DataFrame) -> DataFrame:
     return history.select(*cols)
 
 
+def _bracketed(rows_per_file: int):
+    """Objects' texts -> the same texts with what an array needs around each: every ``rows_per_file`` of a partition are one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, 0  # the newest batch is held back: the last text of all closes its array
+
+        def marked(texts: pa.Array, ends: bool) -> pa.RecordBatch:
+            place = np.arange(at, at + len(texts)) % rows_per_file
+            closing = place == rows_per_file - 1
+            closing[-1] |= ends
+            opens, closes = pa.array(np.where(place == 0, "[", "")), pa.array(np.where(closing, "]", ","))
+            return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(opens, texts, closes, "")], names=["value"])
+
+        for batch in batches:
+            if batch.num_rows:
+                if held is not None:
+                    yield marked(held, False)
+                    at += len(held)
+                held = batch.column(0)
+        if held is not None:
+            yield marked(held, True)
+
+    return run
+
+
 def write_export(history: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
-    """Sink: write plays as export files, each ONE JSON array of <= ``rows_per_file`` plays.
+    """Sink: write plays as export files, each ONE JSON array of <= ``rows_per_file`` plays on one line.
 
-    Chunks never cross input partitions (``monotonically_increasing_id`` is
-    contiguous within a partition), so every group is bounded by
-    ``rows_per_file``; one record per output file makes each file a single
-    JSON document, as the export format requires.
+    A play is a row of the sink with its bracket or comma, and the sink begins
+    a file every ``rows_per_file`` rows of a task: nothing is shuffled, and no
+    array is held, whatever its size.
     """
-    chunk = F.floor(F.monotonically_increasing_id() / F.lit(rows_per_file))
     ex = to_export(history)
-    arrays = (
-        ex.withColumn("__chunk", chunk)
-        .groupBy("__chunk")
-        .agg(F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in ex.columns]))).alias("value"))
-        .select("value")
-    )
-    arrays.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    texts = ex.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in ex.columns])).alias("value"))
+    plays = texts.mapInArrow(_bracketed(rows_per_file), "value string")
+    plays.write.mode("append").option("maxRecordsPerFile", rows_per_file).text(path, lineSep=" ")
 
 
 def union_parts(parts: Iterable[DataFrame]) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from conftest import play
 from replaylab.sources import export_json as E
 
 N = 30_000
@@ -36,3 +38,18 @@ def test_fragments_are_not_shuffled(spark, tmp_path):
     plan = raw._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert raw.count() == 50
+
+
+def test_arrays_are_written_play_by_play(spark, make_history, tmp_path):
+    h = make_history([play("2024-01-01T00:00:00", "A", "T", ms=i) for i in range(23)]).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        E.write_export(h, str(tmp_path / "out"), rows_per_file=10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = [f.read_text() for f in sorted((tmp_path / "out").glob("*.txt"))]
+    assert [len(json.loads(t)) for t in texts] == [10, 10, 3]
+    assert not any("\n" in t for t in texts)
+    assert [p["ms_played"] for t in texts for p in json.loads(t)] == list(range(23))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"]) for x in (["{}"], [], ["{}", "{}"], ["{}"], [])]
+    assert "".join(v for b in E._bracketed(2)(iter(batches)) for v in b.column(0).to_pylist()) == "[{},{}][{},{}]"

@@ -21,6 +21,8 @@ shared checkpoint folder, so a lost executor or a restarted job resumes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from replaylab.schema import HISTORY_COLUMNS
 from replaylab.session import scratch_folder
 from replaylab.sources import history_store as HS
 from replaylab.sources import play_keys as K
-from replaylab.sources.export_json import normalize, parse_export_text, split_problems
+from replaylab.sources.export_json import normalize, parse_export_text, read_parsed, split_problems
 from replaylab.streaming import daily, runs
 
 
@@ -49,6 +51,20 @@ def ingest_stream(spark: SparkSession, directory: str, **kw) -> DataFrame:
     return normalize(split_problems(read_export_stream(spark, directory, **kw))[0]).withColumn("year", X.year("ts"))
 
 
+def file_stream(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None, audio_only: bool = False) -> DataFrame:
+    """S01 source of :func:`ingest_to_store`: the paths of files appearing in ``directory``; none is opened."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    reader = reader.option("pathGlobFilter", "Streaming_History_Audio_*.json" if audio_only else "*.json")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(directory).select("path")
+
+
+def _exact(path: str) -> str:
+    """A path whose name the reader takes as it is, not as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def _run_batches(df: DataFrame, checkpoint: str, write) -> None:
     """Hand every micro-batch that is available now to ``write(batch, batch_id)``."""
     q = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -67,8 +83,12 @@ def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint:
     """
     quarantine = quarantine or f"{checkpoint.rstrip('/')}-quarantine"
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # parsed once for plays and problems; a lost block is parsed again
+    def write(files: DataFrame, batch_id: int) -> None:
+        # File names alone, each once; the files are read as uploads are, the large ones split.
+        paths = sorted({_exact(r.path) for r in files.collect()})
+        if not paths:
+            return
+        batch = read_parsed(files.sparkSession, paths).persist()  # parsed once for plays and problems; a lost block is parsed again
         plays, problems = split_problems(batch)
         upload = f"{stream}-{batch_id}"
         (_append_new if dedup else HS.append_history)(normalize(plays), store, upload)
@@ -79,7 +99,7 @@ def ingest_to_store(spark: SparkSession, directory: str, store: str, checkpoint:
         problems.write.mode("overwrite").json(f"{quarantine}/upload={upload}")
         batch.unpersist()
 
-    _run_batches(read_export_stream(spark, directory, **kw), checkpoint, write)
+    _run_batches(file_stream(spark, directory, **kw), checkpoint, write)
     return store
 
 

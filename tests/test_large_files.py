@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from conftest import play
 from replaylab.sources import export_json as E
+from replaylab.sources import history_store as HS
+from replaylab.streaming import pipelines as P
 
 N = 30_000
 
@@ -53,3 +55,19 @@ def test_arrays_are_written_play_by_play(spark, make_history, tmp_path):
     assert [p["ms_played"] for t in texts for p in json.loads(t)] == list(range(23))
     batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"]) for x in (["{}"], [], ["{}", "{}"], ["{}"], [])]
     assert "".join(v for b in E._bracketed(2)(iter(batches)) for v in b.column(0).to_pylist()) == "[{},{}][{},{}]"
+
+
+def test_streamed_files_are_read_by_name(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    lines(drop / "big.json")
+    lines(drop / "a [1] {b}.json", 3)
+    store, ckpt = P.scratch(spark, "t")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        for _ in range(2):
+            P.ingest_to_store(spark, str(drop), store, ckpt)
+        assert P.file_stream(spark, str(drop)).columns == ["path"]  # no file's text goes through the stream
+        assert HS.load_history(spark, store).count() == N + 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -19,7 +19,7 @@ from replaylab.schema import HISTORY, MAPPING, PRIVATE_KEYS
 from replaylab.session import scratch_folder
 from replaylab.sources import history_store as HS
 from replaylab.sources.export_json import (
-    file_listing, new_files, normalize, present_columns, read_export, to_export, to_raw, write_export,
+    ANY_EXPORT, FAST_PACKING, file_listing, new_files, normalize, present_columns, read_export, to_export, to_raw, write_export,
 )
 from replaylab.sources.plays import EVENT_PLAYS_SQL, PLAYS_SQL, event_plays, plays
 from replaylab.plans.catalog import register, register_raw
@@ -148,7 +148,7 @@ def a15_profile(h: DataFrame) -> DataFrame:
 def stored_listing(spark: SparkSession, path: str) -> DataFrame:
     """The listing of a folder as it is now, kept as the manifest of known files."""
     kept = scratch_folder(spark, "manifest")
-    file_listing(spark, path).write.parquet(kept)
+    file_listing(spark, path, ANY_EXPORT).write.parquet(kept)
     return spark.read.parquet(kept)
 
 
@@ -163,28 +163,32 @@ def rename_files(spark: SparkSession, source: str, target: str, prefix: str) ->
             fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{target}/{prefix}{name}"))
 
 
-def _write_ndjson(h: DataFrame, path: str, extra: dict[str, str] | None = None) -> None:
-    """Plays as newline-delimited export objects; ``extra`` adds more keys to each."""
+#: Plays in a compressed file, which one task reads: some 100 MB of text.
+PACKED_ROWS = 250_000
+
+
+def _write_ndjson(h: DataFrame, path: str, extra: dict[str, str] | None = None, packed_rows: int = 0) -> None:
+    """Plays as newline-delimited export objects; ``extra`` adds more keys to each.  ``packed_rows``: compressed files of so many at most."""
     out = to_export(h)
     for k, v in (extra or {}).items():
         out = out.withColumn(k, F.lit(v))
-    out.write.mode("append").json(path)
+    out.write.mode("append").options(**FAST_PACKING).option("maxRecordsPerFile", packed_rows).json(path, compression="gzip" if packed_rows else None)
 
 
 @register_raw("a01_ndjson", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
 def a01_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plays written as newline-delimited export files, all rows scanned back; large files by lines."""
+    """Plays written as compressed newline-delimited export files, all rows scanned back; large files by lines."""
     path = _store_path(spark, "a01-ndjson")
-    _write_ndjson(plays(spark, sf_dir), path)
-    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, max_whole_bytes=8 << 20)))
+    _write_ndjson(plays(spark, sf_dir), path, packed_rows=PACKED_ROWS)
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob=ANY_EXPORT, max_whole_bytes=8 << 20)))
 
 
 @register_raw("a01_large_array", f"WITH history AS ({PLAYS_SQL})\n{_ROUNDTRIP_SQL}")
 def a01_large_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plays written as one-line JSON arrays, every file read as a large one, split at closing braces."""
     path = _store_path(spark, "a01-large-array")
-    write_export(plays(spark, sf_dir), path, rows_per_file=50_000)
-    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob="*.txt", max_whole_bytes=0)))
+    write_export(plays(spark, sf_dir), path, rows_per_file=50_000, compression="gzip")
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob="*.txt.gz", max_whole_bytes=0)))
 
 
 @register_raw("a07_private_keys", f"""

@@ -13,6 +13,7 @@ keys only:
 
 A file of up to ``MAX_WHOLE_BYTES`` is read whole, as one row.  Larger files are split at closing braces, whatever their layout
 (``large_export``): the limit is a choice of speed and changes no play.
+Compressed files (``.json.gz``) are read alike, a file by one task, so the sink bounds their rows.
 What can't be parsed is never lost without a word: a strict read fails with
 the file's name, any other read returns it as rows with ``problem`` set
 (:func:`split_problems`).
@@ -39,7 +40,7 @@ class ExportError(ValueError):
 
 
 # Fixed value: name pattern of audio history export files.
-AUDIO_FILE = re.compile(r"^Streaming_History_Audio_.*\.json$")
+AUDIO_FILE = re.compile(r"^Streaming_History_Audio_.*\.json(\.gz)?$")
 
 
 def validate_paths(paths: Sequence[str] | str) -> list[str]:
@@ -58,6 +59,13 @@ def validate_paths(paths: Sequence[str] | str) -> list[str]:
 
 #: Files up to this size are read as one row each, whose parsing holds many times its size; larger ones are split.
 MAX_WHOLE_BYTES = 8 << 20
+#: Names of files that the reader decompresses, and how many times its size such a file's text is taken to have.
+COMPRESSED = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
+EXPANDS = 10
+#: Writer options: zlib's fastest level, where a file is compressed by it.
+FAST_PACKING = {"zlib.compress.level": "BEST_SPEED"}
+#: Names of plain and of compressed export files.
+ANY_EXPORT = "*.{json,json.gz}"
 
 _OBJECT = r"^\s*\{"
 _ROW = T.StructType([T.StructField("play", RAW), T.StructField("problem", T.StringType())])
@@ -124,15 +132,17 @@ def parse_export_text(text: DataFrame) -> DataFrame:
     array gives no rows.  A damaged text, such as a truncated array, gives its
     whole objects, and all the rest of it as one problem.
     """
-    value = F.trim(F.regexp_replace("value", "^\\uFEFF", ""))
-    value = F.regexp_replace(value, r"^\s+|\s+$", "")
-    lines = F.transform(F.split(value, r"\r?\n"), lambda x: F.regexp_replace(x, r"\s*,?\s*$", ""))
+    # A column of its own: the cases below mention it often, and each mention would trim a whole file again.
+    trimmed = F.regexp_extract("value", r"(?s)^\uFEFF?\s*+(.*\S)", 1)
+    text = text.select(F.col("_metadata.file_name").alias("file_name"), trimmed.alias("value"))
+    value = F.col("value")
+    lines = F.transform(F.split(value, r"\r?\n"), lambda x: F.when(x.endswith("}"), x).otherwise(F.regexp_replace(x, r"\s*,?\s*$", "")))
     bodies = (
-        F.when(value.rlike(_OBJECT), lines)
+        F.when(value.startswith("{"), lines)
         .when(value.startswith("[") & value.endswith("]"), F.array(F.substring(value, F.lit(2), F.length(value) - 2)))
         .otherwise(F.array(value))
     )
-    listed = text.select(F.col("_metadata.file_name").alias("file_name"), F.explode(bodies).alias("body")).where(F.col("body").rlike(r"\S"))
+    listed = text.select("file_name", F.explode(bodies).alias("body")).where(F.col("body").rlike(r"\S"))
     body = F.col("body")
     # Columns of their own, so that each text is parsed once.
     listed = listed.withColumn("list", F.from_json(_closed(body), _MARKED))
@@ -161,23 +171,31 @@ def read_parsed(spark: SparkSession, paths: Sequence[str] | str, audio_only: boo
     """Files -> parsed rows with their problems (see :func:`parse_export_text`)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
 
-    def files(whole: bool) -> DataFrame:
+    def text_size(size: Column, name: Column) -> Column:
+        return F.when(name.rlike(COMPRESSED), size * EXPANDS).otherwise(size)
+
+    def files(whole: bool, separator: str = "}") -> DataFrame:
         reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
         # wholetext and lineSep must be text() arguments: text() resets the options otherwise.
-        text = reader.text(paths, wholetext=True) if whole else reader.text(paths, lineSep="}")
+        text = reader.text(paths, wholetext=True) if whole else reader.text(paths, lineSep=separator)
         if audio_only:
             text = text.where(F.col("_metadata.file_name").rlike(AUDIO_FILE.pattern))
-        size = F.col("_metadata.file_size")  # a metadata filter: other files are never opened
+        # a metadata filter: other files are never opened
+        size = text_size(F.col("_metadata.file_size"), F.col("_metadata.file_name"))
         return text.where(size <= max_whole_bytes if whole else size > max_whole_bytes)
 
     parsed = parse_export_text(files(True))
     listing = spark.read.format("binaryFile") if glob is None else spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    if listing.load(paths).where(F.col("length") > max_whole_bytes).isEmpty():  # names and sizes alone; no file is opened
+    # names and sizes alone; no file is opened
+    large = listing.load(paths).where(text_size(F.col("length"), F.col("path")) > max_whole_bytes)
+    kinds = {r.packed for r in large.select(F.col("path").rlike(COMPRESSED).alias("packed")).distinct().collect()}
+    if not kinds:
         return parsed
 
     from replaylab.sources.large_export import parse_fragments
 
-    return parsed.unionByName(parse_fragments(files(False)))
+    packed = files(False, "{").where(F.col("_metadata.file_name").rlike(COMPRESSED)) if True in kinds else None
+    return parsed.unionByName(parse_fragments(files(False), packed))
 
 
 def read_export(spark: SparkSession, paths: Sequence[str] | str, audio_only: bool = False,
@@ -223,9 +241,10 @@ _FULL_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
 
 def _full_time(s: Column) -> Column:
     """Text -> instant; without an offset it is UTC, whatever the session's zone.  Other texts are NULL."""
-    s = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?![:\d])", "$1:00")
-    return (F.when(s.rlike(_FULL_TIME + "$"), F.concat(s, F.lit("Z"))).when(s.rlike(_FULL_TIME + r"\s*(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$"), s)
-            .try_cast("timestamp"))
+    usual = s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$")  # one pattern instead of four for most plays
+    text = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?![:\d])", "$1:00")
+    zoned = text.rlike(_FULL_TIME + r"\s*(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$")
+    return F.when(usual, s).when(text.rlike(_FULL_TIME + "$"), F.concat(text, F.lit("Z"))).when(zoned, text).try_cast("timestamp")
 
 
 def _epoch_or_text(col: Column) -> Column:
@@ -271,13 +290,13 @@ def present_columns(raw: DataFrame) -> DataFrame:
     )
 
 
-def file_listing(spark: SparkSession, directory: str) -> DataFrame:
-    """A16 input: name and size of every ``*.json`` file under ``directory``.
+def file_listing(spark: SparkSession, directory: str, glob: str = "*.json") -> DataFrame:
+    """A16 input: name and size of every ``*.json`` file (or ``glob``) under ``directory``.
 
     ``binaryFile`` with only metadata columns selected never reads contents.
     """
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(directory)
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
         .select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
                 F.col("length").alias("file_size"))
     )
@@ -343,7 +362,7 @@ def _bracketed(rows_per_file: int):
     return run
 
 
-def write_export(history: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+def write_export(history: DataFrame, path: str, rows_per_file: int = 10_000, compression: str | None = None) -> None:
     """Sink: write plays as export files, each ONE JSON array of <= ``rows_per_file`` plays on one line.
 
     A play is a row of the sink with its bracket or comma, and the sink begins
@@ -353,7 +372,7 @@ def write_export(history: DataFrame, path: str, rows_per_file: int = 10_000) ->
     ex = to_export(history)
     texts = ex.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in ex.columns])).alias("value"))
     plays = texts.mapInArrow(_bracketed(rows_per_file), "value string")
-    plays.write.mode("append").option("maxRecordsPerFile", rows_per_file).text(path, lineSep=" ")
+    plays.write.mode("append").options(**FAST_PACKING).option("maxRecordsPerFile", rows_per_file).text(path, compression=compression, lineSep=" ")
 
 
 def union_parts(parts: Iterable[DataFrame]) -> DataFrame:

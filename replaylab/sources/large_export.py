@@ -15,7 +15,8 @@ arrays, pretty-printed arrays and newline-delimited objects alike.
   array that isn't closed.
 
 Whole plays never leave the task that read them.  Only fragments in need of
-joining are shuffled and sorted by file; a row per file is broadcast.
+joining are shuffled and sorted by file; a row per file is broadcast.  Strays
+are looked for without parsing what a pattern shows to be whole.
 """
 
 from __future__ import annotations
@@ -33,40 +34,65 @@ _BEGIN = r"^﻿?\s*\[?\s*$"
 #: After the last object.
 _END = r"^\s*,?\s*\]?\s*$"
 
+#: An object of plain scalars, strict JSON without escapes or nesting: what any parser takes, so it needs no parsing to be known as whole.
+_TEXT = r'"[^"\\{}\x00-\x1f]*+"'
+_PAIR = r"[ \t\r\n]*+" + _TEXT + r"[ \t\r\n]*+:[ \t\r\n]*+(?:" + _TEXT + r"|-?(?:0|[1-9]\d{0,17}+)(?:\.\d{1,17}+)?+|true|false|null)[ \t\r\n]*+"
+_FLAT = r"^\{" + _PAIR + "(?:," + _PAIR + r"){0,99}+\}$"
+#: Longer objects are parsed, whatever they look like.
+_FLAT_BYTES = 20_000
+
 
 def _as_problem(text: Column) -> Column:
     return F.array(F.struct(F.lit(None).cast(RAW).alias("play"), text.alias("problem"))).cast(T.ArrayType(E._ROW))
 
 
-def parse_fragments(text: DataFrame) -> DataFrame:
-    """Rows of ``text`` read with ``}`` as line separator -> (file_name, problem, RAW columns...), like ``parse_export_text``."""
+def parse_fragments(text: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+    """Rows of ``text`` read with ``}`` as line separator -> (file_name, problem, RAW columns...), like ``parse_export_text``.
+
+    ``packed`` has the compressed files among them read with ``{`` as line separator: a file's size doesn't tell their text's.
+    """
     rows = text.select(
         F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
     # All but a file's last fragment had a brace behind them.  Whether that one had is told by the file's size (the reader drops a
     # byte order mark, which is 3 bytes).  One small row per file is broadcast, so no fragment is shuffled for it.
-    ends = rows.groupBy("file_path").agg(F.sum(F.octet_length("value") + 1).alias("held"), F.max("size").alias("size"),
-                                         F.max(F.struct("block", "pos")).alias("last"))
+    held = F.octet_length("value").cast("long") + 1
+    counted = rows.groupBy("file_path", "block").agg(F.sum(held).alias("held"), F.max("size").alias("size"), F.max("pos").alias("pos"))
+    if packed is None:
+        counted = counted.withColumn("other", F.lit(None).cast("long"))
+    else:
+        other = packed.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.sum(held).alias("other"))
+        counted = counted.unionByName(other, allowMissingColumns=True)
+    ends = counted.groupBy("file_path").agg(F.sum("held").alias("held"), F.max("size").alias("size"), F.sum("other").alias("other"),
+                                            F.max(F.when(F.col("pos").isNotNull(), F.struct("block", "pos"))).alias("last"))
+    # The last piece has no separator behind it unless the text ends with one: of two separators, the one that ends it counts one less.
+    ends = ends.withColumn("size", F.coalesce(F.col("other") - 1, "size"))
     ends = ends.where(~(F.col("held") - F.col("size")).isin(0, -3)).select(F.col("file_path").alias("path"), "last")
     rows = rows.drop("size").join(F.broadcast(ends), F.col("file_path") == F.col("path"), "left").withColumn(
         "cut", F.coalesce(F.struct("block", "pos") == F.col("last"), F.lit(False))).drop("path", "last")
-    lead = F.regexp_extract("value", r"^([^{]*)\{", 1)
+    lead = F.when(F.instr("value", "{") > 0, F.substring_index("value", "{", 1)).otherwise("")
     body = F.when(F.instr("value", "{") > 0, F.concat(F.substr("value", F.instr("value", "{")), F.lit("}")))
     rows = rows.select("*", lead.alias("lead"), body.alias("body"))
-    listed = F.from_json(E._closed(F.col("body")), E._MARKED)
     between = F.col("lead").rlike(_BETWEEN)
-    rows = rows.withColumn("list", F.when(F.col("body").contains('"') & (between | F.col("lead").rlike(_BEGIN)), listed))
+    stands = F.col("body").contains('"') & (between | F.col("lead").rlike(_BEGIN))
+    listed = F.from_json(E._closed(F.col("body")), E._MARKED)
     first = F.try_element_at("list", F.lit(1))
-    whole = F.coalesce((F.size("list") == 2) & E._ended(F.col("list"), F.col("body")) & first.isNotNull() & ~F.col("cut"), F.lit(False))
+    one = (F.size("list") == 2) & E._ended(F.col("list"), F.col("body")) & first.isNotNull()
+    parsed = rows.withColumn("list", F.when(stands, listed))
+    whole = F.coalesce(one & ~F.col("cut"), F.lit(False))
 
     # Rows are chosen by explode, not by a filter: Spark would push a filter below "list" and parse each fragment once per mention.
-    plays = rows.select("file_name", F.explode(F.when(whole, F.array(E._fields(first)))).alias("play")).select(
+    plays = parsed.select("file_name", F.explode(F.when(whole, F.array(E._fields(first)))).alias("play")).select(
         "file_name", F.lit(None).cast("string").alias("problem"), "play.*")
 
+    flat = stands & (F.octet_length("body") < _FLAT_BYTES) & F.col("body").rlike(_FLAT)
+    judged = rows.withColumn("flat", F.coalesce(flat, F.lit(False)))
+    judged = judged.withColumn("list", F.when(stands & ~F.col("flat"), listed))
+    whole = F.coalesce((F.col("flat") | one) & ~F.col("cut"), F.lit(False))
     # Strays, and whole objects that stand where only a file's first one may: one per file at most, and in its first block.
     seen = F.struct("file_name", "file_path", "block", "pos", "cut", F.when(whole, F.col("lead")).alias("lead"), (~whole).alias("stray"),
                     F.when(~whole, F.col("value")).alias("value"))
-    odd = rows.select(F.explode(F.when(~whole | ~between, F.array(seen))).alias("o")).select("o.*")
+    odd = judged.select(F.explode(F.when(~whole | ~between, F.array(seen))).alias("o")).select("o.*")
     order = Window.partitionBy("file_path").orderBy("block", "pos")
     before = F.lag(F.struct("block", "pos", "stray")).over(order)
     joined = F.col("stray") & before["stray"] & F.when(before["block"] == F.col("block"), F.col("pos") == before["pos"] + 1).otherwise(True)

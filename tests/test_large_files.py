@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+import re
+from pathlib import Path
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from conftest import play
+from conftest import SF_SMALL, play
+from replaylab.plans import catalog, q_ingest
+from replaylab.session import scratch_folder
 from replaylab.sources import export_json as E
+from replaylab.sources import large_export
 from replaylab.sources import history_store as HS
 from replaylab.streaming import pipelines as P
 
@@ -71,3 +78,61 @@ def test_streamed_files_are_read_by_name(spark, tmp_path):
         assert HS.load_history(spark, store).count() == N + 3
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+PLAY = '{"ts":"2024-01-01T00:00:00Z","username":"u%d","master_metadata_track_name":"a, b: [c]","ms_played":%d,"skipped":null}'
+TEXTS = {
+    "lines": "\n".join(PLAY % (i, i) for i in range(40)) + "\n",
+    "open end": "\n".join(PLAY % (i, i) for i in range(40)),
+    "array": "﻿[" + ",\n".join(PLAY % (i, i) for i in range(40)) + "]",
+    "unclosed": "[" + ",".join(PLAY % (i, i) for i in range(40)),
+    "cut": "\n".join(PLAY % (i, i) for i in range(40))[:-1],
+    "one brace more": "\n".join(PLAY % (i, i) for i in range(40)) + "}",
+    "braces": "[" + ",".join((PLAY % (i, i)).replace("[c]", "{x} \\\"}") for i in range(40)) + "]\n",
+    "not JSON": "\n".join((PLAY % (i, i)).replace("null", "nul" if i == 7 else "007" if i == 9 else "null") for i in range(40)),
+}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_compressed_files_are_read_like_plain_ones(spark, tmp_path, name):
+    text = TEXTS[name].encode()
+    (tmp_path / "a.json").write_bytes(text)
+    with gzip.open(tmp_path / "a.json.gz", "wb") as f:
+        f.write(text)
+    got = [sorted(map(str, E.read_parsed(spark, str(tmp_path / n), max_whole_bytes=0).drop("file_name").collect())) for n in ("a.json", "a.json.gz")]
+    assert got[0] == got[1] and sum("problem=None" in r for r in got[0]) >= 38
+
+
+def test_audio_files_may_be_compressed(spark, tmp_path):
+    for kind, n in (("Audio", 3), ("Video", 5)):
+        with gzip.open(tmp_path / f"Streaming_History_{kind}_0.json.gz", "wt") as f:
+            f.write("".join(PLAY % (i, i) + "\n" for i in range(n)))
+    assert E.read_export(spark, [str(tmp_path)], validate=False, glob=E.ANY_EXPORT, audio_only=True).count() == 3
+    assert E.read_export(spark, [str(tmp_path)], validate=False, glob=E.ANY_EXPORT).count() == 8
+
+
+def test_a_file_is_trimmed_once(spark, tmp_path):
+    """The cases of a text mention it six times; each mention trimmed the whole file."""
+    (tmp_path / "a.json").write_text("﻿ \n[" + PLAY % (1, 1) + "]\n ")
+    parsed = E.read_parsed(spark, str(tmp_path / "a.json"))
+    assert [r.ms_played for r in parsed.collect()] == ["1"]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("uFEFF") == 1
+
+
+@pytest.mark.parametrize("query", ["a01_ndjson", "a01_large_array"])
+def test_exports_are_written_small(spark, monkeypatch, query):
+    """Plays take 412 bytes each as plain JSON."""
+    made = []
+    monkeypatch.setattr(q_ingest, "_store_path", lambda spark, tag: made.append(scratch_folder(spark, tag)) or made[-1])
+    catalog.QUERIES[query](spark, SF_SMALL).collect()
+    held = sum(f.stat().st_size for p in made for f in Path(p.removeprefix("file:")).rglob("*") if f.name.endswith((".json", ".txt", ".gz")))
+    plays = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count() + (0 if query.startswith("a01") else spark.read.parquet(f"{SF_SMALL}/events.parquet").count())
+    assert 0 < held < 130 * plays
+
+
+def test_what_needs_no_parsing_is_strict_json():
+    flat = re.compile(large_export._FLAT)
+    for good in (PLAY % (1, 1), '{ "a" : -1.5 , "b":true }', '{"":0}'):
+        assert json.loads(good) and flat.search(good)
+    for bad in ('{"a":01}', '{"a":1,}', '{"a" 1}', '{"a":nul}', '{"a":"x\ty"}', '{"a":"\\x"}', '{"a":{}}', '{"a":[1]}', '{"a":1}x', "{'a':1}", '{"a":+1}', '{"a":1.}', "{}"):
+        assert not flat.search(bad)

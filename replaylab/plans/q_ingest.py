@@ -207,10 +207,10 @@ def a07_private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a16_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """plays' files are known already; of the whole listing only the events' new files are ingested."""
     path = _store_path(spark, "a16")
-    _write_ndjson(plays(spark, sf_dir), path)
+    _write_ndjson(plays(spark, sf_dir), path, packed_rows=PACKED_ROWS)
     known = stored_listing(spark, path)
     _write_ndjson(event_plays(spark, sf_dir), path)
-    fresh = [r.path for r in new_files(file_listing(spark, path), known).collect()]
+    fresh = [r.path for r in new_files(file_listing(spark, path, ANY_EXPORT), known).collect()]
     return _roundtrip_agg(normalize(read_export(spark, fresh)))
 
 

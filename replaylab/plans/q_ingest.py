@@ -93,8 +93,8 @@ def a08_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a01_export_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plays written as export JSON arrays, then scanned and normalised."""
     path = _store_path(spark, "a01-export")
-    write_export(plays(spark, sf_dir), path, rows_per_file=10_000)
-    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob="*.txt")))
+    write_export(plays(spark, sf_dir), path, rows_per_file=10_000, compression="gzip")
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob="*.txt.gz")))
 
 
 @register_raw("a09_ingest_report", f"""

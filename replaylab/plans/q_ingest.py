@@ -165,6 +165,8 @@ def rename_files(spark: SparkSession, source: str, target: str, prefix: str) ->
 
 #: Plays in a compressed file, which one task reads: some 100 MB of text.
 PACKED_ROWS = 250_000
+#: Plays in a listener's own export file, about: read whole.
+EXPORT_ROWS = 15_000
 
 
 def _write_ndjson(h: DataFrame, path: str, extra: dict[str, str] | None = None, packed_rows: int = 0) -> None:
@@ -219,6 +221,6 @@ def a17_audio_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of audio and video history files; the audio files' plays alone are read."""
     path = _store_path(spark, "a17")
     for kind, loader in (("Audio", plays), ("Video", event_plays)):
-        _write_ndjson(loader(spark, sf_dir), f"{path}/{kind}")
+        _write_ndjson(loader(spark, sf_dir), f"{path}/{kind}", packed_rows=EXPORT_ROWS)
         rename_files(spark, f"{path}/{kind}", path, f"Streaming_History_{kind}_")
-    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, audio_only=True)))
+    return _roundtrip_agg(normalize(read_export(spark, [path], validate=False, glob=ANY_EXPORT, audio_only=True)))

@@ -119,7 +119,7 @@ def test_a_file_is_trimmed_once(spark, tmp_path):
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("uFEFF") == 1
 
 
-@pytest.mark.parametrize("query", ["a01_ndjson", "a01_export_json_roundtrip", "a01_large_array", "a16_new_files"])
+@pytest.mark.parametrize("query", ["a01_ndjson", "a01_export_json_roundtrip", "a01_large_array", "a16_new_files", "a17_audio_only"])
 def test_exports_are_written_small(spark, monkeypatch, query):
     """Plays take 412 bytes each as plain JSON."""
     made = []
